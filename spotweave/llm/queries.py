@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import langid, packing, quality, rules, sharding
 
 QUERIES = {
+    "op6_attention_quality": quality.op6_query,
+    "op7_perplexity_rules": rules.op7_query,
     "op4_best_two_fit_packing": packing.op4_query,
     "op9_hypergeometric_sharding": sharding.op9_query,
+    "op10_bitmask_language_id": langid.op10_query,
 }
 ORACLES: dict[str, str] = {}

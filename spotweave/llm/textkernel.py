@@ -116,3 +116,79 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def row_of(firsts: np.ndarray) -> np.ndarray:
     """The row of each item, of the rows' first items (one more than rows)."""
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+
+
+def append_columns(df, text: str, fields: str, make, beside: str | None = None):
+    """df with more columns computed from one string column in Arrow batches.
+
+    fields: their DDL. make() runs once in a task and gives a function of (bytes, offsets) of a slice of rows that
+    returns the arrays, one item for each row; with beside it also gets these rows of that column. Columns of df
+    with the same names are replaced.
+    """
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(fields)
+    kept = df.drop(*new.names)
+    names = kept.columns
+    schema = T.StructType([*kept.schema.fields, *new.fields])
+    at, by = names.index(text), names.index(beside) if beside else None
+    all_names = schema.names
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            more = [] if by is None else [batch.column(by)]
+            parts = [work(data, offsets, *(c.slice(a, b - a) for c in more)) for a, b, data, offsets in slices(batch.column(at))]
+            if parts:
+                new_columns = [pa.chunked_array([pa.array(x) for x in column]).combine_chunks() for column in zip(*parts)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new_columns], names=all_names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of the slice, and the rows' offsets in them; broken bytes count as U+FFFD each."""
+    raw = data.tobytes()
+    try:
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        rows = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        points = np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)
+        return points, np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    upto = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=upto[1:])
+    return points, upto[offsets]
+
+
+class Letters:
+    """Lower case of letters, 0 for all else, by code point; built once in a process from Python's Unicode tables."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def get(cls) -> np.ndarray:
+        if cls.table is None:
+            out = np.zeros(0x110000, np.uint32)
+            for c in range(0x110000):
+                s = chr(c)
+                if s.isalpha():
+                    low = s.lower()
+                    out[c] = ord(low) if len(low) == 1 else c
+            cls.table = out
+        return cls.table
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of the rows' items, 0 for rows without."""
+    upto = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    np.cumsum(values, out=upto[1:])
+    return upto[offsets[1:]] - upto[offsets[:-1]]
+
+
+def repeats(keys: np.ndarray) -> np.ndarray:
+    """Which items equal one that is elsewhere in the array, all but one of each kind."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.zeros(len(keys), bool)
+    out[order[1:]] = ordered[1:] == ordered[:-1]
+    return out
