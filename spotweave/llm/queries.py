@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, rules, sharding
+from . import jaccard, langid, packing, quality, rules, sharding
 
 QUERIES = {
+    "op1_bayes_jaccard_join": jaccard.op1_query,
     "op6_attention_quality": quality.op6_query,
     "op7_perplexity_rules": rules.op7_query,
     "op4_best_two_fit_packing": packing.op4_query,
