@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, packing, quality, rules, sharding
+from . import embeddings, jaccard, langid, packing, quality, rules, sharding
 
 QUERIES = {
     "op1_bayes_jaccard_join": jaccard.op1_query,
     "op6_attention_quality": quality.op6_query,
     "op7_perplexity_rules": rules.op7_query,
     "op4_best_two_fit_packing": packing.op4_query,
+    "op8_spherical_cap_near_dedup": embeddings.op8_query,
     "op9_hypergeometric_sharding": sharding.op9_query,
     "op10_bitmask_language_id": langid.op10_query,
 }
