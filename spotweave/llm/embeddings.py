@@ -16,7 +16,7 @@ from .scratch import materialize
 THRESHOLD = 0.93
 #: A cap holds about so many vectors of the largest label; a pair at the threshold misses all caps once in exp(MISS) times.
 CAP_ROWS = 16
-MISS = 10.0
+MISS = 16.0
 SEED = 8
 BLOCK = 1024
 #: Single precision is used to find candidates only, this much below the threshold.
