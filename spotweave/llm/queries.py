@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import embeddings, jaccard, langid, packing, quality, rules, sharding
+from . import embeddings, html, jaccard, langid, packing, quality, rules, sharding, toxicity
 
 QUERIES = {
     "op1_bayes_jaccard_join": jaccard.op1_query,
+    "op2_composite_text_density": html.op2_query,
+    "op5_ordinal_toxicity": toxicity.op5_query,
     "op6_attention_quality": quality.op6_query,
     "op7_perplexity_rules": rules.op7_query,
     "op4_best_two_fit_packing": packing.op4_query,

@@ -87,12 +87,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of other bytes than IS_SPACE, and of each row its first word (one more than rows)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of other bytes than `between` (a table), and of each row its first word (one more than rows)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    solid = ~IS_SPACE[data]
+    solid = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     begins = solid.copy()
