@@ -14,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .chunkcache import ChunkCache
 from .ranks import gapless_rank
 from .scratch import materialize
 
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-SLOTS = 1 << 21
-CACHE_IDS = 1 << 23
 #: Two noncharacters, put between chunks.
 BETWEEN = "\uFDD0\uFDD1"
 BETWEEN_BYTES = BETWEEN.encode()
@@ -29,7 +28,7 @@ BETWEEN_BYTES = BETWEEN.encode()
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class ByteBpe:
+class ByteBpe(ChunkCache):
     """Ids of a byte-level BPE file of the tokenizers library, each distinct chunk of text encoded once.
 
     Chunks are cut where the file's split pattern cuts in any context: before a single space, and before and
@@ -49,41 +48,18 @@ class ByteBpe:
         ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
         self.between = max(max(ranks.values()), *self.special.values(), 0) + 1
         self.codec = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special | {BETWEEN: self.between})
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all chunks. The chunk with hash h is at h % SLOTS, the last one seen of those that meet there."""
-        self.key = np.zeros(SLOTS, np.uint64)
-        self.first = np.zeros(SLOTS, np.int32)
-        self.length = np.zeros(SLOTS, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def _encode_all(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks one after the other, and each one's length: one call, with a special id of our own between them."""
+        super().__init__()
+
+    def encode_chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if any(BETWEEN_BYTES in t for t in texts):
+            parts = [self.codec.encode_to_numpy(t.decode("utf-8", "replace"), allowed_special=set(self.special), disallowed_special=()) for t in texts]
+            return np.concatenate(parts), np.array([len(p) for p in parts])
+        # One call for all, with a special id of our own between them.
         got = self.codec.encode_to_numpy(BETWEEN_BYTES.join(texts).decode("utf-8", "replace"), allowed_special="all")
         stops = np.flatnonzero(got == self.between)
         return np.delete(got, stops), np.diff(np.concatenate([[-1], stops, [len(got)]])) - 1
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if any(BETWEEN_BYTES in t for t in texts):
-            parts = [self.codec.encode_to_numpy(t.decode("utf-8", "replace"), allowed_special=set(self.special), disallowed_special=()) for t in texts]
-            got, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
-        else:
-            got, lengths = self._encode_all(texts)
-        while self.used + len(got) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(got)] = got
-        slot = (keys % np.uint64(SLOTS)).astype(np.int64)
-        self.key[slot], self.length[slot] = keys, lengths
-        first = self.used + np.cumsum(lengths) - lengths
-        self.first[slot] = first
-        self.used += len(got)
-        return first, lengths
-
-    @staticmethod
-    def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the chunks, and of each row its first chunk (one more than rows)."""
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -110,26 +86,6 @@ class ByteBpe:
         starts = np.flatnonzero(cut)
         return starts, np.searchsorted(starts, offsets)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows one after the other, and each row's offsets in them."""
-        starts, firsts = self.chunks(data, offsets)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if self.used > CACHE_IDS:
-            self.clear()
-        ends = np.append(starts[1:], len(data))
-        keys = tk.span_hash(tk.prefix_hash(data), starts, ends)
-        slot = (keys % np.uint64(SLOTS)).astype(np.int64)
-        first, lengths = self.first[slot], self.length[slot]
-        miss = np.flatnonzero(self.key[slot] != keys)
-        if len(miss):
-            raw = data.tobytes()
-            new, some, which = np.unique(keys[miss], return_index=True, return_inverse=True)
-            begin, size = self._learn(new, [raw[a:b] for a, b in zip(starts[miss[some]].tolist(), ends[miss[some]].tolist())])
-            first[miss], lengths[miss] = begin[which], size[which]
-        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        return self.ids[tk.ragged(first.astype(np.int64), lengths.astype(np.int64))], upto[firsts]
-
 
 def _piece_schema(with_ids: bool) -> str:
     return "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
@@ -286,3 +242,8 @@ def tokenizer_file(name: str) -> str:
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file(TOKENIZER))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline: the pieces of all documents that are left, each with its sequence."""
+    return pack(docs, tokenizer_file(TOKENIZER))

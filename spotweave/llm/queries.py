@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, html, jaccard, langid, packing, quality, rules, sharding, toxicity
+from . import embeddings, html, jaccard, langid, packing, quality, rules, sentencepiece, sharding, toxicity
 
 QUERIES = {
     "op1_bayes_jaccard_join": jaccard.op1_query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_ordinal_toxicity": toxicity.op5_query,
     "op6_attention_quality": quality.op6_query,
     "op7_perplexity_rules": rules.op7_query,
+    "op3_viterbi_sentencepiece": sentencepiece.op3_query,
     "op4_best_two_fit_packing": packing.op4_query,
     "op8_spherical_cap_near_dedup": embeddings.op8_query,
     "op9_hypergeometric_sharding": sharding.op9_query,
