@@ -102,60 +102,89 @@ def fit_ordinal(row: np.ndarray, feature: np.ndarray, value: np.ndarray, n_featu
     return w, np.concatenate([theta[n_features : n_features + 1], theta[n_features] + np.cumsum(gaps)])
 
 
-def train(texts: list[np.ndarray], toxic: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
-    """Fit on the word hashes of each text and its 0/1 label.
+def standing(docs: np.ndarray, hits: np.ndarray, share: float) -> np.ndarray:
+    """How many standard errors the share of toxic texts (hits of docs) of a word lies from the mean share."""
+    return (hits - docs * share) / np.sqrt(docs * share * (1 - share))
 
-    Words and beginnings become features if they are in MIN_DOCS texts or more and their share of toxic texts is MIN_Z standard
-    errors from the mean. A label says toxic or not; the grades of toxic texts are equal parts of them by the evidence that a
-    fit with two grades finds, from 1 (least) to n_grades - 1.
+
+def no_model(toxic: np.ndarray, n_grades: int) -> OrdinalModel:
+    """Of no labels, or labels of one kind: all texts have that one."""
+    cut = -40.0 if len(toxic) and toxic[0] else 40.0
+    return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(n_grades - 1, cut))
+
+
+def train(words: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
+    """Fit on the features (row, index in words, value) of texts and their 0/1 labels.
+
+    A label says toxic or not; the grades of toxic texts are equal parts of them by the evidence that a fit with two grades
+    finds, from 1 (least) to n_grades - 1.
     """
     toxic = np.asarray(toxic).astype(np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
-        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(n_grades - 1, 40.0 if not len(toxic) or not toxic[0] else -40.0))
-    unique = [np.unique(t) for t in texts]
-    flat = np.concatenate(unique)
-    label = np.repeat(toxic, [len(u) for u in unique])
-    words, which = np.unique(flat, return_inverse=True)
-    docs = np.bincount(which)
-    hits = np.bincount(which, label)
-    base = toxic.mean()
-    z = (hits - docs * base) / np.sqrt(docs * base * (1 - base))
-    z[(docs < MIN_DOCS) | (words == 0)] = 0
-    chosen = np.flatnonzero(np.abs(z) >= MIN_Z)
-    chosen = np.sort(chosen[np.argsort(-np.abs(z[chosen]), kind="stable")[:MAX_FEATURES]])
-    model = OrdinalModel(words[chosen], np.zeros(len(chosen)), np.zeros(1))
-    firsts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    row, feature, value = model.features(np.concatenate(texts), firsts)
-    model.weights, model.cuts = fit_ordinal(row, feature, value, len(chosen), toxic, 2)
+        return no_model(toxic, n_grades)
+    weights, cuts = fit_ordinal(row, feature, value, len(words), toxic, 2)
     if n_grades > 2:
-        evidence = np.bincount(row, np.maximum(0, model.weights[feature]) * value, minlength=len(toxic))[toxic == 1]
+        evidence = np.bincount(row, np.maximum(0, weights[feature]) * value, minlength=len(toxic))[toxic == 1]
         steps = np.quantile(evidence, np.arange(1, n_grades - 1) / (n_grades - 1))
         grades = np.zeros(len(toxic), np.int64)
         grades[toxic == 1] = 1 + np.searchsorted(steps, evidence, side="left")
-        model.weights, model.cuts = fit_ordinal(row, feature, value, len(chosen), grades, n_grades)
-    return model
+        weights, cuts = fit_ordinal(row, feature, value, len(words), grades, n_grades)
+    return OrdinalModel(words, weights, cuts)
 
 
-def _hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, text) to (word, docs, hits): texts with the word, and toxic ones, summed in a slice."""
     for batch in batches:
+        labels = batch.column(0).to_numpy()
         for first, last, data, offsets in tk.slices(batch.column(1)):
             hashes, at = word_features(data, offsets)
-            words = [hashes[at[i] : at[i + 1]].tobytes() for i in range(last - first)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(words, pa.binary())], names=["label", "words"])
+            row = tk.row_of(at)
+            order = np.lexsort((row, hashes))
+            hashes, row = hashes[order], row[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+            hashes, hit = hashes[new & (hashes > 0)], labels[first:last][row[new & (hashes > 0)]]
+            words, which, docs = np.unique(hashes, return_inverse=True, return_counts=True)
+            hits = np.bincount(which, hit, minlength=len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(docs, pa.int64()), pa.array(hits)], names=["word", "docs", "hits"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = TRAIN_ROWS) -> OrdinalModel:
     """Learn from labels (doc_id and a 0/1 column) where usable holds, about `rows` of them chosen by a hash of doc_id.
 
-    The driver gets the word hashes of these texts. Null labels and labels of no document are left out.
+    Words and beginnings become features if they are in MIN_DOCS of these texts or more and their share of toxic texts is MIN_Z
+    standard errors from the mean; Spark counts them, and the MAX_FEATURES that stand out most come to the driver, with their
+    values in these texts. Null labels and labels of no document are left out.
     """
     known = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     share = min(1.0, rows / max(1, known.count()))
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     # `some` has about `rows` rows, whatever the input.
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text").mapInArrow(_hashes, "label int, words binary").collect()
-    got.sort(key=lambda r: (r["label"], r["words"]))
-    return train([np.frombuffer(r["words"], np.uint64) for r in got], np.array([r["label"] for r in got]))
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
+    counts = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    n, toxic = sum(counts.values()), counts.get(1, 0)
+    if not 0 < toxic < n:
+        return no_model(np.ones(1) if toxic else np.zeros(0), GRADES)
+    p = toxic / n
+    seen = texts.mapInArrow(_occurrences, "word bigint, docs bigint, hits bigint").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
+    z = F.abs(F.col("hits") - F.col("docs") * p) / F.sqrt(F.col("docs") * (p * (1 - p)))
+    chosen = seen.filter(F.col("docs") >= MIN_DOCS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_FEATURES)
+    words = np.sort(np.array([r["word"] for r in chosen.select("word").collect()], np.int64).view(np.uint64))
+    blank = OrdinalModel(words, np.zeros(len(words)), np.zeros(1))
+
+    def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in tk.slices(batch.column(1)):
+                row, feature, value = blank.features(*word_features(data, offsets))
+                at = np.searchsorted(row, np.arange(last - first + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (feature.astype(np.int32), value)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *lists], names=["label", "feature", "value"])
+
+    got = texts.mapInArrow(values, "label int, feature array<int>, value array<double>").collect()
+    got.sort(key=lambda r: (r["label"], r["feature"], r["value"]))
+    row = np.repeat(np.arange(len(got)), [len(r["feature"]) for r in got])
+    flat = lambda name, kind: np.array([v for r in got for v in r[name]], kind)
+    return train(words, row, flat("feature", np.int64), flat("value", float), np.array([r["label"] for r in got]))
 
 
 def grade(docs: DataFrame, model: OrdinalModel) -> DataFrame:
