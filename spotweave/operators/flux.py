@@ -37,33 +37,38 @@ def resolve_radius(ds: SpatialDataset, radius: float | None) -> float:
 
 
 def pixel_counts(points: DataFrame, pixels: DataFrame, instance: str, feature: str, radius: float | None, n_neighbors: int | None = None) -> DataFrame:
-    """(instance, pixel_id, x, y, feature, n, total): points around each pixel of the same instance; pixels without any are left out."""
+    """(instance, pixel_id, x, y, counts map<feature, n>, total): points around each pixel of the same instance; pixels without any are left out."""
     if n_neighbors is not None:
         pairs = nearest(points, instance, n_neighbors, [feature], pixels, "pixel_id")
     else:
         pairs = radius_pairs(points, instance, radius, [feature], pixels, "pixel_id")
+    pixel = [instance, "pixel_id", "x", "y"]
     near = pairs.groupBy(instance, F.col("query_id").alias("pixel_id"), F.col("qx").alias("x"), F.col("qy").alias("y"), feature).agg(F.count("*").alias("n"))
-    total = near.groupBy(instance, "pixel_id").agg(F.sum("n").alias("total"))
-    return near.join(total, [instance, "pixel_id"])
+    return near.groupBy(*pixel).agg(F.map_from_entries(F.collect_list(F.struct(feature, "n"))).alias("counts"), F.sum("n").alias("total"))
 
 
 def feature_scales(near: DataFrame, instance: str, feature: str) -> DataFrame:
     """(instance, feature, scale): the population deviation of a feature's share over the instance's pixels that have points; 1 where it is 0."""
+    pixels = near.groupBy(instance).agg(F.count("*").alias("__p"))
     share = F.col("n") / F.col("total")
-    pixels = near.groupBy(instance).agg(F.count_distinct("pixel_id").alias("__p"))
-    sums = near.groupBy(instance, feature).agg(F.sum(share).alias("__s"), F.sum(share * share).alias("__q")).join(pixels, instance)
+    long = near.select(instance, "total", F.explode("counts").alias(feature, "n"))
+    sums = long.groupBy(instance, feature).agg(F.sum(share).alias("__s"), F.sum(share * share).alias("__q")).join(pixels, instance)
     mean = F.col("__s") / F.col("__p")
     var = F.greatest(F.lit(0.0), F.col("__q") / F.col("__p") - mean * mean)
     return sums.select(instance, feature, F.when(var > 1e-18, F.sqrt(var)).otherwise(1.0).alias("scale"))
 
 
-def flux_long(near: DataFrame, comp: DataFrame, instance: str, feature: str) -> DataFrame:
-    """(instance, pixel_id, feature, flux) for the features of each instance: (share around the pixel - share in the cell) / scale."""
+def _profile(near: DataFrame, comp: DataFrame, instance: str, feature: str) -> DataFrame:
+    """(instance, feature, share, scale) of the features of each instance."""
     scales = comp.select(instance, feature, "share").join(feature_scales(near, instance, feature), [instance, feature], "left")
-    pixels = near.select(instance, "pixel_id", "total").distinct()
-    base = pixels.join(scales, instance).join(near.select(instance, "pixel_id", feature, "n"), [instance, "pixel_id", feature], "left")
-    value = (F.coalesce(F.col("n") / F.col("total"), F.lit(0.0)) - F.col("share")) / F.coalesce(F.col("scale"), F.lit(1.0))
-    return base.select(instance, "pixel_id", feature, value.alias("flux"))
+    return scales.withColumn("scale", F.coalesce("scale", F.lit(1.0)))
+
+
+def flux_long(near: DataFrame, comp: DataFrame, instance: str, feature: str) -> DataFrame:
+    """(instance, pixel_id, x, y, feature, flux) for the features of each instance: (share around the pixel - share in the cell) / scale."""
+    base = near.join(_profile(near, comp, instance, feature), instance)
+    around = F.coalesce(F.element_at("counts", F.col(feature)), F.lit(0)) / F.col("total")
+    return base.select(instance, "pixel_id", "x", "y", feature, ((around - F.col("share")) / F.col("scale")).alias("flux"))
 
 
 def flux(ds: SpatialDataset, radius: float | None = None, n_neighbors: int | None = None, res: float = 1.0, train_size: float = 1.0, seed: int = 11, method: str = "radius") -> SpatialDataset:
@@ -83,12 +88,17 @@ def flux(ds: SpatialDataset, radius: float | None = None, n_neighbors: int | Non
     pixels = raster(ds.shapes[instance], 1 / res).withColumnRenamed("shape_id", instance).withColumn("pixel_id", F.xxhash64(instance, "x", "y"))
     near = pixel_counts(points, pixels, instance, feature, r, k)
     comp = composition(points, instance, feature)
-    long = flux_long(near, comp, instance, feature)
-    order = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    entries = long.groupBy("pixel_id").agg(F.map_from_entries(F.collect_list(F.struct(order[F.col(feature)], "flux"))).alias("__m"))
-    entries = entries.select("pixel_id", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.element_at("__m", i), F.lit(0.0))).alias("flux"))
-    counts = near.select("pixel_id", "total").distinct()
-    out = pixels.join(entries, "pixel_id", "left").join(counts, "pixel_id", "left")
+    # An instance's shares and scales as maps, one row an instance; a pixel's flux is then an expression.
+    profile = _profile(near, comp, instance, feature).groupBy(instance).agg(F.map_from_entries(F.collect_list(F.struct(feature, F.struct("share", "scale")))).alias("__profile"))
+    listed = F.array(*map(F.lit, names))
+
+    def value(name: Column) -> Column:
+        own = F.element_at("__profile", name)
+        around = F.coalesce(F.element_at("counts", name), F.lit(0)) / F.col("total")
+        return F.when(own.isNotNull(), (around - own["share"]) / own["scale"]).otherwise(0.0)
+
+    entries = near.join(profile, instance).select("pixel_id", F.transform(listed, value).alias("flux"), "total")
+    out = pixels.join(entries, "pixel_id", "left")
     zeros = F.array_repeat(F.lit(0.0), len(names))
     out = out.select(instance, "pixel_id", "x", "y", F.coalesce("flux", zeros).alias("flux"), F.coalesce("total", F.lit(0)).alias("flux_counts")).persist()
     trained = out if train_size >= 1 else out.sample(False, train_size, seed)

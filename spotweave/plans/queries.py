@@ -278,12 +278,12 @@ def lp_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(fx.GENE, *(r(c).alias(c) for c in out.columns if c != fx.GENE))
 
 
-def _thin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Flux on a raster of step 8: (rows by pixel and feature, pixels)."""
+def _thin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flux on a raster of step 8, a row for each pixel and feature."""
     ds = fx.load(spark, sf_dir)
     pixels = shape_features.raster(ds.shapes[fx.CELL], 8.0).withColumnRenamed("shape_id", fx.CELL).withColumn("pixel_id", F.xxhash64(fx.CELL, "x", "y"))
     near = flux.pixel_counts(ds.points[fx.POINTS], pixels, fx.CELL, fx.GENE, RADIUS)
-    return flux.flux_long(near, flux.composition(ds.points[fx.POINTS], fx.CELL, fx.GENE), fx.CELL, fx.GENE), pixels
+    return flux.flux_long(near, flux.composition(ds.points[fx.POINTS], fx.CELL, fx.GENE), fx.CELL, fx.GENE)
 
 
 @query
@@ -293,13 +293,12 @@ def flux_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def flux_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long, pixels = _thin(spark, sf_dir)
-    return long.join(pixels.select("pixel_id", "x", "y"), "pixel_id").select(fx.CELL, "x", "y", fx.GENE, r("flux").alias("flux"))
+    return _thin(spark, sf_dir).select(fx.CELL, "x", "y", fx.GENE, r("flux").alias("flux"))
 
 
 @query
 def fe_wsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flux.weighted_sums(_thin(spark, sf_dir)[0], fx.gene_sets(spark, sf_dir), [fx.CELL], fx.GENE).withColumn("score", r("score"))
+    return flux.weighted_sums(_thin(spark, sf_dir), fx.gene_sets(spark, sf_dir), [fx.CELL], fx.GENE).withColumn("score", r("score"))
 
 
 @query
