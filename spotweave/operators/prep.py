@@ -76,6 +76,17 @@ def prep(ds: SpatialDataset, points_key: str, feature_key: str, instance_key: st
     return out.with_attrs(points_key=points_key, feature_key=feature_key, instance_key=instance_key, shape_keys=[instance_key, *others])
 
 
+def colocate(ds: SpatialDataset, partitions: int | None = None) -> SpatialDataset:
+    """Points dealt to partitions by their instance, once: groups and self-joins by instance then need no shuffle.
+
+    The number is explicit, so that adaptive execution does not merge partitions that are small in bytes but make many pairs.
+    """
+    key, instance = ds.attrs["points_key"], ds.attrs["instance_key"]
+    spark = ds.points[key].sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return ds.with_points(key, ds.points[key].repartition(n, instance))
+
+
 # Accessors -------------------------------------------------------------------------------------------------------------
 
 
