@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .families import components, family_links, groups, in_blocks, list_column, roots, settle
+from .idfilter import id_filter
 from .scratch import materialize
 
 SHINGLE = 5
@@ -229,8 +230,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     meeting = banded.join(crowded, "bucket").join(classes.select("node", "signature"), "node")
     edges = in_blocks(meeting, "bucket", "size", bucket_block).mapInArrow(_pruner(threshold, tolerance), "a bigint, b bigint")
     families = components(edges)
-    members = families.join(classes.select("node", "id", "weight", "set_a", "set_b"), "node")
-    texts = members.join(rows.select("id", "text"), "id")
+    members = materialize(families.join(classes.select("node", "id", "weight", "set_a", "set_b"), "node"), "members")
+    # Only texts of members, and few others, go into the shuffle.
+    texts = members.join(rows.select("id", "text").filter(id_filter(members, "id", members.count())), "id")
     # Rows with one id and different texts: only the class's own text stays.
     with_sets = texts.select(F.struct("node", "set_a", "set_b").alias("node"), "component", "weight", "text").mapInArrow(
         _own_sets, "node bigint, component bigint, weight bigint, shingles array<bigint>"
@@ -274,7 +276,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id all stay; of rows that repeat both doc_id and text one stays.
     """
     found = materialize(join(docs.select("doc_id", "text")), "joined")
-    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    gone = materialize(gone, "gone")
+    # Rows that the filter clears stay where they are; only the others meet the ids that go.
+    doubtful = id_filter(gone, "doc_id", gone.count())
+    checked = docs.filter(doubtful).join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    left = docs.filter(~doubtful).unionByName(checked)
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
