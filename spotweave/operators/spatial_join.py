@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geom
 
@@ -141,14 +142,40 @@ def binned_radius_pairs(points: DataFrame, key: str, r: float, carry: list[str])
     return q.join(p, on).drop("__key", "__gx", "__gy", "__qx", "__qy")
 
 
-def nearest(points: DataFrame, key: str, k: int, carry: list[str], queries: DataFrame | None = None, query_id: str = "point_id") -> DataFrame:
-    """The k nearest points of the same key for each query (all of them if fewer), nearest first as `rank` 1, 2 ...; ties go by x, y and carry."""
+def nearest(points: DataFrame, key: str, k: int, carry: list[str], queries: DataFrame | None = None, query_id: str = "point_id", block: int = 512) -> DataFrame:
+    """(key, query_id, qx, qy, q_<carry>, carry, x, y, d2, rank): the k nearest points of the same key for each query (all if fewer), rank 1 the nearest; ties go by x, y, carry, point_id.
+
+    A key's points and queries meet in one task, in Arrow; distances are made for `block` queries at a time, so only k rows
+    a query leave it and no list of pairs is sorted.
+    """
     queries = points if queries is None else queries
-    q = queries.select(F.col(key).alias("__key"), F.col(query_id).alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), *(F.col(c).alias(f"q_{c}") for c in carry if c in queries.columns))
-    pairs = q.join(points.select(key, "point_id", "x", "y", *carry), F.col("__key") == F.col(key)).drop("__key")
-    d2 = (F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2
-    order = Window.partitionBy("query_id").orderBy("d2", "x", "y", *carry, "point_id")
-    return pairs.withColumn("d2", d2).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    own = [c for c in carry if c in queries.columns]
+    q = queries.select(key, F.lit(1).alias("__side"), F.col(query_id).alias("__id"), "x", "y", *(F.col(c).cast("string").alias(c) if c in own else F.lit(None).cast("string").alias(c) for c in carry))
+    p = points.select(key, F.lit(0).alias("__side"), F.col("point_id").alias("__id"), "x", "y", *(F.col(c).cast("string").alias(c) for c in carry))
+    fields = [f"{key} string", "query_id bigint", "qx double", "qy double", *(f"q_{c} string" for c in own), *(f"{c} string" for c in carry), "point_id bigint", "x double", "y double", "d2 double", "`rank` int"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        side = frame["__side"].to_numpy()
+        # In the order of ties: a stable sort by distance keeps it.
+        near = frame[side == 0].sort_values(["x", "y", *carry, "__id"], kind="stable").reset_index(drop=True)
+        ask = frame[side == 1].reset_index(drop=True)
+        n = min(k, len(near))
+        rows, picks, squares = [], [], []
+        x, y = near["x"].to_numpy(), near["y"].to_numpy()
+        for first in range(0, len(ask) if n else 0, block):
+            part = ask.iloc[first : first + block]
+            dx, dy = x - part["x"].to_numpy()[:, None], y - part["y"].to_numpy()[:, None]
+            d2 = dx * dx + dy * dy
+            order = np.argsort(d2, axis=1, kind="stable")[:, :n]
+            rows.append(np.repeat(part.index.to_numpy(), n))
+            picks.append(order.ravel())
+            squares.append(np.take_along_axis(d2, order, axis=1).ravel())
+        row, pick = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, picks))
+        a, b = ask.iloc[row].reset_index(drop=True), near.iloc[pick].reset_index(drop=True)
+        out = {key: a[key], "query_id": a["__id"], "qx": a["x"], "qy": a["y"], **{f"q_{c}": a[c] for c in own}, **{c: b[c] for c in carry}, "point_id": b["__id"], "x": b["x"], "y": b["y"]}
+        return pd.DataFrame({**out, "d2": np.concatenate(squares) if squares else np.zeros(0), "rank": np.tile(np.arange(1, n + 1), len(ask)) if n else np.zeros(0, int)})
+
+    return p.unionByName(q).groupBy(key).applyInPandas(run, ", ".join(fields))
 
 
 __all__ = ["binned_radius_pairs", "covers", "map_shapes", "merge_children", "nearest", "points_in_shapes", "radius_pairs", "tiled"]
