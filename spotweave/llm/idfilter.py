@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A bit array of 64 KB to 8 MB, about 16 bits an id; beyond that it lets more rows pass.
+from .scratch import materialize
+
+#: At most 2**20 words of 64 bits; about 16 bits an id. Beyond that it lets more rows pass.
 LEAST_BITS, MOST_BITS = 1 << 19, 1 << 26
 
 
-def id_filter(ids: DataFrame, column: str, n: int) -> Column:
-    """A boolean column over `column`, false only for ids that are not among ids (n rows); NULL is never among them."""
-    spark = ids.sparkSession
+def mark(df: DataFrame, by: str, ids: DataFrame, column: str, n: int, out: str) -> DataFrame:
+    """df with the boolean column out, false only where `by` is not among `column` of ids (n rows); NULL is never among them.
+
+    The bits are words in a table of at most MOST_BITS / 64 rows, which is broadcast.
+    """
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, 16 * n) - 1).bit_length()))
-    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
-    words = ids.filter(F.col(column).isNotNull()).select(place.alias("p"))
-    found = words.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def among(p: pd.Series) -> pd.Series:
-        at = p.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return F.col(column).isNotNull() & among(F.coalesce(place, F.lit(0).cast("long")))
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+
+    one = F.expr("shiftleft(1L, cast(__place & 63 as int))")
+    words = ids.filter(F.col(column).isNotNull()).select(place(column).alias("__place"))
+    words = materialize(words.groupBy(F.shiftright("__place", 6).alias("__word")).agg(F.bit_or(one).alias("__bits")), "idfilter")
+    placed = df.withColumn("__place", F.when(F.col(by).isNotNull(), place(by)))
+    joined = placed.join(F.broadcast(words), F.shiftright("__place", 6) == F.col("__word"), "left")
+    return joined.withColumn(out, F.coalesce(F.col("__bits").bitwiseAND(one) != 0, F.lit(False))).drop("__place", "__word", "__bits")

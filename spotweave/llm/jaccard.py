@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .families import components, family_links, groups, in_blocks, list_column, roots, settle
-from .idfilter import id_filter
+from .idfilter import mark
 from .scratch import materialize
 
 SHINGLE = 5
@@ -232,7 +232,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     families = components(edges)
     members = materialize(families.join(classes.select("node", "id", "weight", "set_a", "set_b"), "node"), "members")
     # Only texts of members, and few others, go into the shuffle.
-    texts = members.join(rows.select("id", "text").filter(id_filter(members, "id", members.count())), "id")
+    near = mark(rows.select("id", "text"), "id", members, "id", members.count(), "__near").filter("__near").drop("__near")
+    texts = members.join(near, "id")
     # Rows with one id and different texts: only the class's own text stays.
     with_sets = texts.select(F.struct("node", "set_a", "set_b").alias("node"), "component", "weight", "text").mapInArrow(
         _own_sets, "node bigint, component bigint, weight bigint, shingles array<bigint>"
@@ -279,8 +280,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     gone = materialize(gone, "gone")
     # Rows that the filter clears stay where they are; only the others meet the ids that go.
-    doubtful = id_filter(gone, "doc_id", gone.count())
-    checked = docs.filter(doubtful).join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    left = docs.filter(~doubtful).unionByName(checked)
+    marked = mark(docs, "doc_id", gone, "doc_id", gone.count(), "__doubtful")
+    checked = marked.filter("__doubtful").join(gone.select(F.col("doc_id").alias("__gone")), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    left = marked.filter("not __doubtful").unionByName(checked).drop("__doubtful")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 #: One random odd number for each byte, and the base of the rolling hash with its inverse modulo 2**64.
@@ -38,7 +38,7 @@ class _Powers:
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up), SLICE_BYTES + 1)
+            size = max(n + n // 4, SLICE_BYTES + 1)
             for name, base in (("up", BASE), ("down", BASE_INVERSE)):
                 out = np.empty(size, U64)
                 out[0], done = 1, 1
