@@ -228,11 +228,15 @@ def _run_grouped(wide: DataFrame, keys: list[str], f: PointFeature, instance: st
     columns = ["x", "y", *(F.col(f"{instance}_{r}").cast("double").alias(f"__{r}") for r in f.requires)]
     schema = ", ".join([*(f"{k} string" for k in keys), *(f"{c} double" for c in f.fields)])
 
-    def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        values = f.grouped(frame)
-        return pd.DataFrame([[*group, *(values.get(c, math.nan) for c in f.fields)]], columns=[*keys, *f.fields])
-
-    done = wide.select(*keys, *columns).groupBy(*keys).applyInPandas(run, schema)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for group, part in frame.groupby(keys, sort=False, dropna=False):
+            values = f.grouped(part)
+            rows.append([*group, *(values.get(c, math.nan) for c in f.fields)])
+        return pd.DataFrame(rows, columns=[*keys, *f.fields])
+
+    # One frame an instance: its groups are many and small.
+    done = wide.select(*keys, *columns).groupBy(keys[0]).applyInPandas(run, schema)
     return done.select(*keys, *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in f.fields))
 
 
