@@ -9,10 +9,12 @@ from math import e, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; it ends at the end tag only.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: They don't end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements and roles that are not of the article, and words of a class or an id that say so.
@@ -24,8 +26,9 @@ MARKS = frozenset(
     "related recommended recommendations widget toolbar pagination pager copyright paywall skip".split()
 )
 ARTICLE = frozenset(["article", "main"])
-#: A start tag of the key ends an open element of the values (and what is open inside it).
+#: Their start ends an open paragraph.
 BLOCKS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+#: A start tag of the key ends an open element of the values (and what is open inside it).
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]), "thead": frozenset(["tr", "td", "th"]), "tfoot": frozenset(["thead", "tbody", "tr", "td", "th"])}
 #: An implied end stops at these.
 SCOPE = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
@@ -206,7 +209,7 @@ class Page:
                     chosen[i] = True
                 i = parent[i]
         for i in range(1, n):
-            chosen[i] = (chosen[i] or chosen[parent[i]]) and True
+            chosen[i] = chosen[i] or chosen[parent[i]]
         return [c and not d for c, d in zip(chosen, dropped)]
 
     def _under(self, at: int, above: int) -> bool:
@@ -266,8 +269,6 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     kept = pages.drop(*({"text", "n_chars"} - {html}))
     names = [c for c in kept.columns if c != html]
     fields = [f for f in kept.schema.fields if f.name != html]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return kept.mapInArrow(_extract(kept.columns.index(html), [*names, "text", "n_chars"]), schema)
 

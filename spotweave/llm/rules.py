@@ -154,11 +154,6 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _context(order: int) -> Column:
-    """The key without its last symbol."""
-    return F.shiftright("key", SYMBOL_BITS)
-
-
 def _suffix(order: int) -> Column:
     """The key without its first symbol, language in front."""
     mask = (1 << _shift(order - 1)) - 1
@@ -206,7 +201,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
         n = F.col("n")
         cut = F.when(n == 0, 0.0).when(n == 1, one).when(n == 2, two).otherwise(more)
         by = Window.partitionBy("__context")
-        level = level.withColumn("__cut", cut).withColumn("__context", _context(order))
+        level = level.withColumn("__cut", cut).withColumn("__context", F.shiftright("key", SYMBOL_BITS))
         level = level.withColumn("__total", F.sum("n").over(by)).withColumn("__free", F.sum("__cut").over(by))
         own = F.when(F.col("__total") > 0, (n - F.col("__cut")) / F.col("__total")).otherwise(0.0)
         share = F.when(F.col("__total") > 0, F.col("__free") / F.col("__total")).otherwise(1.0)
