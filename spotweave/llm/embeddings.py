@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import ceil, erfc, log, sqrt
+from math import acos, ceil, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -14,49 +14,62 @@ from .families import components, family_links, groups, in_blocks, list_column,
 from .scratch import materialize
 
 THRESHOLD = 0.93
-#: A cap holds about so many vectors of the largest label; a pair at the threshold misses all caps once in exp(MISS) times.
-CAP_ROWS = 16
+#: A cap holds about so many vectors of the largest label, but at least MIN_SHARED of a cap's vectors have a given neighbour at the threshold in it.
+CAP_ROWS = 64
+MIN_SHARED = 0.1
+#: A pair at the threshold has an expected SHARED caps in common in a code; codes are added until it misses all caps once in exp(MISS) times.
+SHARED = 4.0
 MISS = 16.0
+#: Pairs on which a code's misses are measured.
+TRIALS = 1000
 SEED = 8
 BLOCK = 1024
-#: Single precision is used to find candidates only, this much below the threshold.
+#: Rounding to 8 bits and single precision find candidates only; this much is added to the rounding's own bound.
 SLACK = 1e-4
 
 
-def _tail(t: float) -> float:
-    return 0.5 * erfc(t / sqrt(2))
-
-
-def both_tails(t: float, cosine: float) -> float:
-    """P(X >= t, Y >= t) of standard normals with this correlation."""
-    x = np.linspace(t, t + 12, 4001)
-    side = sqrt(1 - cosine * cosine)
-    upper = np.array([_tail((t - cosine * u) / side) for u in x])
-    y = np.exp(-x * x / 2) / sqrt(2 * np.pi) * upper
-    return float((y[1:] + y[:-1]).sum() / 2 * (x[1] - x[0]))
+def cap_share(bound: float, width: int, cosine: float = 1.0) -> float:
+    """The share of the sphere's directions within the bound of both of two unit vectors with this cosine."""
+    first, last = acos(max(-1.0, min(1.0, cosine))) / 2, acos(bound)
+    if first >= last:
+        return 0.0
+    angle = np.linspace(first, last, 4001)
+    reach = np.maximum(0.0, 1 - (bound / np.cos(angle)) ** 2) ** ((width - 2) / 2)
+    return float((reach[1:] + reach[:-1]).sum() / 2 * (angle[1] - angle[0]) / pi)
 
 
 class ProductCode:
     """size**2 directions, each a pair of random unit vectors of the two halves of the rotated space.
 
     A vector belongs to all directions of which the inner product reaches the bound; the pairs are found by
-    walking the sorted products of the halves, so the work follows the number of directions found.
+    walking the sorted products of the halves, so the work follows the number of directions found. miss is the
+    expected number of caps that a pair at the threshold shares.
     """
 
-    def __init__(self, width: int, largest: int, threshold: float = THRESHOLD, cap_rows: int = CAP_ROWS, miss: float = MISS, seed: int = SEED) -> None:
+    def __init__(self, width: int, largest: int, threshold: float = THRESHOLD, cap_rows: int = CAP_ROWS, miss: float = SHARED, seed: int = SEED, turn: int = 0) -> None:
         share = min(0.25, cap_rows / max(1, largest))
-        low, high = 0.0, 8.0
+        self.half = max(1, (width + 1) // 2)
+        full = 2 * self.half
+        low, high = 0.0, 1.0
         for _ in range(60):
             t = (low + high) / 2
-            low, high = (t, high) if _tail(t) > share else (low, t)
-        self.size = max(2, ceil(sqrt(miss / both_tails(low, threshold))))
-        self.half = max(1, (width + 1) // 2)
-        self.bound = low / sqrt(2 * self.half)
-        rng = np.random.Generator(np.random.PCG64([seed, width]))
-        self.rotation = np.linalg.qr(rng.normal(size=(2 * self.half, 2 * self.half)))[0][:width]
-        codes = rng.normal(size=(2, self.size, self.half))
+            alone = cap_share(t, full)
+            low, high = (t, high) if alone > share and cap_share(t, full, threshold) >= MIN_SHARED * alone else (low, t)
+        self.bound = low
+        # On a line there are two directions.
+        self.size = max(2, ceil(sqrt(miss / cap_share(low, full, threshold)))) if self.half > 1 else 2
+        rng = np.random.Generator(np.random.PCG64([seed, width, turn]))
+        self.rotation = np.linalg.qr(rng.normal(size=(full, full)))[0][:width]
+        codes = rng.normal(size=(2, self.size, self.half)) if self.half > 1 else np.array([[[1.0], [-1.0]]] * 2)
         self.codes = codes / np.linalg.norm(codes, axis=2, keepdims=True) / sqrt(2)
 
+    def misses(self, threshold: float, rng: np.random.Generator) -> float:
+        """The share of TRIALS random pairs at the threshold that have no direction in common."""
+        x, y = random_pairs(TRIALS, len(self.rotation), threshold, rng)
+        (row, at), (other, there) = self.decode(x), self.decode(y)
+        common = np.intersect1d(row * self.size**2 + at, other * self.size**2 + there) // self.size**2
+        return 1 - len(np.unique(common)) / TRIALS
+
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and directions of all pairs that reach the bound."""
         turned = unit @ self.rotation
@@ -75,6 +88,32 @@ class ProductCode:
         return row, (pair % self.size) * self.size + order[row, rank]
 
 
+def random_pairs(n: int, width: int, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """n pairs of unit vectors with this cosine; of width 1, n pairs of equal ones."""
+    x, y = rng.normal(size=(2, n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if width == 1:
+        return x, x
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + sqrt(1 - cosine * cosine) * y
+
+
+def product_codes(width: int, largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> list[ProductCode]:
+    """Codes of rotations of their own, as many as bring the product of their measured misses to exp(-miss).
+
+    A rotation is as good as a random pair, so what two codes miss is independent for any pair; directions of one
+    code share halves and are not.
+    """
+    rng = np.random.Generator(np.random.PCG64([SEED, width, largest]))
+    codes: list[ProductCode] = []
+    got = 0.0
+    while got < miss:
+        codes.append(ProductCode(width, largest, threshold, turn=len(codes)))
+        got -= log(max(codes[-1].misses(threshold, rng), 1 / TRIALS))
+    return codes
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     values, lengths = list_column(pa.chunked_array([column]) if isinstance(column, pa.Array) else column)
     return values.reshape(len(lengths), -1) if len(lengths) else np.zeros((0, 1))
@@ -86,25 +125,47 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _decoder(codes: dict[int, ProductCode]):
+def _decoder(codes: dict[int, list[ProductCode]]):
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(node, group, width, embedding) to a row (bucket, node) for each direction."""
         for batch in batches:
             widths = batch.column(2).to_numpy()
             for width in np.unique(widths):
-                code = codes[int(width)]
                 some = batch.filter(pa.array(widths == width))
-                step = max(1, (1 << 20) // code.size)
-                for first in range(0, some.num_rows, step):
-                    part = some.slice(first, step)
-                    row, direction = code.decode(_units(_matrix(part.column(3))))
-                    group = part.column(1).to_numpy()[row]
-                    bucket = group.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (direction.astype(np.uint64) + np.uint64(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(group), pa.array(part.column(0).to_numpy()[row])], names=["bucket", "group", "node"])
+                before = 0
+                for code in codes[int(width)]:
+                    step = max(1, (1 << 20) // code.size)
+                    for first in range(0, some.num_rows, step):
+                        part = some.slice(first, step)
+                        row, direction = code.decode(_units(_matrix(part.column(3))))
+                        group = part.column(1).to_numpy()[row]
+                        bucket = group.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (direction.astype(np.uint64) + np.uint64(before + 1))
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(group), pa.array(part.column(0).to_numpy()[row])], names=["bucket", "group", "node"])
+                    before += code.size**2
 
     return decode
 
 
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, width, embedding) to (node, sketch): the unit vector's components in 8 bits, then how far off they are as a float."""
+    for batch in batches:
+        widths = batch.column(1).to_numpy()
+        for width in np.unique(widths):
+            some = batch.filter(pa.array(widths == width))
+            unit = _units(_matrix(some.column(2)))
+            small = np.rint(unit * (127 / np.abs(unit).max(axis=1, keepdims=True))).astype(np.int8)
+            off = np.linalg.norm(unit - _units(small.astype(float)), axis=1).astype("<f4")
+            packed = np.concatenate([small.view(np.uint8), off[:, None].view(np.uint8)], axis=1)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([r.tobytes() for r in packed], pa.binary())], names=["node", "sketch"])
+
+
+def _unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of one width to unit vectors and how far off each is."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    small = packed[:, :-4].view(np.int8).astype(np.float32)
+    return small / np.linalg.norm(small, axis=1, keepdims=True), np.ascontiguousarray(packed[:, -4:]).view("<f4")[:, 0]
+
+
 def _linker(threshold: float):
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of a bucket to candidate edges (a, b): each row to the smallest that it reaches."""
@@ -112,8 +173,9 @@ def _linker(threshold: float):
             if run.num_rows < 2:
                 continue
             nodes = run["node"].to_numpy()
-            unit = _units(_matrix(run["embedding"])).astype(np.float32)
-            close = unit @ unit.T >= threshold - SLACK
+            unit, off = _unpack(run["sketch"])
+            # A product of two vectors is off by no more than both together.
+            close = unit @ unit.T + off[:, None] + off >= threshold - SLACK
             if close.sum() > len(nodes):
                 root = roots(close, nodes)
                 moved = root != nodes
@@ -136,7 +198,8 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     Two vectors link if labels and widths are equal and the cosine, in doubles, is at least threshold. Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing, nor do those without a label.
     Equal vectors of a label are one class and never meet in pairs. The number of directions follows the largest
-    label, so that a cap holds about CAP_ROWS vectors; a crowded cap is matched in blocks. Inside a family that caps
+    label, so that a cap holds about CAP_ROWS vectors, and what the codes miss is measured (product_codes); a crowded cap
+    is matched in blocks. Inside a family that caps
     have found, all pairs are verified, in blocks, and only counts and the smallest member leave a block. component_id
     is the smallest vec_id reached, kept is vec_id = component_id; a null vec_id alone has a null component and stays.
     Repeated rows are copies; other columns are left out; an empty table gives an empty result.
@@ -154,11 +217,12 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     by_width: dict[int, int] = {}
     for r in classes.groupBy("group", "width").count().groupBy("width").agg(F.max("count").alias("n")).collect():
         by_width[r["width"]] = r["n"]
-    codes = {width: ProductCode(width, n, threshold, miss=miss) for width, n in by_width.items()}
+    codes = {width: product_codes(width, n, threshold, miss) for width, n in by_width.items()}
     dealt = classes.select("node", "group", "width", "embedding").mapInArrow(_decoder(codes), "bucket bigint, group bigint, node bigint")
     dealt = materialize(dealt, "caps")
     crowded = dealt.groupBy("bucket", "group").agg(F.count("*").alias("size")).filter("size > 1")
-    meeting = dealt.join(crowded, ["bucket", "group"]).join(classes.select("node", F.col("embedding").cast("array<float>").alias("embedding")), "node")
+    sketches = classes.select("node", "width", "embedding").mapInArrow(_sketch, "node bigint, sketch binary")
+    meeting = dealt.join(crowded, ["bucket", "group"]).join(sketches, "node")
     keyed = in_blocks(meeting.withColumn("cap", F.xxhash64("bucket", "group")).drop("bucket", "group"), "cap", "size", block)
     edges = keyed.mapInArrow(_linker(threshold), "a bigint, b bigint")
     families = components(edges)

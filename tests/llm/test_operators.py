@@ -325,6 +325,32 @@ def test_embedding_recall(spark):
     assert found >= 0.99 * want
 
 
+@pytest.mark.parametrize("largest", [200, 2_000, 20_000, 200_000])
+def test_caps_of_isolated_pairs(largest):
+    """Pairs at the threshold share a cap under production parameters, and caps stay as small as they should be."""
+    codes = embeddings.product_codes(64, largest)
+    x, y = embeddings.random_pairs(2000, 64, embeddings.THRESHOLD, np.random.default_rng(3))
+    met, dealt, directions = np.zeros(len(x), bool), 0, 0
+    for code in codes:
+        (row, at), (other, there) = code.decode(x), code.decode(y)
+        met[np.intersect1d(row * code.size**2 + at, other * code.size**2 + there) // code.size**2] = True
+        dealt, directions = dealt + len(row), directions + code.size**2
+    assert met.all()
+    share = min(0.25, embeddings.CAP_ROWS / largest)
+    assert 0.7 * share < dealt / len(x) / directions < 1.3 * share
+
+
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_isolated_pairs_of_a_label(spark, n):
+    """100 pairs at a cosine just over the threshold, alone in a label of n rows, all link and nothing else does."""
+    rng = np.random.default_rng(n)
+    x, y = embeddings.random_pairs(100, 64, 0.9301, rng)
+    v = np.concatenate([x, y, rng.normal(size=(n - 200, 64))])
+    rows = spark.createDataFrame([(i, e, 0) for i, e in enumerate(v.tolist())], "vec_id bigint, embedding array<double>, label int")
+    out = embeddings.near_copies(rows).filter("n_links > 0").collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {i: (1, i % 100) for i in range(200)}
+
+
 # Pages and pieces -------------------------------------------------------------------------------------------------------
 
 
