@@ -19,8 +19,9 @@ SYMBOL_BITS = 7
 N_SYMBOLS = 1 << SYMBOL_BITS
 #: n-grams of the model that a task holds at once (12 bytes each, 96 MB); beyond that, ranges of the model are scored one after the other.
 SHARD_ROWS = 8_000_000
-#: A text is kept within so many robust deviations of its language's median log perplexity, at least MIN_SPREAD wide each.
-BAND = 10.0
+#: A text is kept from so many robust deviations below to so many above its language's median log perplexity, at least
+#: MIN_SPREAD wide each. Chosen on labelled rows; see README.
+BAND_LOW, BAND_HIGH = 3.5, 3.0
 MIN_SPREAD = 0.02
 BASE_FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -113,8 +114,16 @@ def _shift(order: int) -> int:
     return SYMBOL_BITS * order
 
 
-def count_grams(rows: DataFrame) -> DataFrame:
-    """(key, n) of all texts of rows (lang_id int, text): key is lang_id and the n-gram's code; counted in tasks, summed by Spark."""
+def base_failed(n_words, n_repeat_words):
+    """Of columns or arrays: whether texts with these counts fail."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
+def count_grams(rows: DataFrame, sound_only: bool = False) -> DataFrame:
+    """(key, n) of all texts of rows (lang_id int, text): key is lang_id and the n-gram's code; counted in tasks, summed by Spark.
+
+    With sound_only, n-grams of texts that are base_failed are there but count nothing.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -139,7 +148,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
             for first, last, data, offsets in tk.slices(batch.column(1)):
                 codes, at = gram_codes(data, offsets)
                 codes |= np.repeat(langs[first:last] << _shift(ORDER), np.diff(at))
-                waiting.append(np.unique(codes, return_counts=True))
+                if sound_only:
+                    counts = base_counts(data, offsets)
+                    failed = np.repeat(base_failed(counts[0], counts[4]), np.diff(at))
+                    grams, which = np.unique(codes, return_inverse=True)
+                    waiting.append((grams, np.bincount(which[~failed], minlength=len(grams))))
+                else:
+                    waiting.append(np.unique(codes, return_counts=True))
                 size += len(waiting[-1][0])
                 if size > 2_000_000:
                     merge()
@@ -248,11 +263,11 @@ def _ranges(model: DataFrame, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
 SUMS = "__total double, __chars bigint"
 
 
-def measure(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def measure(docs: DataFrame, shard_rows: int = SHARD_ROWS, sound_only: bool = False) -> DataFrame:
     """docs (lang, text, ...) without text, with the columns of BASE_FIELDS and log_ppl.
 
     log_ppl is the mean of -log p over the characters, under the model of the text's language, counted over all of
-    docs; null for a text without characters. A null lang is a language of its own. The model goes to the
+    docs, or with sound_only over those that are not base_failed; null for a text without characters. A null lang is a language of its own. The model goes to the
     executors as sorted arrays of at most about shard_rows n-grams; a larger one goes in ranges, one after the
     other, and a text's sum is the sum over them, so memory has a bound at any size.
     """
@@ -263,7 +278,7 @@ def measure(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     langs = sorted({r["lang"] or "" for r in docs.select("lang").distinct().collect()}) or [""]
     ids = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))])
     lang_id = ids[F.coalesce("lang", F.lit(""))]
-    grams = materialize(count_grams(docs.select(lang_id.alias("lang_id"), "text")), "grams")
+    grams = materialize(count_grams(docs.select(lang_id.alias("lang_id"), "text"), sound_only), "grams")
     model = materialize(kneser_ney(grams), "model")
     n_ranges = max(1, -(-model.count() // shard_rows))
     rows = docs.select(F.struct(*others).alias("__row"), lang_id.alias("__lang_id"), "text")
@@ -284,25 +299,25 @@ def measure(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return out.select(*(F.col(f"__row.{c}").alias(c) for c in others), *taken[:-1], log_ppl.alias("log_ppl"))
 
 
-def judge(docs: DataFrame, band: float = BAND) -> DataFrame:
+def judge(docs: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) -> DataFrame:
     """docs (lang, text, ...) without text, with the columns of BASE_FIELDS, base_failed, log_ppl, band_low, band_high and kept.
 
     Words are runs of other bytes than space, tab to carriage return; see base_counts. base_failed: under 50
     words, or over half of the words in 3-word windows that come again. kept: not base_failed, and the text's log
-    perplexity lies in its language's band, median +- band robust deviations of all texts of that language that
-    are not base_failed. Null or empty texts fail; equal rows have equal results; a language with one text keeps it.
+    perplexity lies in its language's band, from low robust deviations below the median to high above it, both of all
+    texts of that language that are not base_failed; of these alone the model is counted. Null or empty texts fail; equal rows have equal results; a language with one text keeps it.
     Other columns stay; the new ones replace columns of the same names.
     """
     docs = docs.drop("base_failed", "band_low", "band_high", "kept")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    measured = materialize(measure(docs).withColumn("base_failed", failed), "measured")
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    measured = materialize(measure(docs, sound_only=True).withColumn("base_failed", failed), "measured")
     lang = F.coalesce("lang", F.lit("")).alias("__lang")
     sound = measured.filter(~F.col("base_failed")).select(lang, "log_ppl")
     middle = sound.groupBy("__lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("__mid"))
     # One row a language: as many as the model has.
     spread = sound.join(F.broadcast(middle), "__lang").groupBy("__lang", "__mid").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("__mid")), 0.5, 10_000).alias("__off"))
-    width = F.lit(band) * F.greatest(1.4826 * F.col("__off"), F.lit(MIN_SPREAD))
-    bands = spread.select(F.col("__lang").alias("__of"), (F.col("__mid") - width).alias("band_low"), (F.col("__mid") + width).alias("band_high"))
+    width = F.greatest(1.4826 * F.col("__off"), F.lit(MIN_SPREAD))
+    bands = spread.select(F.col("__lang").alias("__of"), (F.col("__mid") - F.lit(low) * width).alias("band_low"), (F.col("__mid") + F.lit(high) * width).alias("band_high"))
     out = measured.join(F.broadcast(bands), F.coalesce("lang", F.lit("")) == F.col("__of"), "left").drop("__of")
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & inside)

@@ -211,6 +211,23 @@ def test_rules(docs, odd, empty):
     assert rules.judge(empty).count() == 0
 
 
+def test_bands_separate(spark, docs, labels):
+    """Labelled and planted junk goes, labelled good texts stay, and texts that fail the base rules don't vouch for others."""
+    plain = docs.select("doc_id", "lang", "text")
+    truth = {r["doc_id"]: r["quality"] for r in labels.filter("quality is not null").collect()}
+    out = rules.judge(plain).collect()
+    sound = {q: [r["kept"] for r in out if not r["base_failed"] and truth.get(r["doc_id"]) == q] for q in (0, 1)}
+    assert np.mean(sound[1]) > 0.95 and np.mean(sound[0]) < 0.7
+    clean = [r["text"] for r in plain.filter("lang = 'en'").collect() if truth.get(r["doc_id"]) == 1 and 80 < len(r["text"].split()) < 400][:20]
+    junk = [" | ".join(t.split()[::2]) + " |" for t in clean] + ["".join(sorted(t)) + " " + " ".join(t.split()[:60]) for t in clean]
+    rows = spark.createDataFrame([(10**9 + i, "en", t) for i, t in enumerate(junk)], "doc_id bigint, lang string, text string")
+    got = [r for r in rules.judge(plain.unionByName(rows)).collect() if r["doc_id"] >= 10**9 and not r["base_failed"]]
+    assert len(got) >= 20 and np.mean([r["kept"] for r in got]) < 0.1
+    short = spark.createDataFrame([(2 * 10**9 + i, "en", "qzx vvk " * 10) for i in range(300)], "doc_id bigint, lang string, text string")
+    with_short = {r["doc_id"]: r["log_ppl"] for r in rules.judge(plain.unionByName(short)).collect()}
+    assert all(with_short[r["doc_id"]] == pytest.approx(r["log_ppl"], rel=1e-5) for r in out if not r["base_failed"])
+
+
 # Near copies --------------------------------------------------------------------------------------------------------------
 
 
