@@ -17,7 +17,8 @@ ORDERS = (3, 4)
 BITS = 20
 PROBES = 3
 DOCS_A_LANGUAGE = 1500
-#: An n-gram belongs to a language in which it has at least this share of its highest rate, and so many occurrences.
+#: An n-gram belongs to a language in which it has at least this share of its highest rate, and so many occurrences (or as
+#: many as the language has distinct texts, if those are fewer).
 MIN_SHARE = 0.3
 MIN_COUNT = 3
 MAX_LANGUAGES = 64
@@ -99,8 +100,8 @@ class LanguageFilters:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, total)], score
 
 
-def build(counts: Iterable[tuple[str, int, int]], languages: list[str]) -> LanguageFilters:
-    """Filters from (language, n-gram hash as a signed long, occurrences)."""
+def build(counts: Iterable[tuple[str, int, int]], languages: list[str], least: dict[str, int] | None = None) -> LanguageFilters:
+    """Filters from (language, n-gram hash as a signed long, occurrences); least has the occurrences needed if not MIN_COUNT."""
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
     width = len(languages)
@@ -113,7 +114,7 @@ def build(counts: Iterable[tuple[str, int, int]], languages: list[str]) -> Langu
         keys, which = np.unique(hashes.astype(np.int64), return_inverse=True)
         rate = np.zeros((len(keys), width))
         rate[which, lang] = n
-        common = rate >= MIN_COUNT
+        common = rate >= np.array([(least or {}).get(name, MIN_COUNT) for name in languages])
         rate /= np.maximum(rate.sum(axis=0), 1)
         member = common & (rate >= MIN_SHARE * rate.max(axis=1, keepdims=True))
         unsigned = keys.view(np.uint64)
@@ -142,18 +143,22 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE) -> LanguageFilters:
     """Learn the filters from text and lang of the rows where train holds and neither is null.
 
-    About docs_a_language rows of each language are used, chosen by a hash of the text, so what the driver gets is
-    bounded by their n-grams. The filters take 2**BITS masks, whatever the input.
+    About docs_a_language distinct texts of each language are used, each once however many copies there are, so what
+    the driver gets is bounded by their n-grams; of a language with fewer, all are. The filters take 2**BITS masks,
+    whatever the input.
     """
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashed = rows.select("lang", F.xxhash64("text", F.lit(10)).alias("hash"))
+    sizes = {r["lang"]: r["count"] for r in hashed.distinct().groupBy("lang").count().collect()}
     if not sizes:
         return build([], [])
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(1_000_000 * min(1, docs_a_language / n)) + 1)) for k, n in sizes.items()))
-    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
     counted = some.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.filter(F.col("n") >= MIN_COUNT).collect()
-    return build(((r["lang"], r["gram"], r["n"]) for r in found), sorted(sizes))
+    least = {k: min(MIN_COUNT, n) for k, n in sizes.items()}
+    needed = F.create_map(*chain.from_iterable((F.lit(k), F.lit(n)) for k, n in least.items()))
+    found = counted.filter(F.col("n") >= needed[F.col("lang")]).collect()
+    return build(((r["lang"], r["gram"], r["n"]) for r in found), sorted(sizes), least)
 
 
 def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:

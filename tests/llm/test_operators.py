@@ -102,6 +102,22 @@ def test_language_of_odd_rows(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_of_many_copies(spark, docs):
+    """Copies neither push a language out of the sample nor add to its n-grams."""
+    distinct = docs.select("doc_id", "lang", "text").dropDuplicates(["text"]).cache()
+    many = distinct.filter("lang = 'fr'").orderBy("doc_id").limit(20).crossJoin(spark.range(100).select("id")).drop("id")
+    rows = distinct.filter("lang = 'en'").unionByName(many)
+    model = langid.fit(rows, F.lit(True), 30)
+    out = langid.identify(distinct.filter("lang = 'fr'").withColumn("is", F.col("lang")), model).collect()
+    assert np.mean([r["lang_pred"] == r["is"] for r in out]) > 0.9
+    hot = distinct.filter("lang = 'en'").orderBy("doc_id").limit(1).crossJoin(spark.range(2000).select("id")).drop("id")
+    one, other = (langid.fit(d, F.lit(True)) for d in (distinct, distinct.unionByName(hot)))
+    assert (one.planes == other.planes).all()
+    single = spark.createDataFrame([(i, "xx", "zuvolo kidrami pentuga") for i in range(5)], "doc_id bigint, lang string, text string")
+    model = langid.fit(distinct.unionByName(single), F.lit(True))
+    assert {r["lang_pred"] for r in langid.identify(single, model).collect()} == {"xx"}
+
+
 # Quality and toxicity ---------------------------------------------------------------------------------------------------
 
 
