@@ -53,7 +53,7 @@ class ChunkCache:
         if self.used > CACHE_IDS:
             self.clear()
         ends = np.append(starts[1:], len(data))
-        keys = tk.span_hash(tk.prefix_hash(data), starts, ends)
+        keys = tk.span_hash(data, starts, ends)
         slot = (keys % np.uint64(SLOTS)).astype(np.int64)
         first, lengths = self.first[slot].astype(np.int64), self.length[slot].astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != keys)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from . import textkernel as tk
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup; it ends at the end tag only.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -270,7 +272,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     names = [c for c in kept.columns if c != html]
     fields = [f for f in kept.schema.fields if f.name != html]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return kept.mapInArrow(_extract(kept.columns.index(html), [*names, "text", "n_chars"]), schema)
+    return tk.small_batches(kept).mapInArrow(_extract(kept.columns.index(html), [*names, "text", "n_chars"]), schema)
 
 
 def op2_query(spark: SparkSession, sf_dir: str) -> DataFrame:

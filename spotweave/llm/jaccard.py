@@ -36,7 +36,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     n_rows = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n_rows + 1, np.int64)
-    words = tk.span_hash(tk.prefix_hash(data), starts, ends)
+    words = tk.span_hash(data, starts, ends)
     counts = np.diff(firsts)
     take = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
     at = tk.ragged(firsts[:-1], take)
@@ -218,7 +218,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     schema = "id bigint, set_a bigint, set_b bigint, n_shingles bigint, signature binary"
     known = F.struct("doc_id", "id").alias("id")
     wide = T.StructType([T.StructField("id", T.StructType().add("doc_id", T.LongType()).add("id", T.LongType())), *T._parse_datatype_string(schema).fields[1:]])
-    features = rows.select(known, "text").mapInArrow(_features, wide)
+    features = tk.small_batches(rows.select(known, "text")).mapInArrow(_features, wide)
     features = materialize(features.select("id.doc_id", "id.id", "set_a", "set_b", "n_shingles", "signature"), "features")
     sets = features.filter("n_shingles > 0").groupBy("set_a", "set_b")
     classes = sets.agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("signature").alias("signature"))

@@ -154,21 +154,17 @@ def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE)
         return build([], [])
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(1_000_000 * min(1, docs_a_language / n)) + 1)) for k, n in sizes.items()))
     some = rows.filter(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
-    counted = some.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = tk.small_batches(some).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     least = {k: min(MIN_COUNT, n) for k, n in sizes.items()}
     needed = F.create_map(*chain.from_iterable((F.lit(k), F.lit(n)) for k, n in least.items()))
     found = counted.filter(F.col("n") >= needed[F.col("lang")]).collect()
     return build(((r["lang"], r["gram"], r["n"]) for r in found), sorted(sizes), least)
 
 
-def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
-    """docs with lang_pred (string) and score (double, the share of n-grams that the language's filter holds).
+FIELDS = "lang_pred string, score double"
 
-    A null, empty or letterless text gives und and 0; with no language learned all give und. Equal counts go to
-    the first language by name. Whole texts count, of any length. Other columns stay; lang_pred and score are
-    replaced.
-    """
 
+def _predictor(model: LanguageFilters):
     def make():
         def work(data: np.ndarray, offsets: np.ndarray) -> list:
             names, score = model.predict(data, offsets)
@@ -176,7 +172,18 @@ def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
 
         return work
 
-    return tk.append_columns(docs, "text", "lang_pred string, score double", make)
+    return make
+
+
+def identify(docs: DataFrame, model: LanguageFilters) -> DataFrame:
+    """docs with lang_pred (string) and score (double, the share of n-grams that the language's filter holds).
+
+    A null, empty or letterless text gives und and 0; with no language learned all give und. Equal counts go to
+    the first language by name. Whole texts count, of any length. Other columns stay; lang_pred and score are
+    replaced.
+    """
+
+    return tk.append_columns(docs, "text", FIELDS, _predictor(model))
 
 
 def _remainder(by: int) -> Column:
@@ -196,8 +203,5 @@ MIN_SCORE = 0.3
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents in a learned language. Gone are und and texts of which few n-grams belong to any language."""
     model = fit(docs, _remainder(5) != 0)
-    names = docs.columns
-    # The row keeps its own columns, whatever they are called.
-    rows = docs.select(F.struct(*names).alias("row"), "text")
-    kept = identify(rows, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return kept.select("row.*")
+    found = tk.small_batches(docs).withColumn("__language", tk.kernel(FIELDS, _predictor(model), F.col("text")))
+    return found.filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= MIN_SCORE)).drop("__language")

@@ -209,7 +209,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = narrow.mapInArrow(_cutter(tokenizer_path, capacity, with_ids), _piece_schema(with_ids))
+    pieces = tk.small_batches(narrow).mapInArrow(_cutter(tokenizer_path, capacity, with_ids), _piece_schema(with_ids))
     pieces = materialize(pieces.withColumn("__rid", F.monotonically_increasing_id()), "pieces")
     own = F.col("length") == capacity
     counts = {r["length"]: r["count"] for r in pieces.filter(~own).groupBy("length").count().collect()}

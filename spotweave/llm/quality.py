@@ -68,7 +68,7 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray, size: int = PASSAGE_W
             held = (upto[ends] - upto[starts]).astype(np.float32)
             upper, symbols = (held, None) if j == 1 else (upper, held)
     length = (ends - starts).astype(np.float32)
-    hashes = tk.span_hash(tk.prefix_hash(data), starts, ends)
+    hashes = tk.span_hash(data, starts, ends)
     at = N_CLASSES
 
     def mean(values: np.ndarray) -> np.ndarray:
@@ -192,19 +192,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: in
     some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     # `some` has about `rows` rows, whatever the input.
     pairs = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
-    got = pairs.mapInArrow(_encode, "label int, bag binary").collect()
+    got = tk.small_batches(pairs).mapInArrow(_encode, "label int, bag binary").collect()
     got.sort(key=lambda r: (r["label"], r["bag"]))
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, N_FEATURES) for r in got]
     return train(bags, np.array([r["label"] for r in got], float))
 
 
-def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """docs with score (double, 0 to 1, higher: better) and predicted (int, 1 if score >= 0.5).
+FIELDS = "score double, predicted int"
 
-    A null, empty or blank text is one passage of zeros and has a score as well. Whole texts count, of any
-    length; all other columns stay, and score and predicted are replaced.
-    """
 
+def _scorer(model: AttentionModel):
     def make():
         def work(data: np.ndarray, offsets: np.ndarray) -> list:
             s = model.score(*encode_passages(data, offsets))
@@ -212,7 +209,17 @@ def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
 
         return work
 
-    return tk.append_columns(docs, "text", "score double, predicted int", make)
+    return make
+
+
+def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
+    """docs with score (double, 0 to 1, higher: better) and predicted (int, 1 if score >= 0.5).
+
+    A null, empty or blank text is one passage of zeros and has a score as well. Whole texts count, of any
+    length; all other columns stay, and score and predicted are replaced.
+    """
+
+    return tk.append_columns(docs, "text", FIELDS, _scorer(model))
 
 
 def _remainder() -> Column:
@@ -228,5 +235,5 @@ def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: the documents that the classifier accepts."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", _remainder() != 1)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(rows, model).filter("predicted = 1").select("row.*")
+    found = tk.small_batches(docs).withColumn("__quality", tk.kernel(FIELDS, _scorer(model), F.col("text")))
+    return found.filter("__quality.predicted = 1").drop("__quality")

@@ -37,9 +37,8 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     if not len(starts):
         return [n_words.astype(np.int64)] + [np.zeros(len(n_words), np.int64) for _ in range(4)]
     solid = ~tk.IS_SPACE[data]
-    chars = tk.row_sums((solid & ((data & 0xC0) != 0x80)).astype(np.int64), offsets)
-    symbols = tk.row_sums(_SIGN[data].astype(np.int64), offsets)
-    prefix = tk.prefix_hash(data)
+    chars = tk.row_sums(solid & ((data & 0xC0) != 0x80), offsets)
+    symbols = tk.row_sums(_SIGN[data], offsets)
     # Lines: from a row's start, or after a line feed, to the next line feed or the row's end.
     feeds = np.flatnonzero(data == 0x0A)
     line_row = np.concatenate([np.arange(len(n_words)), np.searchsorted(offsets, feeds, side="right") - 1])
@@ -49,11 +48,11 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     last = np.append(line_row[1:] != line_row[:-1], True)
     stop = np.where(last, offsets[line_row + 1], np.append(begin[1:], 0) - 1)
     worded = np.searchsorted(starts, begin) < np.searchsorted(starts, stop)
-    line_row, line_hash = line_row[worded], tk.span_hash(prefix, begin[worded], stop[worded])
+    line_row, line_hash = line_row[worded], tk.span_hash(data, begin[worded], stop[worded])
     again = tk.repeats(tk.mix(line_hash ^ tk.mix(line_row.astype(np.uint64) + np.uint64(1))))
     dup_lines = np.bincount(line_row[again], minlength=len(n_words))
     # Words in a 3-word window that the same text holds twice or more.
-    hashes = tk.span_hash(prefix, starts, ends)
+    hashes = tk.span_hash(data, starts, ends)
     row = tk.row_of(firsts)
     covered = np.zeros(len(starts), bool)
     if len(starts) >= 3:
@@ -67,7 +66,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         twice[order[:-1][equal]] = True
         for i in range(3):
             covered[head[twice] + i] = True
-    return [n_words, chars, symbols, dup_lines, tk.row_sums(covered.astype(np.int64), firsts)]
+    return [n_words, chars, symbols, dup_lines, tk.row_sums(covered, firsts)]
 
 
 def _symbol_table() -> np.ndarray:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -371,64 +370,40 @@ def load(path: str, kind: int | None = None) -> Pieces:
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """docs with ids (array<int>), as the library's encode gives them. A null or empty text has no ids; all rows and other columns stay, ids is replaced."""
-    names = [c for c in docs.columns if c != "ids"]
-    kept = docs.select(names)
-    at = names.index(text)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         codec = SentencePiece(pieces)
-        for batch in batches:
-            for first, last, data, offsets in tk.slices(batch.column(at), SLICE_BYTES):
-                ids, upto = codec.encode_rows(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, lists], names=[*names, "ids"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+        def work(data: np.ndarray, offsets: np.ndarray) -> list:
+            ids, upto = codec.encode_rows(data, offsets)
+            return [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))]
+
+        return work
+
+    return tk.append_columns(docs, text, "ids array<int>", make, limit=SLICE_BYTES)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text") -> DataFrame:
     """rows with out (string) from their ids; null ids give an empty text, bytes that are no UTF-8 become U+FFFD. out is replaced."""
-    names = [c for c in rows.columns if c != out]
-    kept = rows.select(names)
-    at = names.index(ids)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = Decoder(pieces)
-        for batch in batches:
-            column = batch.column(at)
+        for column in batches:
             values, lengths = list_column(pa.chunked_array([column.fill_null([])]))
             data, upto = decoder.decode(values.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
             raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
-
-
-def digest(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_ids, ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit), round_trip: decoding gives the text back."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, decoder = SentencePiece(pieces), Decoder(pieces)
-        for batch in batches:
-            for first, last, data, offsets in tk.slices(batch.column(1), SLICE_BYTES):
-                ids, upto = codec.encode_rows(data, offsets)
-                back, at = decoder.decode(ids.astype(np.int64), upto)
-                same = np.diff(at) == np.diff(offsets)
-                if same.all():
-                    wrong = back != data
-                    same &= tk.row_sums(wrong.astype(np.int64), offsets) == 0
-                else:
-                    a, b = data.tobytes(), back.tobytes()
-                    same = np.array([a[i:j] == b[k:m] for i, j, k, m in zip(offsets[:-1], offsets[1:], at[:-1], at[1:])], bool)
-                view = memoryview(ids.astype("<u4").view(np.uint8))
-                crcs = [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(upto[:-1].tolist(), upto[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(upto)), pa.array(crcs, pa.int64()), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "round_trip"])
+            yield pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_ids bigint, ids_crc32 bigint, round_trip boolean")
+    text = F.arrow_udf(run, T.StringType()).asNondeterministic()
+    names = [F.col(f"`{c}`") for c in rows.columns if c != out]
+    return tk.small_batches(rows).select(*names, text(F.col(ids)).alias(out))
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its ids, their number, and round_trip: decoding them gives the text back (null: empty)."""
     from .packing import tokenizer_file
 
-    return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), load(tokenizer_file(TOKENIZER)))
+    pieces = load(tokenizer_file(TOKENIZER))
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), pieces)
+    back = decode(encoded, pieces, out="back")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 19
 U64 = np.uint64
@@ -29,39 +32,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """BASE**i and BASE**-i for i below the longest text seen."""
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(SLICE_BYTES + 1, U64)
+    out[0], done = 1, 1
+    while done < len(out):
+        step = min(done, len(out) - done)
+        out[done : done + step] = out[:step] * U64(pow(base, done, 1 << 64))
+        done += step
+    return out
 
-    up = np.ones(1, U64)
-    down = np.ones(1, U64)
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n + n // 4, SLICE_BYTES + 1)
-            for name, base in (("up", BASE), ("down", BASE_INVERSE)):
-                out = np.empty(size, U64)
-                out[0], done = 1, 1
-                while done < size:
-                    step = min(done, size - done)
-                    out[done : done + step] = out[:step] * U64(pow(base, done, 1 << 64))
-                    done += step
-                setattr(cls, name, out)
-        return cls.up, cls.down
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """P with hash(data[a:b]) = (P[b] - P[a]) * BASE**-a; one longer than data."""
-    up, _ = _Powers.upto(len(data) + 1)
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=out[1:])
-    return out
+#: BASE**i and BASE**-i inside a block of SLICE_BYTES.
+UP, DOWN = _powers(BASE), _powers(BASE_INVERSE)
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans: equal spans have equal hashes."""
-    _, down = _Powers.upto(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans that are in order and don't overlap: equal spans have equal hashes.
+
+    The bytes are read in blocks, so that what is held besides the spans has a bound however long the text is.
+    """
+    out = np.zeros(len(starts), U64)
+    for a in range(0, len(data), SLICE_BYTES):
+        block = data[a : a + SLICE_BYTES]
+        first, last = int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(starts, a + len(block)))
+        if first >= last:
+            continue
+        prefix = np.zeros(len(block) + 1, U64)
+        np.cumsum(BYTE_VALUE[block] * UP[: len(block)], out=prefix[1:])
+        begin, end = np.maximum(starts[first:last] - a, 0), np.minimum(ends[first:last] - a, len(block))
+        part = (prefix[end] - prefix[begin]) * DOWN[begin]
+        before = a - int(starts[first])
+        if before > 0:  # begun in an earlier block
+            part[0] *= U64(pow(BASE, before, 1 << 64))
+        out[first:last] += part
+    return mix(out)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -118,32 +122,50 @@ def row_of(firsts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
 
 
-def append_columns(df, text: str, fields: str, make, beside: str | None = None):
-    """df with more columns computed from one string column in Arrow batches.
+#: Arrow batches between the JVM and Python hold at most so many rows and bytes (one row at least).
+BATCH_ROWS, BATCH_BYTES = 2048, 4 << 20
 
-    fields: their DDL. make() runs once in a task and gives a function of (bytes, offsets) of a slice of rows that
-    returns the arrays, one item for each row; with beside it also gets these rows of that column. Columns of df
-    with the same names are replaced.
-    """
-    from pyspark.sql import types as T
 
-    new = T._parse_datatype_string(fields)
-    kept = df.drop(*new.names)
-    names = kept.columns
-    schema = T.StructType([*kept.schema.fields, *new.fields])
-    at, by = names.index(text), names.index(beside) if beside else None
-    all_names = schema.names
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to BATCH_ROWS and BATCH_BYTES: both sides hold a batch and its copy in each task."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(conf.get(key, None)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
 
-    def run(batches):
+def kernel(fields: str, make: Callable[[], Callable], *columns: Column, limit: int = SLICE_BYTES) -> Column:
+    """A struct column of the DDL fields, computed by make()'s function over slices of a string column.
+
+    make() runs once in a task and gives a function of (bytes, offsets) of a slice of rows that returns the fields'
+    arrays, one item for each row; it also gets these rows of the further columns. Only the columns named go to
+    Python and only the fields come back; the rest of a row waits in the JVM.
+    """
+    kind = T._parse_datatype_string(fields)
+    names = kind.names
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         work = make()
-        for batch in batches:
-            more = [] if by is None else [batch.column(by)]
-            parts = [work(data, offsets, *(c.slice(a, b - a) for c in more)) for a, b, data, offsets in slices(batch.column(at))]
-            if parts:
-                new_columns = [pa.chunked_array([pa.array(x) for x in column]).combine_chunks() for column in zip(*parts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new_columns], names=all_names)
+        for text, *more in batches:
+            parts = [work(data, offsets, *(c.slice(a, b - a) for c in more)) for a, b, data, offsets in slices(text, limit)]
+            yield pa.StructArray.from_arrays([pa.chunked_array([pa.array(x) for x in column]).combine_chunks() for column in zip(*parts)], names=names)
+
+    def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run((b,) for b in batches)
+
+    # Marked so that no plan evaluates it twice or moves a filter on its result below it.
+    return F.arrow_udf(run if len(columns) > 1 else single, kind).asNondeterministic()(*columns)
+
 
-    return kept.mapInArrow(run, schema)
+def append_columns(df: DataFrame, text: str, fields: str, make: Callable[[], Callable], beside: str | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+    """df with the fields of kernel(fields, make, text, beside) as columns; columns of df with the same names are replaced."""
+    names = T._parse_datatype_string(fields).names
+    kept = small_batches(df).drop(*names)
+    own = [F.col(f"`{c}`") for c in kept.columns]
+    wide = kept.select(*own, kernel(fields, make, *(F.col(c) for c in (text, beside) if c), limit=limit).alias("__kernel"))
+    return wide.select(*own, *(F.col(f"__kernel.{n}").alias(n) for n in names))
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +202,8 @@ class Letters:
 
 def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of the rows' items, 0 for rows without."""
+    if len(offsets) == 2:  # a long text stands alone
+        return np.array([values.sum(dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     upto = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=upto[1:])
     return upto[offsets[1:]] - upto[offsets[:-1]]

@@ -37,12 +37,11 @@ def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     low[upper] += 0x20
     starts, ends, firsts = tk.words(low, offsets, _BETWEEN)
-    prefix = tk.prefix_hash(low)
     out = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint64)
-    out[:, 0] = tk.span_hash(prefix, starts, ends)
+    out[:, 0] = tk.span_hash(low, starts, ends)
     for j, size in enumerate(PREFIXES):
         longer = np.flatnonzero(ends - starts > size)
-        out[longer, 1 + j] = tk.mix(tk.span_hash(prefix, starts[longer], starts[longer] + size) + np.uint64(size))
+        out[longer, 1 + j] = tk.mix(tk.span_hash(low, starts[longer], starts[longer] + size) + np.uint64(size))
     return out.ravel(), firsts * out.shape[1]
 
 
@@ -166,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: in
     if not 0 < toxic < n:
         return no_model(np.ones(1) if toxic else np.zeros(0), GRADES)
     p = toxic / n
-    seen = texts.mapInArrow(_occurrences, "word bigint, docs bigint, hits bigint").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
+    seen = tk.small_batches(texts).mapInArrow(_occurrences, "word bigint, docs bigint, hits bigint").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
     z = F.abs(F.col("hits") - F.col("docs") * p) / F.sqrt(F.col("docs") * (p * (1 - p)))
     chosen = seen.filter(F.col("docs") >= MIN_DOCS).withColumn("z", z).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(MAX_FEATURES)
     words = np.sort(np.array([r["word"] for r in chosen.select("word").collect()], np.int64).view(np.uint64))
