@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,15 +16,19 @@ from . import textkernel as tk
 from .scratch import materialize
 
 ORDER = 5
-#: Symbols: 0 before the text, 1 white space, then letters, signs and classes of all other characters.
-SYMBOL_BITS = 7
-N_SYMBOLS = 1 << SYMBOL_BITS
-#: n-grams of the model that a task holds at once (12 bytes each, 96 MB); beyond that, ranges of the model are scored one after the other.
+#: A symbol is a code point: 0 stands before a text, a run of white space is one space, the character U+0000 is NUL.
+SYMBOL_BITS = 21
+SYMBOL = (1 << SYMBOL_BITS) - 1
+NUL = 0x110000
+N_SYMBOLS = NUL + 1
+#: n-grams of the model that a task holds at once (12 bytes each, 96 MB); a larger model is scored range by range.
 SHARD_ROWS = 8_000_000
 #: A text is kept from so many robust deviations below to so many above its language's median log perplexity, at least
 #: MIN_SPREAD wide each. Chosen on labelled rows; see README.
 BAND_LOW, BAND_HIGH = 3.5, 3.0
-MIN_SPREAD = 0.02
+MIN_SPREAD = 0.01
+#: The perplexity of short texts varies more: deviations grow by the root of 1 + SHORT_WORDS / words.
+SHORT_WORDS = 100
 BASE_FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -69,48 +75,63 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [n_words, chars, symbols, dup_lines, tk.row_sums(covered, firsts)]
 
 
-def _symbol_table() -> np.ndarray:
-    """Of each character below U+10000 its symbol; the others share the classes of characters beyond ASCII."""
-    points = np.arange(0x10000)
-    own = np.zeros(0x10000, np.uint8)
-    letters = [*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1)]
-    signs = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
-    for i, c in enumerate([*letters, *signs]):
-        own[c] = 2 + i
-    own[ord("0") : ord("9") + 1] = digit = 2 + len(letters) + len(signs)
-    own[:0x80][own[:0x80] == 0] = digit + 1
-    classes = N_SYMBOLS - (digit + 2)
-    own[0x80:] = digit + 2 + (points[0x80:] * 2654435761 % (1 << 32)) * classes // (1 << 32)
-    own[[0x20, *range(0x09, 0x0E)]] = 1
-    return own
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of the slice and the rows' offsets in them."""
+    points, at = tk.code_points(data, offsets)
+    out = points.astype(np.int64)
+    blank = (out == 0x20) | ((out >= 0x09) & (out <= 0x0D))
+    out[blank] = 0x20
+    out[out == 0] = NUL
+    keep = np.ones(len(out), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    keep[at[:-1][np.diff(at) > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], upto[at]
 
 
-SYMBOL = _symbol_table()
+def language_code(langs: pa.Array) -> np.ndarray:
+    """Of each language a number below 2**21, by its name alone; null is a language of its own."""
+    names = langs.cast(pa.string()).dictionary_encode()
+    codes = np.array([zlib.crc32(f"language {x.as_py()}".encode()) & SYMBOL for x in names.dictionary] or [0], np.int64)
+    return np.where(langs.is_valid().to_numpy(zero_copy_only=False), codes[names.indices.fill_null(0).to_numpy()], SYMBOL)
 
 
-def gram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per character (a run of white space is one) the code of it with the ORDER - 1 before it, and the rows' offsets."""
-    points, at = tk.code_points(data, offsets)
-    symbols = SYMBOL[np.where(points < 0x10000, points, 0x8000 + points % 0x8000)]
-    blank = symbols == 1
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = ~(blank[1:] & blank[:-1])
-    head = at[:-1][np.diff(at) > 0]
-    keep[head] = True
-    upto = np.concatenate([[0], np.cumsum(keep)])
-    symbols, at = symbols[keep].astype(np.int64), upto[at]
-    place = np.arange(len(symbols)) - np.repeat(at[:-1], np.diff(at))
-    codes = symbols.copy()
-    for back in range(1, ORDER):
-        before = np.zeros(len(symbols), np.int64)
-        before[back:] = symbols[:-back] if back else symbols
-        before[place < back] = 0
-        codes |= before << (SYMBOL_BITS * back)
-    return codes, at
+def distinct_grams(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(high, low, which, at): the distinct n-grams of a slice, which of them ends at each symbol, and the rows' offsets in that.
+
+    high holds language and two symbols, low three, 21 bits each: exact code points of any alphabet.
+    """
+    found, at = symbols(data, offsets)
+    place = np.arange(len(found)) - np.repeat(at[:-1], np.diff(at))
+    # The slice's own symbols and languages are numbered, so that an n-gram of them is one number.
+    number = np.zeros(N_SYMBOLS, np.int64)
+    number[found] = 1
+    number[0] = 1
+    alphabet = np.flatnonzero(number)
+    number[alphabet] = np.arange(len(alphabet))
+    names, language = np.unique(langs, return_inverse=True)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if ORDER * bits + max(1, int(len(names)).bit_length()) > 63:  # thousands of different characters in half a megabyte
+        columns = [np.repeat(langs, np.diff(at))] + [np.where(place >= back, np.roll(found, back), 0) for back in range(ORDER - 1, -1, -1)]
+        rows, which = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
+        parts = rows.T
+        which = which.ravel()
+    else:
+        small = number[found]
+        codes = np.repeat(language, np.diff(at)) << (ORDER * bits)
+        for back in range(ORDER):
+            before = np.roll(small, back)
+            before[place < back] = 0
+            codes |= before << (bits * back)
+        codes, which = np.unique(codes, return_inverse=True)
+        low = (1 << bits) - 1
+        parts = [names[codes >> (ORDER * bits)]] + [alphabet[(codes >> (bits * back)) & low] for back in range(ORDER - 1, -1, -1)]
+    high = (parts[0] << (2 * SYMBOL_BITS)) | (parts[1] << SYMBOL_BITS) | parts[2]
+    return high, (parts[3] << (2 * SYMBOL_BITS)) | (parts[4] << SYMBOL_BITS) | parts[5], which, at
 
 
-def _shift(order: int) -> int:
-    return SYMBOL_BITS * order
+def gram_hash(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return tk.mix(high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tk.mix(low.astype(np.uint64)))
 
 
 def base_failed(n_words, n_repeat_words):
@@ -119,129 +140,122 @@ def base_failed(n_words, n_repeat_words):
 
 
 def count_grams(rows: DataFrame, sound_only: bool = False) -> DataFrame:
-    """(key, n) of all texts of rows (lang_id int, text): key is lang_id and the n-gram's code; counted in tasks, summed by Spark.
+    """(high, low, n) of all texts of rows (lang, text), counted in tasks and summed by Spark; see distinct_grams.
 
     With sound_only, n-grams of texts that are base_failed are there but count nothing.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = [np.zeros(0, np.int64) for _ in range(3)]
+        waiting: list[list[np.ndarray]] = []
         size = 0
 
         def merge() -> None:
-            nonlocal keys, n, waiting, size
-            both = np.concatenate([keys, *(k for k, _ in waiting)])
-            weight = np.concatenate([n, *(c for _, c in waiting)])
-            order = np.argsort(both)
-            both = both[order]
-            heads = np.flatnonzero(np.diff(both, prepend=-1)) if len(both) else np.zeros(0, np.int64)
-            keys, n = both[heads], np.add.reduceat(weight[order], heads) if len(heads) else weight
+            nonlocal held, waiting, size
+            high, low, n = (np.concatenate(c) for c in zip(held, *waiting))
+            order = np.lexsort((low, high))
+            high, low, n = high[order], low[order], n[order]
+            new = np.ones(len(high), bool)
+            new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+            heads = np.flatnonzero(new)
+            held = [high[heads], low[heads], np.add.reduceat(n, heads) if len(heads) else n]
             waiting, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["high", "low", "n"])
 
         for batch in batches:
-            langs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            langs = language_code(batch.column(0))
             for first, last, data, offsets in tk.slices(batch.column(1)):
-                codes, at = gram_codes(data, offsets)
-                codes |= np.repeat(langs[first:last] << _shift(ORDER), np.diff(at))
+                high, low, which, at = distinct_grams(data, offsets, langs[first:last])
                 if sound_only:
                     counts = base_counts(data, offsets)
-                    failed = np.repeat(base_failed(counts[0], counts[4]), np.diff(at))
-                    grams, which = np.unique(codes, return_inverse=True)
-                    waiting.append((grams, np.bincount(which[~failed], minlength=len(grams))))
-                else:
-                    waiting.append(np.unique(codes, return_counts=True))
-                size += len(waiting[-1][0])
-                if size > 2_000_000:
+                    which = which[~np.repeat(base_failed(counts[0], counts[4]), np.diff(at))]
+                waiting.append([high, low, np.bincount(which, minlength=len(high)).astype(np.int64)])
+                size += len(high)
+                if size > 1_000_000:
                     merge()
-                    if len(keys) > 4_000_000:
+                    if len(held[0]) > 2_000_000:
                         yield out()
-                        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                        held = [c[:0] for c in held]
         merge()
-        if len(keys):
+        if len(held[0]):
             yield out()
 
-    parts = rows.select("lang_id", "text").mapInArrow(count, "key bigint, n bigint")
-    return parts.groupBy("key").agg(F.sum("n").alias("n"))
+    parts = tk.small_batches(rows.select("lang", "text")).mapInArrow(count, "high bigint, low bigint, n bigint")
+    return parts.groupBy("high", "low").agg(F.sum("n").alias("n"))
+
+
+#: Of each order the word that holds the first symbol, and where.
+_FIRST = {5: ("high", 1), 4: ("high", 0), 3: ("low", 2), 2: ("low", 1)}
 
 
-def _suffix(order: int) -> Column:
-    """The key without its first symbol, language in front."""
-    mask = (1 << _shift(order - 1)) - 1
-    return F.shiftleft(F.shiftright("key", _shift(order)), _shift(order - 1)).bitwiseOR(F.col("key").bitwiseAND(F.lit(mask)))
+def _suffix(order: int) -> list[Column]:
+    """high and low without the first symbol."""
+    word, place = _FIRST[order]
+    clear = F.lit(~(SYMBOL << (place * SYMBOL_BITS)))
+    return [F.col(c).bitwiseAND(clear).alias(c) if c == word else F.col(c) for c in ("high", "low")]
 
 
-def _discounts(level: DataFrame, order: int) -> tuple[Column, Column, Column]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, by language; from how many n-grams have counts 1 to 4."""
-    lang = F.shiftright("key", _shift(order))
-    tallies = level.filter(F.col("n").between(1, 4)).groupBy(lang.alias("lang"), "n").count().collect()
-    table: dict[int, list[float]] = {}
-    for r in tallies:
-        table.setdefault(r["lang"], [0.0] * 4)[r["n"] - 1] = r["count"]
-    values: dict[int, list[float]] = {}
-    for key, (n1, n2, n3, n4) in table.items():
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-        values[key] = [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
-    default = F.array(F.lit(0.5), F.lit(1.0), F.lit(1.5))
-    if not values:
-        return default[0], default[1], default[2]
-    pairs = [x for k, v in sorted(values.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    own = F.coalesce(F.element_at(F.create_map(*pairs), lang), default)
-    return own[0], own[1], own[2]
+def _discounts(level: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
+    lang = F.shiftright("high", 2 * SYMBOL_BITS).alias("lang")
+    tallies = level.groupBy(lang).agg(*(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)))
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
+
+    def one(i: int) -> Column:
+        raw = F.when(F.col(f"n{i}") > 0, i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")).otherwise(i / 2)
+        return F.least(F.greatest(raw, F.lit(0.05)), F.lit(i - 0.05)).alias(f"d{i}")
+
+    return tallies.select("lang", one(1), one(2), one(3))
 
 
 def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(key, logp) for each counted n-gram: the natural logarithm of its interpolated modified Kneser-Ney probability.
+    """(high, low, logp) for each counted n-gram: the natural logarithm of its interpolated modified Kneser-Ney probability.
 
     n-grams of the highest order seen once carry no mass of their own (the usual cut-off), so a text does not
     vouch for itself; what they had goes to the lower order. Lower orders count distinct left neighbours. All
-    is joins and windows by context, of at most 128 rows each.
+    is joins and windows by context, of at most as many rows as the language has characters.
     """
     levels = {ORDER: grams}
     for order in range(ORDER, 1, -1):
         kept = F.col("n") >= (2 if order == ORDER else 1)
         # Neighbours before the text: a text's first n-grams count as they are.
-        levels[order - 1] = levels[order].groupBy(_suffix(order).alias("key")).agg(F.sum(kept.cast("long")).alias("n"))
+        levels[order - 1] = levels[order].select(*_suffix(order), kept.cast("long").alias("n")).groupBy("high", "low").agg(F.sum("n").alias("n"))
     below: DataFrame | None = None
     for order in range(1, ORDER + 1):
         level = levels[order]
-        one, two, more = _discounts(level, order)
-        if order == ORDER:
-            one = F.lit(1.0)
+        # At most 2**21 languages of 40 bytes; in practice some hundred.
+        level = level.join(F.broadcast(_discounts(level)), F.shiftright("high", 2 * SYMBOL_BITS) == F.col("lang"))
         n = F.col("n")
-        cut = F.when(n == 0, 0.0).when(n == 1, one).when(n == 2, two).otherwise(more)
-        by = Window.partitionBy("__context")
-        level = level.withColumn("__cut", cut).withColumn("__context", F.shiftright("key", SYMBOL_BITS))
+        one = F.lit(1.0) if order == ORDER else F.col("d1")
+        cut = F.when(n == 0, 0.0).when(n == 1, one).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
+        level = level.select("high", "low", "n", cut.alias("__cut"), F.shiftright("low", SYMBOL_BITS).alias("__context"))
+        by = Window.partitionBy("high", "__context")
         level = level.withColumn("__total", F.sum("n").over(by)).withColumn("__free", F.sum("__cut").over(by))
         own = F.when(F.col("__total") > 0, (n - F.col("__cut")) / F.col("__total")).otherwise(0.0)
         share = F.when(F.col("__total") > 0, F.col("__free") / F.col("__total")).otherwise(1.0)
         if below is None:
-            p = own + share / N_SYMBOLS
-            below = level.select("key", p.alias("p"))
+            below = level.select("high", "low", (own + share / N_SYMBOLS).alias("p"))
         else:
-            lower = below.select(F.col("key").alias("__suffix"), F.col("p").alias("__lower"))
-            level = level.select("key", own.alias("__own"), share.alias("__share"), _suffix(order).alias("__suffix"))
-            below = level.join(lower, "__suffix").select("key", (F.col("__own") + F.col("__share") * F.col("__lower")).alias("p"))
-    return below.select("key", F.log("p").cast("float").alias("logp"))
+            lower = below.select(F.col("high").alias("__high"), F.col("low").alias("__low"), F.col("p").alias("__lower"))
+            high, low = _suffix(order)
+            level = level.select("high", "low", own.alias("__own"), share.alias("__share"), high.alias("__high"), low.alias("__low"))
+            below = level.join(lower, ["__high", "__low"]).select("high", "low", (F.col("__own") + F.col("__share") * F.col("__lower")).alias("p"))
+    return below.select("high", "low", F.log("p").cast("float").alias("logp"))
 
 
-def _summer(keys: np.ndarray, logs: np.ndarray, spark: SparkSession, with_counts: bool):
-    """make() for append_columns: [the counts,] the sum of logs over a text's n-grams that are in the sorted keys, and its characters."""
-    shared = spark.sparkContext.broadcast((keys, logs))
+def _summer(shared: Broadcast, with_counts: bool):
+    """make() for append_columns: [the counts,] the sum of logs over a text's n-grams that are among the sorted hashes, and its symbols."""
 
     def make():
-        sorted_keys, values = shared.value
+        hashes, values = shared.value
 
         def work(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> list:
-            codes, at = gram_codes(data, offsets)
-            codes |= np.repeat(langs.to_numpy(zero_copy_only=False).astype(np.int64) << _shift(ORDER), np.diff(at))
-            grams, which = np.unique(codes, return_inverse=True)
-            place = np.minimum(np.searchsorted(sorted_keys, grams), max(0, len(sorted_keys) - 1))
-            found = np.where(sorted_keys[place] == grams, values[place], np.float32(0)) if len(sorted_keys) else np.zeros(len(grams))
+            high, low, which, at = distinct_grams(data, offsets, language_code(langs))
+            grams = gram_hash(high, low)
+            place = np.minimum(np.searchsorted(hashes, grams), max(0, len(hashes) - 1))
+            found = np.where(hashes[place] == grams, values[place], np.float32(0)) if len(hashes) else np.zeros(len(grams))
             sums = [tk.row_sums(found.astype(np.float64)[which], at), np.diff(at)]
             return (base_counts(data, offsets) if with_counts else []) + sums
 
@@ -250,13 +264,12 @@ def _summer(keys: np.ndarray, logs: np.ndarray, spark: SparkSession, with_counts
     return make
 
 
-def _ranges(model: DataFrame, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The model as n parts, each sorted by key; a hash deals the n-grams evenly."""
-    for i in range(n):
-        table = model.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow()
-        keys, logs = table["key"].to_numpy(), table["logp"].to_numpy()
-        order = np.argsort(keys)
-        yield keys[order], logs[order]
+def _range(model: DataFrame, i: int, n: int) -> Broadcast:
+    """Part i of n of the model as sorted hashes and logs on all executors; a hash deals the n-grams evenly."""
+    table = model.filter(F.pmod(F.xxhash64("high", "low"), F.lit(n)) == i).toArrow()
+    hashes, logs = gram_hash(table["high"].to_numpy(), table["low"].to_numpy()), table["logp"].to_numpy()
+    order = np.argsort(hashes)
+    return model.sparkSession.sparkContext.broadcast((hashes[order], logs[order]))
 
 
 SUMS = "__total double, __chars bigint"
@@ -266,32 +279,30 @@ def measure(docs: DataFrame, shard_rows: int = SHARD_ROWS, sound_only: bool = Fa
     """docs (lang, text, ...) without text, with the columns of BASE_FIELDS and log_ppl.
 
     log_ppl is the mean of -log p over the characters, under the model of the text's language, counted over all of
-    docs, or with sound_only over those that are not base_failed; null for a text without characters. A null lang is a language of its own. The model goes to the
-    executors as sorted arrays of at most about shard_rows n-grams; a larger one goes in ranges, one after the
-    other, and a text's sum is the sum over them, so memory has a bound at any size.
+    docs, or with sound_only over those that are not base_failed; null for a text without characters. A null lang is a
+    language of its own. The model goes to the executors as sorted arrays of at most about shard_rows n-grams. A larger one
+    goes range by range: each is sent, all texts are summed over it, the sums are written and the range is dropped before
+    the next, so driver and executors never hold more than one.
     """
-    spark = docs.sparkSession
     taken = [f.split()[0] for f in BASE_FIELDS.split(", ")] + ["log_ppl"]
     docs = docs.drop(*taken)
     others = [c for c in docs.columns if c != "text"]
-    langs = sorted({r["lang"] or "" for r in docs.select("lang").distinct().collect()}) or [""]
-    ids = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))])
-    lang_id = ids[F.coalesce("lang", F.lit(""))]
-    grams = materialize(count_grams(docs.select(lang_id.alias("lang_id"), "text"), sound_only), "grams")
+    grams = materialize(count_grams(docs, sound_only), "grams")
     model = materialize(kneser_ney(grams), "model")
     n_ranges = max(1, -(-model.count() // shard_rows))
-    rows = docs.select(F.struct(*others).alias("__row"), lang_id.alias("__lang_id"), "text")
+    rows = docs.select(F.struct(*others).alias("__row"), F.col("lang").alias("__lang"), "text")
     if n_ranges == 1:
-        ((keys, logs),) = _ranges(model, 1)
-        out = tk.append_columns(rows, "text", f"{BASE_FIELDS}, {SUMS}", _summer(keys, logs, spark, True), "__lang_id").drop("text")
+        out = tk.append_columns(rows, "text", f"{BASE_FIELDS}, {SUMS}", _summer(_range(model, 0, 1), True), "__lang").drop("text")
     else:
         rows = materialize(rows.withColumn("__row_id", F.monotonically_increasing_id()), "texts")
-        out = tk.append_columns(rows, "text", BASE_FIELDS, lambda: base_counts).drop("text", "__lang_id")
-        narrow = rows.select("__row_id", "__lang_id", "text")
-        parts = [tk.append_columns(narrow, "text", SUMS, _summer(keys, logs, spark, False), "__lang_id").drop("text") for keys, logs in _ranges(model, n_ranges)]
-        sums = parts[0]
-        for part in parts[1:]:
-            sums = sums.unionByName(part)
+        out = tk.append_columns(rows, "text", BASE_FIELDS, lambda: base_counts).drop("text", "__lang")
+        sums: DataFrame | None = None
+        for i in range(n_ranges):
+            part = _range(model, i, n_ranges)
+            found = tk.append_columns(rows.select("__row_id", "__lang", "text"), "text", SUMS, _summer(part, False), "__lang")
+            found = materialize(found.drop("text", "__lang"), "sums")
+            part.destroy()
+            sums = found if sums is None else sums.unionByName(found)
         sums = sums.groupBy("__row_id").agg(F.sum("__total").alias("__total"), F.max("__chars").alias("__chars"))
         out = out.join(sums, "__row_id")
     log_ppl = F.when(F.col("__chars") > 0, -F.col("__total") / F.col("__chars"))
@@ -304,24 +315,28 @@ def judge(docs: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) -> Da
     Words are runs of other bytes than space, tab to carriage return; see base_counts. base_failed: under 50
     words, or over half of the words in 3-word windows that come again. kept: not base_failed, and the text's log
     perplexity lies in its language's band, from low robust deviations below the median to high above it, both of all
-    texts of that language that are not base_failed; of these alone the model is counted. Null or empty texts fail; equal rows have equal results; a language with one text keeps it.
-    Other columns stay; the new ones replace columns of the same names.
+    texts of that language that are not base_failed, and wider for shorter texts; of these alone the model is counted. Null
+    or empty texts fail; equal rows have equal results; a language with one text keeps it. Other columns stay; the new ones
+    replace columns of the same names.
     """
     docs = docs.drop("base_failed", "band_low", "band_high", "kept")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     measured = materialize(measure(docs, sound_only=True).withColumn("base_failed", failed), "measured")
+    wider = F.sqrt(1 + SHORT_WORDS / F.greatest("n_words", F.lit(1)))
     lang = F.coalesce("lang", F.lit("")).alias("__lang")
-    sound = measured.filter(~F.col("base_failed")).select(lang, "log_ppl")
+    sound = measured.filter(~F.col("base_failed")).select(lang, "log_ppl", wider.alias("__wider"))
     middle = sound.groupBy("__lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("__mid"))
-    # One row a language: as many as the model has.
-    spread = sound.join(F.broadcast(middle), "__lang").groupBy("__lang", "__mid").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("__mid")), 0.5, 10_000).alias("__off"))
-    width = F.greatest(1.4826 * F.col("__off"), F.lit(MIN_SPREAD))
-    bands = spread.select(F.col("__lang").alias("__of"), (F.col("__mid") - F.lit(low) * width).alias("band_low"), (F.col("__mid") + F.lit(high) * width).alias("band_high"))
-    out = measured.join(F.broadcast(bands), F.coalesce("lang", F.lit("")) == F.col("__of"), "left").drop("__of")
+    # One row a language: Spark sees how few they are and sends them.
+    off = F.percentile_approx(F.abs(F.col("log_ppl") - F.col("__mid")) / F.col("__wider"), 0.5, 10_000)
+    spread = sound.join(middle, "__lang").groupBy("__lang", "__mid").agg(off.alias("__off"))
+    bands = spread.select("__lang", "__mid", F.greatest(1.4826 * F.col("__off"), F.lit(MIN_SPREAD)).alias("__width"))
+    out = measured.select("*", lang).join(bands, "__lang", "left").withColumn("__width", F.col("__width") * wider)
+    out = out.withColumns({"band_low": F.col("__mid") - F.lit(low) * F.col("__width"), "band_high": F.col("__mid") + F.lit(high) * F.col("__width")})
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & inside)
+    return out.drop("__lang", "__mid", "__width").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs.select("doc_id", "lang", "text"))

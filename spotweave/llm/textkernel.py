@@ -63,7 +63,7 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         part = (prefix[end] - prefix[begin]) * DOWN[begin]
         before = a - int(starts[first])
         if before > 0:  # begun in an earlier block
-            part[0] *= U64(pow(BASE, before, 1 << 64))
+            part[:1] *= U64(pow(BASE, before, 1 << 64))
         out[first:last] += part
     return mix(out)
 

@@ -155,12 +155,11 @@ def brute_kneser_ney(texts, langs):
     for t, lang in zip(texts, langs):
         s, blank = [], False
         for c in t:
-            x = int(rules.SYMBOL[ord(c)]) if ord(c) < 0x10000 else int(rules.SYMBOL[0x8000 + ord(c) % 0x8000])
-            if x == 1 and blank:
+            if c.isspace() and blank:
                 continue
-            blank = x == 1
-            s.append(x)
-        s = [0] * (order - 1) + s
+            blank = c.isspace()
+            s.append(" " if blank else c)
+        s = [None] * (order - 1) + s
         symbols.append(s)
         for i in range(order - 1, len(s)):
             counts[lang][tuple(s[i - order + 1 : i + 1])] += 1
@@ -200,9 +199,9 @@ def brute_kneser_ney(texts, langs):
 
 
 def test_perplexity_is_the_definition(spark):
-    texts = ["the cat sat on the mat the cat", "a dog ate the  cat\nat the door", "le chat est la", "", "the cat sat on the mat the cat", "zq"]
-    langs = ["en", "en", "fr", "en", None, "en"]
-    df = spark.createDataFrame(list(zip(range(6), langs, texts)), "doc_id int, lang string, text string")
+    texts = ["the cat sat on the mat the cat", "a dog ate the  cat\nat the door", "le chat est la", "", "the cat sat on the mat the cat", "zq", "\u4f60\u597d \u4f60\u597d\x00 \U0001f600\U0001f601", "\u0434\u0430 \u0434\u0430 \u0434\u0430"]
+    langs = ["en", "en", "fr", "en", None, "en", "zh", "ru"]
+    df = spark.createDataFrame(list(zip(range(8), langs, texts)), "doc_id int, lang string, text string")
     want = brute_kneser_ney(texts, [x or "" for x in langs])
     for shard_rows in (rules.SHARD_ROWS, 20):  # whole, and in ranges
         got = {r["doc_id"]: r["log_ppl"] for r in rules.measure(df, shard_rows).collect()}
