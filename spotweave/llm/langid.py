@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkernel as tk
 
@@ -21,7 +21,10 @@ DOCS_A_LANGUAGE = 1500
 #: many as the language has distinct texts, if those are fewer).
 MIN_SHARE = 0.3
 MIN_COUNT = 3
-MAX_LANGUAGES = 64
+#: The driver gets at most so many n-grams: of each language its most frequent ones, in equal parts.
+MAX_GRAMS = 4_000_000
+#: Languages in one word of a mask.
+WORD = 64
 UNKNOWN = "und"
 
 
@@ -61,18 +64,18 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...] =
 
 @dataclass
 class LanguageFilters:
-    """planes[p] has a bit for each language whose Bloom filter has position p set; false_rate is of each language."""
+    """planes[w, p] has a bit for each of the w-th WORD languages whose Bloom filter has position p set; false_rate is of each language."""
 
     languages: list[str]
     planes: np.ndarray
     false_rate: np.ndarray
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """A bit for each language whose filter holds the n-gram, all languages at once."""
+        """Per word and n-gram a bit for each language whose filter holds it, all languages of a word at once."""
         low = np.uint64((1 << BITS) - 1)
-        out = self.planes[(hashes & low).astype(np.int64)]
+        out = self.planes[:, (hashes & low).astype(np.int64)]
         for i in range(1, PROBES):
-            out = out & self.planes[((hashes >> np.uint64(BITS * i)) & low).astype(np.int64)]
+            out &= self.planes[:, ((hashes >> np.uint64(BITS * i)) & low).astype(np.int64)]
         return out
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +83,17 @@ class LanguageFilters:
         rows, width = len(offsets) - 1, len(self.languages)
         found, total = np.zeros((rows, width)), np.zeros(rows)
         for hashes, at in gram_hashes(data, offsets):
-            masks = self.masks(hashes)
             total += np.diff(at)
-            if width <= 8:
-                pairs = tk.row_of(at) * (1 << width) + masks
-                by_mask = np.bincount(pairs, minlength=rows << width).reshape(rows, 1 << width)
-                found += by_mask @ ((np.arange(1 << width)[:, None] >> np.arange(width)) & 1)
-            else:
-                for j in range(width):
-                    found[:, j] += tk.row_sums(((masks >> masks.dtype.type(j)) & masks.dtype.type(1)).astype(np.int64), at)
+            for w, masks in enumerate(self.masks(hashes)):
+                here = min(WORD, width - w * WORD)
+                if here <= 8:
+                    pairs = tk.row_of(at) * (1 << here) + masks.astype(np.int64)
+                    by_mask = np.bincount(pairs, minlength=rows << here).reshape(rows, 1 << here)
+                    found[:, w * WORD : w * WORD + here] += by_mask @ ((np.arange(1 << here)[:, None] >> np.arange(here)) & 1)
+                    continue
+                one = masks.dtype.type(1)
+                for j in range(here):
+                    found[:, w * WORD + j] += tk.row_sums((masks >> masks.dtype.type(j)) & one, at)
         return np.maximum(0, (found - total[:, None] * self.false_rate) / (1 - self.false_rate)), total
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -100,65 +105,62 @@ class LanguageFilters:
         return [self.languages[b] if n else UNKNOWN for b, n in zip(best, total)], score
 
 
-def build(counts: Iterable[tuple[str, int, int]], languages: list[str], least: dict[str, int] | None = None) -> LanguageFilters:
-    """Filters from (language, n-gram hash as a signed long, occurrences); least has the occurrences needed if not MIN_COUNT."""
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask has {MAX_LANGUAGES} bits")
+def build(lang: np.ndarray, grams: np.ndarray, n: np.ndarray, languages: list[str], least: np.ndarray | None = None) -> LanguageFilters:
+    """Filters from occurrences n of n-grams (hashes, as signed longs or not) in languages (by number); least has the occurrences needed if not MIN_COUNT."""
     width = len(languages)
     kind = np.uint8 if width <= 8 else np.uint64
-    planes = np.zeros(1 << BITS, kind)
-    place = {name: i for i, name in enumerate(languages)}
-    rows = [(place[lang], h, n) for lang, h, n in counts]
-    if rows:
-        lang, hashes, n = (np.array(x) for x in zip(*rows))
-        keys, which = np.unique(hashes.astype(np.int64), return_inverse=True)
-        rate = np.zeros((len(keys), width))
-        rate[which, lang] = n
-        common = rate >= np.array([(least or {}).get(name, MIN_COUNT) for name in languages])
-        rate /= np.maximum(rate.sum(axis=0), 1)
-        member = common & (rate >= MIN_SHARE * rate.max(axis=1, keepdims=True))
-        unsigned = keys.view(np.uint64)
-        for j in range(width):
-            for i in range(PROBES):
-                own = (unsigned[member[:, j]] >> np.uint64(BITS * i)) & np.uint64((1 << BITS) - 1)
-                planes[own.astype(np.int64)] |= kind(1 << j)
-    fill = np.array([((planes >> kind(j)) & kind(1)).mean() for j in range(width)])
+    planes = np.zeros((max(1, -(-width // WORD)), 1 << BITS), kind)
+    if len(lang):
+        order = np.argsort(grams, kind="stable")
+        lang, keys, n = lang[order], grams[order].astype(np.int64).view(np.uint64), n[order]
+        rate = n / np.bincount(lang, n, minlength=width)[lang]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        highest = np.repeat(np.maximum.reduceat(rate, heads), np.diff(np.append(heads, len(keys))))
+        member = (n >= (np.full(width, MIN_COUNT) if least is None else least)[lang]) & (rate >= MIN_SHARE * highest)
+        lang, keys = lang[member], keys[member]
+        for i in range(PROBES):
+            place = ((keys >> np.uint64(BITS * i)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+            np.bitwise_or.at(planes, (lang // WORD, place), np.left_shift(kind(1), (lang % WORD).astype(kind)))
+    fill = np.array([((planes[j // WORD] >> kind(j % WORD)) & kind(1)).mean() for j in range(width)])
     return LanguageFilters(languages, planes, fill**PROBES)
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, n-gram, occurrences), summed in a batch."""
+    """(id, text) to (id, n-gram, occurrences), summed in a slice."""
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), object)
-        names, code = np.unique(langs.astype(str), return_inverse=True)
+        code = batch.column(0).to_numpy()
         for first, last, data, offsets in tk.slices(batch.column(1)):
             for hashes, at in gram_hashes(data, offsets):
                 own = code[first:last][tk.row_of(at)]
                 for j in np.unique(own):
                     grams, n = np.unique(hashes[own == j], return_counts=True)
-                    lang = pa.array([names[j]]).take(pa.array(np.zeros(len(grams), np.int64)))
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), j, np.int32)), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["id", "gram", "n"])
 
 
 def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE) -> LanguageFilters:
     """Learn the filters from text and lang of the rows where train holds and neither is null.
 
-    About docs_a_language distinct texts of each language are used, each once however many copies there are, so what
-    the driver gets is bounded by their n-grams; of a language with fewer, all are. The filters take 2**BITS masks,
-    whatever the input.
+    About docs_a_language distinct texts of each language are used, each once however many copies there are; of a language
+    with fewer, all are. Of their n-grams the driver gets MAX_GRAMS at most. There may be any number of languages; a filter
+    takes 2**BITS bits.
     """
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     hashed = rows.select("lang", F.xxhash64("text", F.lit(10)).alias("hash"))
     sizes = {r["lang"]: r["count"] for r in hashed.distinct().groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     if not sizes:
-        return build([], [])
-    share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(int(1_000_000 * min(1, docs_a_language / n)) + 1)) for k, n in sizes.items()))
-    some = rows.filter(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
-    counted = tk.small_batches(some).mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = {k: min(MIN_COUNT, n) for k, n in sizes.items()}
-    needed = F.create_map(*chain.from_iterable((F.lit(k), F.lit(n)) for k, n in least.items()))
-    found = counted.filter(F.col("n") >= needed[F.col("lang")]).collect()
-    return build(((r["lang"], r["gram"], r["n"]) for r in found), sorted(sizes), least)
+        return build(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), [])
+    # A row for each language, as the model has.
+    known = [(i, k, int(1_000_000 * min(1, docs_a_language / sizes[k])) + 1, min(MIN_COUNT, sizes[k])) for i, k in enumerate(languages)]
+    known = docs.sparkSession.createDataFrame(known, "id int, lang string, share int, least int")
+    chosen = rows.select("lang", "text").join(F.broadcast(known), "lang").filter(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) < F.col("share"))
+    some = chosen.select("id", "text").distinct()
+    counted = tk.small_batches(some).mapInArrow(_count, "id int, gram bigint, n bigint").groupBy("id", "gram").agg(F.sum("n").alias("n"))
+    often = counted.join(F.broadcast(known.select("id", "least")), "id").filter("n >= least")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "gram"))
+    found = often.withColumn("__rank", first).filter(F.col("__rank") <= max(1, MAX_GRAMS // len(languages))).select("id", "gram", "n").toArrow()
+    least = np.array([min(MIN_COUNT, sizes[k]) for k in languages])
+    return build(found["id"].to_numpy().astype(np.int64), found["gram"].to_numpy(), found["n"].to_numpy(), languages, least)
 
 
 FIELDS = "lang_pred string, score double"
@@ -191,6 +193,7 @@ def _remainder(by: int) -> Column:
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify over all documents, learned from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = _remainder(5) == 0
     model = fit(docs, ~held_out)

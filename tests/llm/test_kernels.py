@@ -342,14 +342,45 @@ def test_ordinal_fit_orders_grades():
 def test_bloom_masks_have_no_false_negatives():
     rng = np.random.default_rng(1)
     sets = {"aa": rng.integers(-(2**62), 2**62, 3000), "bb": rng.integers(-(2**62), 2**62, 500)}
-    model = langid.build([(k, int(h), 5) for k, v in sets.items() for h in v], ["aa", "bb"])
+    lang, grams = np.repeat([0, 1], [len(v) for v in sets.values()]), np.concatenate(list(sets.values()))
+    model = langid.build(lang, grams, np.full(len(grams), 5), ["aa", "bb"])
     for j, v in enumerate(sets.values()):
-        assert ((model.masks(v.view(np.uint64)) >> np.uint8(j)) & 1).all()
-    other = model.masks(rng.integers(-(2**62), 2**62, 200_000).view(np.uint64))
+        assert ((model.masks(v.view(np.uint64))[0] >> np.uint8(j)) & 1).all()
+    other = model.masks(rng.integers(-(2**62), 2**62, 200_000).view(np.uint64))[0]
     for j in range(2):
         assert abs(((other >> np.uint8(j)) & 1).mean() - model.false_rate[j]) < 3e-4
-    with pytest.raises(ValueError):
-        langid.build([], [str(i) for i in range(65)])
+
+
+@pytest.mark.parametrize("n", [7, 64, 65, 300])
+def test_any_number_of_languages(n):
+    """Prediction by plain sets of n-grams: the language that holds most of a text's n-grams."""
+    rng = np.random.default_rng(n)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = [["".join(rng.choice(list(alphabet), rng.integers(4, 9))) for _ in range(60)] for _ in range(n)]
+    names = [f"l{i:03}" for i in range(n)]
+    text = lambda i, size: " ".join(rng.choice(vocabulary[i], size))
+    lang, grams, counts, sets = [], [], [], []
+    for i in range(n):
+        own = np.concatenate([h for h, _ in langid.gram_hashes(*whole([text(i, 400)]))])
+        h, c = np.unique(own, return_counts=True)
+        lang.append(np.full(len(h), i)), grams.append(h.view(np.int64)), counts.append(c)
+        sets.append(dict(zip(h.tolist(), c.tolist())))
+    model = langid.build(np.concatenate(lang), np.concatenate(grams), np.concatenate(counts), names)
+    total = [sum(s.values()) for s in sets]
+    best: dict[int, float] = {}
+    for s, t in zip(sets, total):
+        for h, c in s.items():
+            best[h] = max(best.get(h, 0), c / t)
+    member = [{h for h, c in s.items() if c >= langid.MIN_COUNT and c / t >= langid.MIN_SHARE * best[h]} for s, t in zip(sets, total)]
+    asked = [int(i) for i in rng.integers(0, n, 40)]
+    texts = [text(i, 30) for i in asked] + ["", "1 2 3"]
+    got, score = model.predict(*whole(texts))
+    assert got == [names[i] for i in asked] + ["und", "und"] and ((0 <= score) & (score <= 1)).all()
+    hits, _ = model.hits(*whole(texts[:3]))
+    for row, t in zip(hits, texts):
+        own = np.concatenate([h for h, _ in langid.gram_hashes(*whole([t]))]).tolist()
+        exact = np.array([sum(h in m for h in own) for m in member])
+        assert abs(row - exact).max() <= 3
 
 
 def test_letter_grams():
