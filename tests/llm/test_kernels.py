@@ -414,3 +414,119 @@ def test_grams_of_many_characters_are_the_same():
     for i, t in enumerate(texts):
         own = rules.distinct_grams(*whole([t]), langs[i : i + 1])
         assert (rules.gram_hash(own[0], own[1])[own[2]] == got[at[i] : at[i + 1]]).all()
+
+
+# Pages: density by its definition ----------------------------------------------------------------------------------------
+
+
+def _random_tree(rng, depth=0):
+    """(tag, children): a child is a tree or a text."""
+    tag = str(rng.choice(["div", "section", "p", "ul", "a", "span"])) if depth else "body"
+    children = []
+    for _ in range(rng.integers(1, 5)):
+        if depth < 4 and tag not in ("p", "a", "span") and rng.random() < 0.6:
+            children.append(_random_tree(rng, depth + 1))
+        else:
+            children.append(" ".join(["word"] * int(rng.integers(1, 12))))
+    return tag, children
+
+
+def _written(tree):
+    tag, children = tree
+    return f"<{tag}>" + "".join(c if isinstance(c, str) else _written(c) for c in children) + f"</{tag}>"
+
+
+def _nodes(tree):
+    out = [tree]
+    for c in tree[1]:
+        if not isinstance(c, str):
+            out += _nodes(c)
+    return out
+
+
+def _count(tree, linked=False):
+    """Characters, those in links, tags and link tags of a subtree."""
+    tag, children = tree
+    linked = linked or tag == "a"
+    c = lc = 0
+    t, lt = 1, int(tag == "a")
+    for x in children:
+        if isinstance(x, str):
+            c += len(x.replace(" ", ""))
+            lc += len(x.replace(" ", "")) * linked
+        else:
+            a, b, d, e = _count(x, linked)
+            c, lc, t, lt = c + a, lc + b, t + d, lt + e
+    return c, lc, t, lt
+
+
+def _density(tree, body):
+    c, lc, t, lt = _count(tree, False)
+    bc, blc, _, _ = _count(body)
+    lc, lt = max(1, lc), max(1, lt)
+    base = np.log(np.log(c * lc / max(1, c - _count(tree)[1]) + blc / bc * c + np.e))
+    return max(0.0, c / t * np.log(max(1.0, c * t / (lc * lt))) / base) if base > 0 else c / t
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_density_is_the_definition(seed):
+    from spotweave.llm import html
+
+    body = _random_tree(np.random.default_rng(seed))
+    page = html.Page(_written(body))
+    nodes = _nodes(body)
+    assert page.tag[1:] == [x[0] for x in nodes]
+    at, chars, links, density, total = page.measures()
+    assert at == 1
+    want = [_density(x, body) for x in nodes]
+    assert density[1:] == pytest.approx(want)
+    sums = [sum(want[j] for j, y in enumerate(nodes) if any(y is c for c in x[1])) for x in nodes]
+    assert total[1:] == pytest.approx(sums)
+    # The threshold: the least density from the body to the greatest sum; what is as dense gives its best subtree.
+    first_best = lambda x: max(_nodes(x), key=lambda y: round(sums[[z is y for z in nodes].index(True)], 9))
+    top = first_best(body)
+    path = [x for x in nodes if any(y is top for y in _nodes(x))]
+    threshold = min(want[[z is x for z in nodes].index(True)] for x in path)
+    chosen = set()
+    for x, d in zip(nodes, want):
+        if d > 0 and d >= threshold - 1e-12:
+            chosen |= {id(y) for y in _nodes(first_best(x))}
+    got = page.select()
+    assert {id(x) for x, g in zip(nodes, got[1:]) if g} >= chosen
+    # What is there besides was closed up, from the inside: it holds mostly chosen text.
+    taken = {id(x) for x, g in zip(nodes, got[1:]) if g}
+    held = lambda x: _count(x)[0] if id(x) in taken else sum(held(c) for c in x[1] if not isinstance(c, str))
+    for x in nodes:
+        if id(x) in taken - chosen and not any(id(z) in taken and any(y is x for y in _nodes(z)[1:]) for z in nodes):
+            assert sum(held(c) for c in x[1] if not isinstance(c, str)) >= html.MOST * _count(x)[0] - 1e-9
+
+
+SENTENCE = "The river rose again in spring and the old mill stood in water for a week. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout no-sidebar"><article><h1>T</h1><p>{SENTENCE * 9}</p></article></div></body>',
+        f'<body><div class="site has-header-image"><h1>T</h1><p>{SENTENCE * 9}</p></div></body>',
+        f"<body><form><h1>T</h1><p>{SENTENCE * 9}</p></form></body>",
+        f'<body><div class="share-page sidebar"><h1>T</h1><p>{SENTENCE * 9}</p></div></body>',
+        f'<body><nav><a href="/">home</a></nav><div><h1>T</h1><p>{SENTENCE * 5}</p><p>{SENTENCE * 4}</p></div><div class="related-posts"><a href="/x">{SENTENCE}</a></div><div id="comments"><p>{SENTENCE * 30}</p></div><form><label>mail</label></form></body>',
+        f'<body><div><ul><li><a href="/a">one</a><li><a href="/b">two</a></ul><div><h1>T</h1><p>{SENTENCE * 5}<p>{SENTENCE * 4}</div></div><footer>(c)</footer></body>',
+    ],
+)
+def test_pages_keep_their_article(page):
+    from spotweave.llm import html
+
+    assert html.main_text(page) == " ".join(("T " + SENTENCE * 9).split())
+
+
+@pytest.mark.parametrize("hostile", ["<div>" * 100_000, "<article><header>" * 50_000, "<li>" + "<span>" * 50_000 + "<ul>" + "<li></li>" * 50_000, "<p>" + "<b>" * 100_000 + "<div>", "<textarea>" * 100_000, "<a <" * 100_000])
+def test_deep_pages_take_linear_time(hostile):
+    import time
+
+    from spotweave.llm import html
+
+    began = time.process_time()
+    assert "text" in html.main_text(hostile + " text </x>") or "textarea" in hostile or "<a" in hostile
+    assert time.process_time() - began < 5
