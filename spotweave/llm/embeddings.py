@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .families import components, family_links, groups, in_blocks, list_column, roots, settle
+from .families import components, family_links, groups, in_blocks, join_hot, list_column, roots, settle
 from .scratch import materialize
 
 THRESHOLD = 0.93
@@ -209,10 +209,12 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), double.alias("v"))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     group = F.xxhash64(F.col("label").cast("string"), F.size("v"))
-    rows = materialize(rows.select("vec_id", good.alias("good"), group.alias("group"), F.when(good, F.col("v")).alias("v")), "vectors")
-    # Adding zero makes -0.0 equal 0.0.
-    own = rows.filter("good").select("vec_id", "group", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
-    classes = own.groupBy("group", F.col("v").alias("embedding")).agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+    # Adding zero makes -0.0 equal 0.0. Equal vectors have equal hashes: no vector is a key of a shuffle.
+    v = F.transform("v", lambda x: x + F.lit(0.0))
+    keys = [F.when(good, F.xxhash64(F.lit(seed), v)).alias(name) for seed, name in ((1, "key_a"), (2, "key_b"))]
+    rows = materialize(rows.select("vec_id", good.alias("good"), group.alias("group"), *keys, F.when(good, v).alias("v")), "vectors")
+    own = rows.filter("good")
+    classes = own.groupBy("group", "key_a", "key_b").agg(F.first("v").alias("embedding"), F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("embedding")), "classes")
     by_width: dict[int, int] = {}
     for r in classes.groupBy("group", "width").count().groupBy("width").agg(F.max("count").alias("n")).collect():
@@ -222,21 +224,23 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     dealt = materialize(dealt, "caps")
     crowded = dealt.groupBy("bucket", "group").agg(F.count("*").alias("size")).filter("size > 1")
     sketches = classes.select("node", "width", "embedding").mapInArrow(_sketch, "node bigint, sketch binary")
-    meeting = dealt.join(crowded, ["bucket", "group"]).join(sketches, "node")
+    meeting = join_hot(dealt, crowded, ["bucket", "group"], "size", dealt.count()).join(sketches, "node")
     keyed = in_blocks(meeting.withColumn("cap", F.xxhash64("bucket", "group")).drop("bucket", "group"), "cap", "size", block)
     edges = keyed.mapInArrow(_linker(threshold), "a bigint, b bigint")
     families = components(edges)
     members = families.join(classes.select("node", "weight", "embedding"), "node")
     links = settle(family_links(members, "component", "weight", block, _kernel(threshold)))
-    found = classes.select("group", "embedding", "weight", "least", "node").join(links, "node", "left")
+    found = classes.select("group", "key_a", "key_b", "weight", "least", "node").join(links, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     smallest = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = found.join(smallest, "component").select("group", F.col("embedding").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
-    linked = own.join(found, ["group", "v"]).select("vec_id", "n_links", "component_id")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+    found = materialize(found.join(smallest, "component").select("group", "key_a", "key_b", "weight", n_links, "component_id"), "found")
+    linked = join_hot(own.select("vec_id", "group", "key_a", "key_b"), found, ["group", "key_a", "key_b"], "weight", rows.count()).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_copies over all embeddings."""
     return near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))

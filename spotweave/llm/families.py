@@ -13,6 +13,23 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 MAX_ROUNDS = 60
+#: A key with one row in so many or more is hot; there are at most so many of them.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and say in `size` how many rows of left (total in all) they meet.
+
+    Keys that hold a HOTth of all rows or more, at most HOT of them, are broadcast, so that no task gets all rows of one; the
+    others meet by a shuffle. Both sides are read twice: written tables, or cheap.
+    """
+    names = [c for c in left.columns if c not in on]
+    more = [c for c in right.columns if c not in on]
+    hot = right.filter(F.col(size) * HOT >= total).select(*on, F.struct(*more).alias("__hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    met = marked.filter("__hot is not null").select(*on, *names, *(F.col(f"__hot.{c}").alias(c) for c in more))
+    rest = marked.filter("__hot is null").select(*on, *names)
+    return met.unionByName(rest.join(right.filter(F.col(size) * HOT < total), on, how).select(*on, *names, *more))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,17 +40,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     clean = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     pairs = materialize(clean, "stars")
-    before = None
+    before, n = None, pairs.count()
     for _ in range(MAX_ROUNDS):
         # Large star: each neighbour beyond a node points to the node's smallest neighbour.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = join_hot(both.filter("v > u"), least, ["u"], "size", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
         now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        n = now["n"]
         if now == before:
             break
         before = now

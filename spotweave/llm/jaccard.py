@@ -9,10 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .families import components, family_links, groups, in_blocks, list_column, roots, settle
+from .families import components, family_links, groups, in_blocks, join_hot, list_column, roots, settle
 from .idfilter import mark
 from .scratch import materialize
 
@@ -117,19 +116,25 @@ def survivors(signature: np.ndarray, threshold: float, tolerance: float) -> np.n
     return out
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, set_a, set_b, n_shingles, signature): set_a and set_b stand for the set of shingles."""
-    for batch in batches:
-        for first, last, data, offsets in tk.slices(batch.column(1)):
-            hashes, at = shingle_hashes(data, offsets)
-            n = np.diff(at)
-            sums = []
-            for seed in (1, 2):
-                upto = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(hashes + np.uint64(seed)), dtype=np.uint64)])
-                sums.append(tk.mix(upto[at[1:]] - upto[at[:-1]] + n.astype(np.uint64)).view(np.int64))
-            signature = signatures(hashes, at)
-            binary = [row.tobytes() if k else None for row, k in zip(signature, n.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sums[0]), pa.array(sums[1]), pa.array(n), pa.array(binary, pa.binary())], names=["id", "set_a", "set_b", "n_shingles", "signature"])
+FEATURES = "set_a bigint, set_b bigint, n_shingles bigint, signature binary"
+
+
+def set_sums(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Per row two numbers that stand for its set of shingles, of any order."""
+    n = np.diff(at)
+    sums = []
+    for seed in (1, 2):
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(tk.mix(hashes + np.uint64(seed)), dtype=np.uint64)])
+        sums.append(tk.mix(upto[at[1:]] - upto[at[:-1]] + n.astype(np.uint64)).view(np.int64))
+    return sums
+
+
+def _features(data: np.ndarray, offsets: np.ndarray) -> list:
+    """FEATURES of a slice."""
+    hashes, at = shingle_hashes(data, offsets)
+    n = np.diff(at)
+    binary = [row.tobytes() if k else None for row, k in zip(signatures(hashes, at), n.tolist())]
+    return [*set_sums(hashes, at), n, pa.array(binary, pa.binary())]
 
 
 def _bucket_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,15 +163,6 @@ def _pruner(threshold: float, tolerance: float):
     return prune
 
 
-def _shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component, weight, text) to (node, component, weight, shingles)."""
-    for batch in batches:
-        for first, last, data, offsets in tk.slices(batch.column(3)):
-            hashes, at = shingle_hashes(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(j).slice(first, last - first) for j in range(3)), lists], names=["node", "component", "weight", "shingles"])
-
-
 def jaccard_matrix(values: np.ndarray, lengths: np.ndarray, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of all intersections and unions of the rows' sets; shingles of one row alone are left out of the product."""
     n = len(lengths)
@@ -190,12 +186,18 @@ def jaccard_matrix(values: np.ndarray, lengths: np.ndarray, columns: int = 4096)
     return common, lengths[:, None] + lengths[None, :] - common
 
 
-def _kernel(threshold: float):
+def _kernel(threshold: float, tolerance: float):
     parts = int(round(threshold * 1000))
 
     def linked(run: pa.Table) -> np.ndarray:
-        common, union = jaccard_matrix(*list_column(run["shingles"]))
-        return 1000 * common >= parts * union
+        """The pairs that no step of compared values prunes and whose sets are as similar as the threshold, exactly."""
+        signature = np.frombuffer(b"".join(run["signature"].to_pylist()), np.uint16).reshape(-1, VALUES)
+        out = survivors(signature, threshold, tolerance)
+        some = np.flatnonzero(out.any(axis=1))
+        if len(some):
+            common, union = jaccard_matrix(*list_column(run["shingles"].take(pa.array(some))))
+            out[np.ix_(some, some)] &= 1000 * common >= parts * union
+        return out
 
     return linked
 
@@ -205,47 +207,44 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
     Sets are of 5-word runs (words between white space; a shorter text is one run). Texts with equal sets are one class
     and never meet in pairs. Classes that share a band of MinHash values are candidates; bucket by bucket their
-    values are compared in steps and pairs pruned by their posterior, which leaves families; inside a family every
-    pair of classes is verified by its exact sets, in blocks, and only counts and the smallest class leave a block,
-    so all links between different texts count and no list of pairs is made. class_id is the smallest doc_id of
-    the texts that links connect, kept is doc_id = class_id. A null or blank text links with nothing. A row without
-    doc_id stands under a hash of its text and has a null class_id if alone; repeated rows are copies like others
-    (of rows with one doc_id all or none are kept). An empty table gives an empty result; other columns are left out.
+    values are compared in steps and pairs pruned by their posterior, which leaves families. Inside a family, in blocks,
+    pairs are pruned in the same way and those that are left are verified by their exact sets; only counts and the smallest
+    class leave a block, so links between different texts count and no list of pairs is made. class_id is the
+    smallest doc_id of the texts that links connect, kept is doc_id = class_id. A null or blank text links with nothing. A row
+    without doc_id has a null class_id if alone; repeated rows are copies like others (of rows with one doc_id all or none
+    are kept). An empty table gives an empty result; other columns are left out.
     """
-    # A row is found again by its id: a null doc_id is replaced by a hash of the text.
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("id"), text.alias("text"))
-    schema = "id bigint, set_a bigint, set_b bigint, n_shingles bigint, signature binary"
-    known = F.struct("doc_id", "id").alias("id")
-    wide = T.StructType([T.StructField("id", T.StructType().add("doc_id", T.LongType()).add("id", T.LongType())), *T._parse_datatype_string(schema).fields[1:]])
-    features = tk.small_batches(rows.select(known, "text")).mapInArrow(_features, wide)
-    features = materialize(features.select("id.doc_id", "id.id", "set_a", "set_b", "n_shingles", "signature"), "features")
+    doc_id = F.col("doc_id").cast("long")
+    # A row is found again by a hash of its id and text, whatever repeats or is null.
+    rows = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), text.alias("text"))
+    features = tk.small_batches(rows).select("doc_id", "row", tk.kernel(FEATURES, lambda: _features, F.col("text")).alias("f")).select("doc_id", "row", "f.*")
+    features = materialize(features, "features")
+    total = features.count()
     sets = features.filter("n_shingles > 0").groupBy("set_a", "set_b")
-    classes = sets.agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("signature").alias("signature"))
+    classes = sets.agg(F.min("row").alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.first("signature").alias("signature"))
     # Nodes are numbered so that the smallest node of a component need not be the smallest doc_id: that is taken later.
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     banded = classes.select("node", "signature").mapInArrow(_bucket_rows, "bucket bigint, node bigint")
     banded = materialize(banded, "bands")
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    meeting = banded.join(crowded, "bucket").join(classes.select("node", "signature"), "node")
+    meeting = join_hot(banded, crowded, ["bucket"], "size", banded.count()).join(classes.select("node", "signature"), "node")
     edges = in_blocks(meeting, "bucket", "size", bucket_block).mapInArrow(_pruner(threshold, tolerance), "a bigint, b bigint")
     families = components(edges)
-    members = materialize(families.join(classes.select("node", "id", "weight", "set_a", "set_b"), "node"), "members")
-    # Only texts of members, and few others, go into the shuffle.
-    near = mark(rows.select("id", "text"), "id", members, "id", members.count(), "__near").filter("__near").drop("__near")
-    texts = members.join(near, "id")
-    # Rows with one id and different texts: only the class's own text stays.
-    with_sets = texts.select(F.struct("node", "set_a", "set_b").alias("node"), "component", "weight", "text").mapInArrow(
-        _own_sets, "node bigint, component bigint, weight bigint, shingles array<bigint>"
-    )
-    with_sets = materialize(with_sets, "sets").dropDuplicates(["node"])
-    links = settle(family_links(with_sets, "component", "weight", family_block, _kernel(threshold)))
+    members = materialize(families.join(classes.select("node", "row", "weight", "set_a", "set_b", "signature"), "node"), "members")
+    # Only texts of members, and few others, go into the shuffle; of repeated rows one.
+    near = mark(rows.select("row", "text"), "row", members, "row", members.count(), "__near").filter("__near").drop("__near")
+    texts = members.join(near.groupBy("row").agg(F.first("text").alias("text")), "row")
+    own = F.struct("node", "component", "weight", "set_a", "set_b", "signature").alias("own")
+    with_sets = tk.small_batches(texts).select(own, "text").mapInArrow(_own_sets, "node bigint, component bigint, weight bigint, signature binary, shingles array<bigint>")
+    with_sets = materialize(with_sets, "sets")
+    links = settle(family_links(with_sets, "component", "weight", family_block, _kernel(threshold, tolerance)))
     found = classes.select("node", "set_a", "set_b", "weight", "least").join(links, "node", "left")
     group = F.coalesce("component", "node")
     found = found.select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), group.alias("__group"), "least")
     smallest = found.groupBy("__group").agg(F.min("least").alias("class_id"))
-    found = found.join(smallest, "__group").drop("__group", "least")
-    own = features.select("doc_id", "set_a", "set_b", "n_shingles").join(found, ["set_a", "set_b"], "left")
+    found = materialize(found.join(smallest, "__group").drop("__group", "least"), "found")
+    own = join_hot(features.select("doc_id", "set_a", "set_b", "n_shingles"), found, ["set_a", "set_b"], "weight", total, "left")
     blank = F.col("n_shingles") == 0
     class_id = F.when(blank, F.col("doc_id")).otherwise(F.col("class_id"))
     n_links = F.when(blank, 0).otherwise(F.col("links") + F.col("weight") - 1)
@@ -253,21 +252,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 
 def _own_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the texts whose set is the class's."""
+    """(own, text) to (node, component, weight, signature, shingles) of the texts whose set is the class's."""
     for batch in batches:
-        node = batch.column(0)
-        a, b = node.field(1), node.field(2)
-        flat = pa.RecordBatch.from_arrays([node.field(0), batch.column(1), batch.column(2), batch.column(3)], names=["node", "component", "weight", "text"])
-        same = []
-        for part in _features(iter([pa.RecordBatch.from_arrays([node.field(0), batch.column(3)], names=["id", "text"])])):
-            same.append(np.stack([part["set_a"].to_numpy(), part["set_b"].to_numpy()]))
-        if same:
-            got = np.concatenate(same, axis=1)
-            keep = (got[0] == a.to_numpy()) & (got[1] == b.to_numpy())
-            yield from _shingles(iter([flat.filter(pa.array(keep))]))
+        own = batch.column(0)
+        for first, last, data, offsets in tk.slices(batch.column(1)):
+            hashes, at = shingle_hashes(data, offsets)
+            here = own.slice(first, last - first)
+            a, b = set_sums(hashes, at)
+            same = (a == here.field(3).to_numpy()) & (b == here.field(4).to_numpy())
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
+            columns = [here.field(0), here.field(1), here.field(2), here.field(5), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "component", "weight", "signature", "shingles"]).filter(pa.array(same))
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join over all documents."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
