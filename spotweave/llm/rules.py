@@ -323,14 +323,15 @@ def judge(docs: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) -> Da
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     measured = materialize(measure(docs, sound_only=True).withColumn("base_failed", failed), "measured")
     wider = F.sqrt(1 + SHORT_WORDS / F.greatest("n_words", F.lit(1)))
-    lang = F.coalesce("lang", F.lit("")).alias("__lang")
+    # The model's number of a language (language_code), so there are at most 2**21 rows of bands.
+    code = F.crc32(F.concat(F.lit("language "), F.col("lang").cast("string")).cast("binary")).bitwiseAND(F.lit(SYMBOL))
+    lang = F.coalesce(code, F.lit(SYMBOL)).alias("__lang")
     sound = measured.filter(~F.col("base_failed")).select(lang, "log_ppl", wider.alias("__wider"))
     middle = sound.groupBy("__lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("__mid"))
-    # One row a language: Spark sees how few they are and sends them.
     off = F.percentile_approx(F.abs(F.col("log_ppl") - F.col("__mid")) / F.col("__wider"), 0.5, 10_000)
-    spread = sound.join(middle, "__lang").groupBy("__lang", "__mid").agg(off.alias("__off"))
+    spread = sound.join(F.broadcast(middle), "__lang").groupBy("__lang", "__mid").agg(off.alias("__off"))
     bands = spread.select("__lang", "__mid", F.greatest(1.4826 * F.col("__off"), F.lit(MIN_SPREAD)).alias("__width"))
-    out = measured.select("*", lang).join(bands, "__lang", "left").withColumn("__width", F.col("__width") * wider)
+    out = measured.select("*", lang).join(F.broadcast(bands), "__lang", "left").withColumn("__width", F.col("__width") * wider)
     out = out.withColumns({"band_low": F.col("__mid") - F.lit(low) * F.col("__width"), "band_high": F.col("__mid") + F.lit(high) * F.col("__width")})
     inside = F.coalesce(F.col("log_ppl").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return out.drop("__lang", "__mid", "__width").withColumn("kept", ~F.col("base_failed") & inside)

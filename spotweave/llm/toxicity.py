@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
+from .labelled import training_texts
+from .scratch import materialize
 
 #: About so many labelled rows are used to fit, and at most so many words become features.
 TRAIN_ROWS = 12_000
@@ -115,19 +117,20 @@ def no_model(toxic: np.ndarray, n_grades: int) -> OrdinalModel:
 def train(words: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, toxic: np.ndarray, n_grades: int = GRADES) -> OrdinalModel:
     """Fit on the features (row, index in words, value) of texts and their 0/1 labels.
 
-    A label says toxic or not; the grades of toxic texts are equal parts of them by the evidence that a fit with two grades
-    finds, from 1 (least) to n_grades - 1.
+    A label says toxic or not. The grades of toxic texts are equal parts of them, from 1 (least) to n_grades - 1, by how much of
+    the vocabulary of toxic texts they hold: the summed values of features whose share of toxic texts is MIN_Z standard errors above
+    the mean. That is counted before any fit; no label says it, so severity orders texts by it and is no judgement of a reader.
     """
     toxic = np.asarray(toxic).astype(np.int64)
     if not len(toxic) or toxic.min() == toxic.max():
         return no_model(toxic, n_grades)
-    weights, cuts = fit_ordinal(row, feature, value, len(words), toxic, 2)
-    if n_grades > 2:
-        evidence = np.bincount(row, np.maximum(0, weights[feature]) * value, minlength=len(toxic))[toxic == 1]
-        steps = np.quantile(evidence, np.arange(1, n_grades - 1) / (n_grades - 1))
-        grades = np.zeros(len(toxic), np.int64)
-        grades[toxic == 1] = 1 + np.searchsorted(steps, evidence, side="left")
-        weights, cuts = fit_ordinal(row, feature, value, len(words), grades, n_grades)
+    docs, hits = np.bincount(feature, minlength=len(words)), np.bincount(feature, toxic[row], minlength=len(words))
+    leaning = standing(np.maximum(docs, 1), hits, toxic.mean()) >= MIN_Z
+    evidence = np.bincount(row, leaning[feature] * value, minlength=len(toxic))[toxic == 1]
+    steps = np.quantile(evidence, np.arange(1, n_grades - 1) / (n_grades - 1))
+    grades = np.zeros(len(toxic), np.int64)
+    grades[toxic == 1] = 1 + np.searchsorted(steps, evidence, side="left")
+    weights, cuts = fit_ordinal(row, feature, value, len(words), grades, n_grades)
     return OrdinalModel(words, weights, cuts)
 
 
@@ -153,13 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: in
 
     Words and beginnings become features if they are in MIN_DOCS of these texts or more and their share of toxic texts is MIN_Z
     standard errors from the mean; Spark counts them, and the MAX_FEATURES that stand out most come to the driver, with their
-    values in these texts. Null labels and labels of no document are left out.
+    values in these texts. Null labels and labels of no document are left out; of a repeated doc_id one text and the greatest
+    label count.
     """
-    known = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    share = min(1.0, rows / max(1, known.count()))
-    some = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    # `some` has about `rows` rows, whatever the input.
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
+    # About `rows` texts, read by three jobs.
+    texts = materialize(training_texts(docs, labels, label, usable, rows, 5), "labelled")
     counts = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     n, toxic = sum(counts.values()), counts.get(1, 0)
     if not 0 < toxic < n:
@@ -210,6 +211,7 @@ def _remainder() -> Column:
 
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grade over all documents, learned from the labels that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", _remainder() != 0)
     return grade(docs.select("doc_id", (_remainder() == 0).alias("held_out"), "text"), model).drop("text")

@@ -289,25 +289,33 @@ def test_main_text_survives_anything():
 
 
 def test_passages_follow_rows():
-    x, first = quality.encode_passages(*whole([LONG, "", "a b", " "]))
+    got = quality.encode_passages(*whole([LONG, "", "a b", " "]))
+    x, first = got.shape, got.first
     assert first.tolist() == [0, -(-60_000 // 64), -(-60_000 // 64) + 1, -(-60_000 // 64) + 2, -(-60_000 // 64) + 3]
     assert not x[first[1]].any() and x[first[2]].any() and np.isfinite(x).all()
+    assert np.diff(got.first_token).tolist()[-3:] == [0, 4, 0] and len(got.tokens) == 2 * 60_002
+
+
+def _toy(rng, sizes=(1, 3, 2), words=(5, 0, 8, 2, 1, 4)):
+    """Passages of rows with so many passages, each with so many tokens."""
+    first, first_token = (np.concatenate([[0], np.cumsum(n)]) for n in (sizes, words))
+    return quality.Passages(rng.normal(size=(first[-1], quality.N_FEATURES)).astype(np.float32), rng.integers(0, quality.BUCKETS, first_token[-1]).astype(np.int16), first_token, first)
 
 
 def test_attention_gradient():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(n, quality.N_FEATURES)).astype(np.float32) for n in (1, 3, 2)]
-    y = np.array([0.0, 1.0, 1.0])
+    bags, y = _toy(rng), np.array([0.0, 1.0, 1.0])
     model = quality.train(bags, y, epochs=0)
-    x, first = np.concatenate([model._scaled(b) for b in bags]).astype(float), np.array([0, 1, 4, 6])
-    grad = model.gradient(x, first, y)
+    model.weights["E"] = rng.normal(size=model.weights["E"].shape)
+    x = model._scaled(bags.shape).astype(float)
+    grad = model.gradient(x, bags.tokens, bags.first_token, bags.first, y)
 
     def loss():
-        s = model._forward(x, first)["score"]
+        s = model._forward(x, quality.bag_sums(model.weights["E"], bags.tokens, bags.first_token), bags.first)["score"]
         return -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
 
-    for k in ("W", "V", "U", "q", "w", "b"):
-        at = tuple(0 for _ in model.weights[k].shape)
+    for k in ("W", "V", "U", "q", "w", "b", "E"):
+        at = tuple(0 for _ in model.weights[k].shape) if k != "E" else (int(bags.tokens[7]), 3)
         keep, h = model.weights[k][at], 1e-5
         model.weights[k][at] = keep + h
         up = loss()
@@ -317,9 +325,37 @@ def test_attention_gradient():
         assert abs((up - down) / (2 * h) - grad[k][at]) < 1e-5
 
 
+def test_quality_score_by_its_definition():
+    """The forward pass written out, passage by passage and word by word."""
+    rng = np.random.default_rng(3)
+    texts = ["The cat sat. " * 40, "", "buy $$$ NOW !!! " * 9 + "and then a quiet word", "one"]
+    model = quality.train(_toy(rng), np.array([0.0, 1.0, 0.0]), epochs=3)
+    p = {k: np.asarray(v, float) for k, v in model.weights.items()}
+    p["E"] = model.weights["E"] = rng.normal(size=p["E"].shape)
+    got = model.score(quality.encode_passages(*whole(texts)))
+    for text, score in zip(texts, got):
+        own = quality.encode_passages(*whole([text]))
+        words = text.encode().split()
+        hs, es = [], []
+        for i in range(max(1, -(-len(words) // quality.PASSAGE_WORDS))):
+            part = words[i * quality.PASSAGE_WORDS : (i + 1) * quality.PASSAGE_WORDS]
+            hashes = [int(tk.span_hash(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in part]
+            total = np.zeros(quality.HIDDEN)
+            for before, h in zip([0, *hashes], hashes):
+                pair = int(tk.mix(np.array([(before * 3 + h) % 2**64], np.uint64))[0])
+                total += p["E"][h * quality.BUCKETS >> 64] + p["E"][pair * quality.BUCKETS >> 64]
+            x = np.clip((own.shape[i] - model.mean) / model.scale, -6, 6)
+            h = np.tanh(x @ p["W"] + p["b"] + total / np.sqrt(max(1, 2 * len(part))))
+            hs.append(h)
+            es.append(np.tanh(h @ p["V"]) * (1 / (1 + np.exp(-(h @ p["U"])))) @ p["q"])
+        a = np.exp(es) / np.sum(np.exp(es))
+        z = sum(w * h for w, h in zip(a, hs))
+        assert score == pytest.approx(1 / (1 + np.exp(-np.clip(z @ p["w"] + p["c"], -30, 30))), abs=1e-6)
+
+
 def test_training_without_labels():
-    for bags, y in (([], np.zeros(0)), ([np.zeros((1, quality.N_FEATURES), np.float32)], np.ones(1))):
-        s = quality.train(bags, y).score(*quality.encode_passages(*whole(["a b", ""])))
+    for bags, y in ((None, np.zeros(0)), (quality.encode_passages(*whole(["a"])), np.ones(1))):
+        s = quality.train(bags, y).score(quality.encode_passages(*whole(["a b", ""])))
         assert ((s >= 0) & (s <= 1)).all()
     none = np.zeros(0, np.int64)
     assert toxicity.train(none.view(np.uint64), none, none, none, none).exceed(np.zeros(2)).max() < 0.5
@@ -530,3 +566,24 @@ def test_deep_pages_take_linear_time(hostile):
     began = time.process_time()
     assert "text" in html.main_text(hostile + " text </x>") or "textarea" in hostile or "<a" in hostile
     assert time.process_time() - began < 5
+
+
+def test_ordinal_fit_is_the_least_loss():
+    """No step away from the fit lowers the penalised log loss of the cumulative-link model, written out here."""
+    rng = np.random.default_rng(4)
+    n, k = 400, 6
+    x = (rng.random((n, k)) < 0.4) * rng.uniform(1, 2, (n, k))
+    latent = x @ np.array([2.0, 1.0, -1.0, 0.5, 0, 0]) + rng.logistic(size=n)
+    grades = np.digitize(latent, [1.0, 2.5, 4.0])
+    row, feature = np.nonzero(x)
+    weights, cuts = toxicity.fit_ordinal(row, feature, x[row, feature], k, grades, 4)
+
+    def loss(w, c):
+        below = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-(c[None, :] - (x @ w)[:, None]))), np.ones((n, 1))], axis=1)
+        return -np.mean(np.log(below[np.arange(n), grades + 1] - below[np.arange(n), grades])) + toxicity.RIDGE * (w @ w) / 2
+
+    least = loss(weights, cuts)
+    for _ in range(300):
+        d = rng.normal(size=k + 3) * 10 ** rng.uniform(-3, -1)
+        assert loss(weights + d[:k], np.sort(cuts + d[k:])) > least - 1e-6
+    assert weights[0] > weights[1] > 0 > weights[2] and (np.diff(cuts) > 0).all()
