@@ -120,8 +120,14 @@ def boundary_distance(edge: Column, x: Column, y: Column) -> Column:
     return F.sqrt(F.aggregate(edge, F.lit(float("inf")), lambda least, e: F.least(least, squared(e))))
 
 
-def on_boundary(edge: Column, x: Column, y: Column, tolerance: float = 1e-9) -> Column:
-    return boundary_distance(edge, x, y) <= tolerance
+def on_edge(edge: Column, x: Column, y: Column) -> Column:
+    """Whether the point lies on an edge, ends included, exactly."""
+
+    def holds(e: Column) -> Column:
+        side = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+        return (side == 0) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"]))
+
+    return F.exists(edge, holds)
 
 
 def aspect_ratio(rings: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import SpatialDataset
@@ -20,24 +20,37 @@ def clq(points: DataFrame, instance: str, feature: str, radius: float = 20.0, mi
     radius; b, c: points of the source and of the neighbour; d: all points counted. clq = (a / b) / (c / d), with a 95 %
     interval of 1.96 sqrt(1/a + 1/b + 1/c + 1/d). log2 is NULL for what is not above 0.
     """
-    counts = points.groupBy(instance, feature).agg(F.count("*").alias("n"))
+    return quotients(points, {"all": F.lit(True)}, instance, feature, radius, min_points, min_cells, compat).drop("compartment")
+
+
+def quotients(points: DataFrame, compartments: dict[str, Column], instance: str, feature: str, radius: float, min_points: int, min_cells: int, compat: bool) -> DataFrame:
+    """clq with a column compartment: for each name the quotients among the points where its condition holds. Neighbours are joined once for all."""
+    where = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in compartments.items())))
+    points = points.withColumn("__in", where).filter(F.size("__in") > 0)
+    counts = points.select(instance, feature, F.explode("__in").alias("compartment")).groupBy("compartment", instance, feature).agg(F.count("*").alias("n"))
     if min_cells:
         measure = F.sum("n") if compat else F.count("*")
-        common = counts.groupBy(feature).agg(measure.alias("m")).filter(F.col("m") > min_cells).select(feature)
-        counts = counts.join(common, feature, "left_semi")
+        common = counts.groupBy("compartment", feature).agg(measure.alias("m")).filter(F.col("m") > min_cells).select("compartment", feature)
+        counts = counts.join(common, ["compartment", feature], "left_semi")
     counts = counts.filter(F.col("n") >= min_points)
-    totals = counts.groupBy(instance).agg(F.sum("n").alias("d"), F.count("*").alias("k")).filter("k >= 2").drop("k")
-    counts = counts.join(totals, instance)
-    used = points.join(counts.select(instance, feature), [instance, feature], "left_semi")
-    # The features around a point, once each: sets are built before the shuffle.
-    around = radius_pairs(used, instance, radius, [feature]).groupBy(instance, "query_id", f"q_{feature}").agg(F.collect_set(feature).alias("s"))
-    a = around.select(instance, F.col(f"q_{feature}").alias(feature), F.explode("s").alias("neighbor")).groupBy(instance, feature, "neighbor").agg(F.count("*").alias("a"))
-    b = counts.select(instance, feature, F.col("n").alias("b"), "d")
-    c = counts.select(instance, F.col(feature).alias("neighbor"), F.col("n").alias("c"))
-    out = a.join(b, [instance, feature]).join(c, [instance, "neighbor"])
+    totals = counts.groupBy("compartment", instance).agg(F.sum("n").alias("d"), F.count("*").alias("k")).filter("k >= 2").drop("k")
+    counts = counts.join(totals, ["compartment", instance])
+    used = points.join(counts.select(instance, feature).distinct(), [instance, feature], "left_semi")
+    # The features around a point, once each and with the compartments that hold both: sets are built before the shuffle.
+    pairs = radius_pairs(used, instance, radius, [feature, "__in"])
+    both = F.array_intersect("q___in", "__in")
+    around = pairs.withColumn("__both", both).filter(F.size("__both") > 0).groupBy(instance, "query_id", f"q_{feature}").agg(F.collect_set(F.struct(feature, "__both")).alias("s"))
+    found = around.select(instance, "query_id", F.col(f"q_{feature}").alias(feature), F.explode("s").alias("s"))
+    found = found.select(instance, "query_id", feature, F.col(f"s.{feature}").alias("neighbor"), F.explode("s.__both").alias("compartment"))
+    # A point may see a neighbour's feature in several sets of compartments.
+    found = found.distinct() if len(compartments) > 1 else found
+    a = found.groupBy("compartment", instance, feature, "neighbor").agg(F.count("*").alias("a"))
+    b = counts.select("compartment", instance, feature, F.col("n").alias("b"), "d")
+    c = counts.select("compartment", instance, F.col(feature).alias("neighbor"), F.col("n").alias("c"))
+    out = a.join(b, ["compartment", instance, feature]).join(c, ["compartment", instance, "neighbor"])
     value = F.try_divide(F.col("a") / F.col("b"), F.col("c") / F.col("d"))
     half = 1.96 * F.sqrt(1 / F.col("a") + 1 / F.col("b") + 1 / F.col("c") + 1 / F.col("d"))
-    out = out.select(feature, "neighbor", instance, value.alias("clq"), (value - half).alias("ci_lower"), (value + half).alias("ci_upper"))
+    out = out.select("compartment", feature, "neighbor", instance, value.alias("clq"), (value - half).alias("ci_lower"), (value + half).alias("ci_upper"))
     log = lambda name: F.when(F.col(name) > 0, F.log2(name))
     return out.select("*", log("clq").alias("log_clq"), log("ci_lower").alias("log_ci_lower"), log("ci_upper").alias("log_ci_upper"))
 
@@ -47,12 +60,8 @@ def coloc_quotient(ds: SpatialDataset, shapes: Sequence[str], radius: float = 20
     a = ds.attrs
     instance, feature = a["instance_key"], a["feature_key"]
     points = ds.points[a["points_key"]].filter(F.col(instance).isNotNull())
-    out: DataFrame | None = None
-    for shape in shapes:
-        own = points if compat else points.filter(F.col(shape).isNotNull())
-        part = clq(own, instance, feature, radius, min_points, min_cells, compat).withColumn("compartment", F.lit(shape))
-        out = part if out is None else out.unionByName(part)
-    return ds.with_table("clq", out)
+    compartments = {shape: F.lit(True) if compat else F.col(shape).isNotNull() for shape in shapes}
+    return ds.with_table("clq", quotients(points, compartments, instance, feature, radius, min_points, min_cells, compat))
 
 
 def colocation_tensor(table: DataFrame, instance: str, feature: str) -> DataFrame:

@@ -29,24 +29,25 @@ def tiled(shapes: DataFrame, tile: float = TILE) -> DataFrame:
 
 
 def points_in_shapes(points: DataFrame, shapes: DataFrame, out: str, tile: float = TILE, point_id: str = "point_id") -> DataFrame:
-    """points with `out`: the shape that holds the point, the smallest shape_id of several, NULL of none.
+    """points with `out`: the shape that holds the point, its border included, the smallest shape_id of several, NULL of none.
 
-    Points join the shapes of their tile and are tested by even-odd parity; no point is sent anywhere but to its
-    tile. Only the hits of points that several shapes hold are aggregated. A shape side within the session's broadcast
-    threshold spares the shuffle; a crowded tile is split by AQE.
+    Points join the shapes of their tile and are tested by even-odd parity, or for lying on an edge; no point is sent
+    anywhere but to its tile. Only where shapes overlap are the hits of a point aggregated, in the same pass over the points. A
+    shape side within the session's broadcast threshold spares the shuffle; a crowded tile is split by AQE.
     """
     points = points.drop(out)
     sides = tiled(shapes.select("shape_id", "rings"), tile).drop("rings")
     x, y = F.col("x"), F.col("y")
     keyed = points.withColumn("__px", tile_of(x, tile)).withColumn("__py", tile_of(y, tile))
     box = x.between(F.col("__minx"), F.col("__maxx")) & y.between(F.col("__miny"), F.col("__maxy"))
-    hits = (F.col("__px") == F.col("__tx")) & (F.col("__py") == F.col("__ty")) & box & geom.inside(F.col("__edges"), x, y)
+    held = geom.inside(F.col("__edges"), x, y) | geom.on_edge(F.col("__edges"), x, y)
+    hits = (F.col("__px") == F.col("__tx")) & (F.col("__py") == F.col("__ty")) & box & held
     joined = keyed.join(sides, hits, "left").withColumnRenamed("shape_id", out)
     kept = [*points.columns, out]
     joined = joined.select(kept)
-    first = joined.groupBy(point_id).agg(F.count("*").alias("__n"), F.min(out).alias("__first")).filter("__n > 1").select(point_id, "__first")
     if overlapping(shapes, tile):
-        return joined.join(first, point_id, "left").filter(F.col("__first").isNull() | (F.col(out) == F.col("__first"))).select(kept).dropDuplicates([point_id])
+        rest = [F.first(c).alias(c) for c in points.columns if c != point_id]
+        return joined.groupBy(point_id).agg(*rest, F.min(out).alias(out)).select(kept)
     return joined
 
 
@@ -119,34 +120,29 @@ def merge_children(children: DataFrame, up: DataFrame) -> DataFrame:
 def radius_pairs(points: DataFrame, key: str, r: float, carry: list[str], queries: DataFrame | None = None, query_id: str = "point_id") -> DataFrame:
     """Ordered pairs (query, neighbour) of one key at a distance of at most r, a point itself included.
 
-    An equi-join on the key with the distance as a condition: the faster plan for keys of up to some thousand points.
-    binned_radius_pairs is the form for larger ones.
+    The plane is cut into squares of width 2 r. A query is in its own, a point in all that a circle of r around it
+    touches (two and a quarter on average), so every pair meets once, in an equi-join by key and square: the pairs tested follow the
+    density of points, not the size of a key, and a crowded key is spread over tasks.
     """
     queries = points if queries is None else queries
-    q = queries.select(F.col(key).alias("__key"), F.col(query_id).alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), *(F.col(c).alias(f"q_{c}") for c in carry if c in queries.columns))
-    p = points.select(F.col(key), "point_id", "x", "y", *carry)
-    dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
-    return q.join(p, (F.col("__key") == F.col(key)) & (dx * dx + dy * dy <= F.lit(float(r) * float(r)))).drop("__key")
+    side, reach = F.lit(2.0 * r), F.lit(float(r) * (1 + 1e-9))
 
+    def squares(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - reach) / side).cast("bigint"), F.floor((F.col(c) + reach) / side).cast("bigint"))
 
-def binned_radius_pairs(points: DataFrame, key: str, r: float, carry: list[str]) -> DataFrame:
-    """radius_pairs for keys with very many points: both sides are cut into squares of width r, and a query meets nine of them."""
-    side = F.lit(float(r))
-    p = points.select(key, "point_id", "x", "y", *carry, F.floor(F.col("x") / side).alias("__gx"), F.floor(F.col("y") / side).alias("__gy"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    q = points.select(F.col(key).alias("__key"), F.col("point_id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), *(F.col(c).alias(f"q_{c}") for c in carry))
-    q = q.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
-    q = q.withColumn("__qx", F.floor(F.col("qx") / side) + F.col("__dx")).withColumn("__qy", F.floor(F.col("qy") / side) + F.col("__dy")).drop("__dx", "__dy")
+    q = queries.select(F.col(key).alias("__key"), F.col(query_id).alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), *(F.col(c).alias(f"q_{c}") for c in carry if c in queries.columns))
+    q = q.withColumn("__qi", F.floor(F.col("qx") / side).cast("bigint")).withColumn("__qj", F.floor(F.col("qy") / side).cast("bigint"))
+    p = points.select(key, "point_id", "x", "y", *carry).withColumn("__pi", F.explode(squares("x"))).withColumn("__pj", F.explode(squares("y")))
     dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
-    on = (F.col("__key") == F.col(key)) & (F.col("__qx") == F.col("__gx")) & (F.col("__qy") == F.col("__gy")) & (dx * dx + dy * dy <= F.lit(float(r) * float(r)))
-    return q.join(p, on).drop("__key", "__gx", "__gy", "__qx", "__qy")
+    meet = (F.col("__key") == F.col(key)) & (F.col("__qi") == F.col("__pi")) & (F.col("__qj") == F.col("__pj"))
+    return q.join(p, meet & (dx * dx + dy * dy <= F.lit(float(r) * float(r)))).drop("__key", "__qi", "__qj", "__pi", "__pj")
 
 
 def nearest(points: DataFrame, key: str, k: int, carry: list[str], queries: DataFrame | None = None, query_id: str = "point_id", block: int = 512) -> DataFrame:
     """(key, query_id, qx, qy, q_<carry>, carry, x, y, d2, rank): the k nearest points of the same key for each query (all if fewer), rank 1 the nearest; ties go by x, y, carry, point_id.
 
-    A key's points and queries meet in one task, in Arrow; distances are made for `block` queries at a time, so only k rows
-    a query leave it and no list of pairs is sorted.
+    A key's points and queries meet in one task, in Arrow; distances are made for `block` queries at a time, and of a query's
+    only those up to the k-th smallest are put in order.
     """
     queries = points if queries is None else queries
     own = [c for c in carry if c in queries.columns]
@@ -166,10 +162,16 @@ def nearest(points: DataFrame, key: str, k: int, carry: list[str], queries: Data
             part = ask.iloc[first : first + block]
             dx, dy = x - part["x"].to_numpy()[:, None], y - part["y"].to_numpy()[:, None]
             d2 = dx * dx + dy * dy
-            order = np.argsort(d2, axis=1, kind="stable")[:, :n]
+            # All up to the k-th distance, ties included, then in order of distance and of ties.
+            row, at = np.nonzero(d2 <= np.partition(d2, n - 1, axis=1)[:, n - 1 : n])
+            d = d2[row, at]
+            order = np.lexsort((at, d, row))
+            row, at, d = row[order], at[order], d[order]
+            first_of = np.searchsorted(row, np.arange(len(part)))
+            taken = (first_of[:, None] + np.arange(n)).ravel()
             rows.append(np.repeat(part.index.to_numpy(), n))
-            picks.append(order.ravel())
-            squares.append(np.take_along_axis(d2, order, axis=1).ravel())
+            picks.append(at[taken])
+            squares.append(d[taken])
         row, pick = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (rows, picks))
         a, b = ask.iloc[row].reset_index(drop=True), near.iloc[pick].reset_index(drop=True)
         out = {key: a[key], "query_id": a["__id"], "qx": a["x"], "qy": a["y"], **{f"q_{c}": a[c] for c in own}, **{c: b[c] for c in carry}, "point_id": b["__id"], "x": b["x"], "y": b["y"]}
@@ -178,4 +180,4 @@ def nearest(points: DataFrame, key: str, k: int, carry: list[str], queries: Data
     return p.unionByName(q).groupBy(key).applyInPandas(run, ", ".join(fields))
 
 
-__all__ = ["binned_radius_pairs", "covers", "map_shapes", "merge_children", "nearest", "points_in_shapes", "radius_pairs", "tiled"]
+__all__ = ["covers", "map_shapes", "merge_children", "nearest", "points_in_shapes", "radius_pairs", "tiled"]

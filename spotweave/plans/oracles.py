@@ -14,21 +14,21 @@ sup AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS cell, CAST((s_suppk
   CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'B' END AS phenotype, CAST(s_acctbal AS DOUBLE) AS acctbal FROM supplier),
 vert AS (SELECT shape, CASE WHEN shape='cell' THEN cell ELSE 'n'||cell END AS id, cell, i, ox+vx+1.0::DOUBLE/256 AS x, oy+vy+1.0::DOUBLE/512 AS y
   FROM sup, tmpl WHERE shape='cell' OR k % 5 <> 0),
-edge AS (SELECT a.shape, a.id, a.cell, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM vert a JOIN vert b ON a.shape=b.shape AND a.id=b.id AND b.i=(a.i+1)%8),
+edge AS MATERIALIZED (SELECT a.shape, a.id, a.cell, a.i, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM vert a JOIN vert b ON a.shape=b.shape AND a.id=b.id AND b.i=(a.i+1)%8),
 org AS (SELECT shape, id, x AS x0, y AS y0 FROM vert WHERE i=0),
-geo AS (SELECT e.shape, e.id, any_value(e.cell) AS cell, sum((ax-x0)*(by_-y0)-(bx-x0)*(ay-y0))/2 AS area,
+geo AS MATERIALIZED (SELECT e.shape, e.id, any_value(e.cell) AS cell, sum((ax-x0)*(by_-y0)-(bx-x0)*(ay-y0))/2 AS area,
   any_value(x0)+sum((ax+bx-2*x0)*((ax-x0)*(by_-y0)-(bx-x0)*(ay-y0)))/(3*sum((ax-x0)*(by_-y0)-(bx-x0)*(ay-y0))) AS cx,
   any_value(y0)+sum((ay+by_-2*y0)*((ax-x0)*(by_-y0)-(bx-x0)*(ay-y0)))/(3*sum((ax-x0)*(by_-y0)-(bx-x0)*(ay-y0))) AS cy,
   sum(sqrt((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay))) AS perimeter FROM edge e JOIN org o ON e.shape=o.shape AND e.id=o.id GROUP BY e.shape, e.id),
-bb AS (SELECT shape, id, any_value(cell) AS cell, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vert GROUP BY shape, id),
+bb AS MATERIALIZED (SELECT shape, id, any_value(cell) AS cell, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vert GROUP BY shape, id),
 rad AS (SELECT v.shape, v.id, any_value(v.cell) AS cell, sum(sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy))*(CASE WHEN i=0 THEN 2 ELSE 1 END))/9 AS radius FROM vert v JOIN geo g ON v.shape=g.shape AND v.id=g.id GROUP BY v.shape, v.id)"""
 
-RAW = """raw AS (SELECT row_number() OVER () AS pid, CAST((l_suppkey % 32)*64 AS DOUBLE)+CAST(l_quantity AS DOUBLE)+CAST(l_linenumber AS DOUBLE)/8 AS x,
+RAW = """raw AS MATERIALIZED (SELECT row_number() OVER () AS pid, CAST((l_suppkey % 32)*64 AS DOUBLE)+CAST(l_quantity AS DOUBLE)+CAST(l_linenumber AS DOUBLE)/8 AS x,
   CAST((l_suppkey // 32)*64 AS DOUBLE)+CAST(CAST(round(l_extendedprice*100) AS BIGINT) % 6400 AS DOUBLE)/128 AS y, p_brand AS gene FROM lineitem JOIN part ON l_partkey=p_partkey)"""
 
 POINTS = f"""{RAW},
-hit AS (SELECT p.pid, e.shape, e.id FROM raw p JOIN bb ON p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 JOIN edge e ON e.shape=bb.shape AND e.id=bb.id GROUP BY p.pid, e.shape, e.id HAVING {_PARITY}),
-pts AS (SELECT r.pid, r.x, r.y, r.gene, c.id AS cell, n.id AS nuc FROM raw r JOIN hit c ON c.pid=r.pid AND c.shape='cell' LEFT JOIN hit n ON n.pid=r.pid AND n.shape='nuc')"""
+hit AS MATERIALIZED (SELECT p.pid, e.shape, e.id FROM raw p JOIN bb ON p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 JOIN edge e ON e.shape=bb.shape AND e.id=bb.id GROUP BY p.pid, e.shape, e.id HAVING {_PARITY}),
+pts AS MATERIALIZED (SELECT r.pid, r.x, r.y, r.gene, c.id AS cell, n.id AS nuc FROM raw r JOIN hit c ON c.pid=r.pid AND c.shape='cell' LEFT JOIN hit n ON n.pid=r.pid AND n.shape='nuc')"""
 
 
 def _grid(step: int) -> str:

@@ -148,8 +148,6 @@ def test_neighbours(ds):
     points = ds.points["transcripts"]
     out = neighbors.count_neighbors(points, CELL, GENE, radius=0.5)
     assert sorted(r["n"] for r in out.collect()) == [1, 1, 1, 1, 1, 1, 2, 2]
-    binned = neighbors.count_neighbors(points, CELL, GENE, radius=0.5, binned=True)
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, binned.collect()))
     assert rows(neighbors.count_neighbors(points, CELL, GENE, radius=0.5, agg="feature"), CELL, "source", "neighbor", "n")[0] == ("c0", "g1", "g1", 1)
     assert neighbors.count_neighbors(points, CELL, GENE, n_neighbors=99).agg(F.sum("n")).first()[0] == 4 * 4 + 2 * 2
     for kws in ({}, {"radius": 1, "n_neighbors": 1}):
@@ -264,3 +262,51 @@ def test_streamed_counts(ds, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("streamed").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert rows(points.sparkSession.table("streamed"), CELL, GENE, "n") == rows(ds.tables["table"], CELL, GENE, "n")
+
+
+def test_points_on_a_border_are_inside(spark):
+    """Concave rings, holes, several rings: parity inside, and every point of an edge belongs to the shape."""
+    concave = [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 5.0), (0.0, 10.0)]]
+    holed = [*rect(20, 0, 30, 10), *rect(24, 4, 26, 6)]
+    two = [*rect(40, 0, 42, 2), *rect(46, 0, 48, 2)]
+    kinds = shapes(spark, [("concave", concave), ("holed", holed), ("two", two)])
+    want = {
+        (5.0, 5.0): "concave", (2.5, 7.5): "concave", (5.0, 7.0): None, (0.0, 10.0): "concave", (10.0, 3.0): "concave", (0.0, 5.0): "concave", (3.0, 0.0): "concave", (9.0, 8.0): "concave",
+        (25.0, 5.0): None, (24.0, 5.0): "holed", (26.0, 6.0): "holed", (22.0, 5.0): "holed", (30.0, 10.0): "holed", (30.0, 10.5): None,
+        (41.0, 1.0): "two", (44.0, 1.0): None, (42.0, 1.0): "two", (46.0, 0.0): "two", (48.0, 2.0): "two", (47.0, 2.0): "two",
+    }
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(want)], "point_id bigint, x double, y double")
+    for tile in (64.0, 3.0):
+        got = {(r["x"], r["y"]): r["s"] for r in spatial_join.points_in_shapes(points, kinds, "s", tile).collect()}
+        assert got == want
+
+
+def test_radius_pairs_of_a_crowded_cell(spark):
+    """One cell of 50,000 points: pairs follow the density, not the square of the cell."""
+    rng = np.random.default_rng(1)
+    xy = np.round(rng.uniform(-200, 200, (50_000, 2)), 1)
+    points = spark.createDataFrame([(i, "c", float(x), float(y)) for i, (x, y) in enumerate(xy)], "point_id bigint, cell string, x double, y double")
+    pairs = spatial_join.radius_pairs(points, "cell", 1.0, [])
+    got = pairs.count()
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(xy):
+        cells.setdefault((int(x // 1), int(y // 1)), []).append(i)
+    want = 0
+    for (a, b), own in cells.items():
+        near = np.array([j for p in (-1, 0, 1) for q in (-1, 0, 1) for j in cells.get((a + p, b + q), [])])
+        d = xy[own][:, None, :] - xy[near][None, :, :]
+        want += int(((d**2).sum(axis=2) <= 1.0).sum())
+    assert got == want
+    text = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "__qi" in text and "__pi" in text
+
+
+def test_nearest_with_ties(spark):
+    grid = [(i, "c", float(i % 7), float(i // 7), f"g{i % 3}") for i in range(49)]
+    points = spark.createDataFrame(grid, "point_id bigint, cell string, x double, y double, g string")
+    got = {}
+    for r in spatial_join.nearest(points, "cell", 6, ["g"], block=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["point_id"]
+    for i, _, x, y, _ in grid:
+        want = sorted(grid, key=lambda p: ((p[2] - x) ** 2 + (p[3] - y) ** 2, p[2], p[3], p[4], p[0]))[:6]
+        assert [got[i][k] for k in range(1, 7)] == [p[0] for p in want]
