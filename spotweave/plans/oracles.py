@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators.patterns import PATTERNS, THRESHOLDS
+from ..operators.patterns import PATTERNS, THRESHOLDS, feature_columns
 from ..sources.fixture import CELL_RING, NUCLEUS_RING
 
 _TEMPLATE = ", ".join(f"('{s}', {i}, {x}, {y})" for s, ring in (("cell", CELL_RING), ("nuc", NUCLEUS_RING)) for i, (x, y) in enumerate(ring))
@@ -38,8 +38,22 @@ def _grid(step: int) -> str:
   WHERE xi.k*{step} < trunc(x1)-trunc(x0)+{step} AND yi.k*{step} < trunc(y1)-trunc(y0)+{step}) p JOIN edge e ON e.shape=p.shape AND e.id=p.id GROUP BY p.shape, p.id, p.cell, p.x, p.y HAVING {_PARITY})"""
 
 
+#: The parts and the last SELECT of each statement, so that others can be put together of them.
+_MADE: dict[str, tuple[tuple[str, ...], str]] = {}
+
+
 def _with(*parts: str, then: str) -> str:
-    return f"WITH {', '.join(parts)} {then}"
+    out = f"WITH {', '.join(parts)} {then}"
+    _MADE[out] = (parts, then)
+    return out
+
+
+def _joined(names: list[str], on: str) -> tuple[list[str], str]:
+    """The parts of several statements, each once, and their results joined by their common columns."""
+    made = [_MADE[ORACLES[n]] for n in names]
+    parts = list(dict.fromkeys(p for own, _ in made for p in own))
+    tables = [f"{n} AS MATERIALIZED ({then})" for n, (_, then) in zip(names, made)]
+    return [*parts, *tables], names[0] + "".join(f" JOIN {n} USING ({on})" for n in names[1:])
 
 
 def r(value: str) -> str:
@@ -53,6 +67,11 @@ def _shape(select: str, source: str = "geo", shape: str = "cell") -> str:
 CELL = "cell AS cell_boundaries"
 GENE = "gene AS feature_name"
 
+ASPECT = [
+    "proj AS (SELECT e.shape, e.id, e.i, ((v.x-e.ax)*(e.bx-e.ax)+(v.y-e.ay)*(e.by_-e.ay))/sqrt((e.bx-e.ax)*(e.bx-e.ax)+(e.by_-e.ay)*(e.by_-e.ay)) AS u, ((v.y-e.ay)*(e.bx-e.ax)-(v.x-e.ax)*(e.by_-e.ay))/sqrt((e.bx-e.ax)*(e.bx-e.ax)+(e.by_-e.ay)*(e.by_-e.ay)) AS w FROM edge e JOIN vert v ON v.shape=e.shape AND v.id=e.id)",
+    "box AS (SELECT shape, id, i, max(u)-min(u) AS l, max(w)-min(w) AS h FROM proj GROUP BY shape, id, i)",
+]
+
 ORACLES: dict[str, str] = {
     "point_in_cell": _with(SHAPES, RAW, f"hit AS (SELECT p.pid, e.id FROM raw p JOIN bb ON p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 JOIN edge e ON e.shape=bb.shape AND e.id=bb.id WHERE bb.shape='cell' GROUP BY p.pid, e.id HAVING {_PARITY})", then=f"SELECT x, y, {GENE}, id AS cell_boundaries FROM raw LEFT JOIN hit USING (pid)"),
     "point_in_nucleus": _with(SHAPES, RAW, f"hit AS (SELECT p.pid, e.id FROM raw p JOIN bb ON p.x BETWEEN x0 AND x1 AND p.y BETWEEN y0 AND y1 JOIN edge e ON e.shape=bb.shape AND e.id=bb.id WHERE bb.shape='nuc' GROUP BY p.pid, e.id HAVING {_PARITY})", then=f"SELECT x, y, {GENE}, id AS nucleus_boundaries FROM raw LEFT JOIN hit USING (pid)"),
@@ -75,8 +94,7 @@ ORACLES: dict[str, str] = {
     "cell_second_moment": _with(SHAPES, _grid(1), then=f"SELECT ras.id AS shape_id, {r('avg((x-cx)*(x-cx)+(y-cy)*(y-cy))')} AS cell_boundaries_moment FROM ras JOIN geo ON geo.shape=ras.shape AND geo.id=ras.id WHERE ras.shape='cell' GROUP BY ras.id"),
     "cell_aspect_ratio": _with(
         SHAPES,
-        "proj AS (SELECT e.shape, e.id, e.i, ((v.x-e.ax)*(e.bx-e.ax)+(v.y-e.ay)*(e.by_-e.ay))/sqrt((e.bx-e.ax)*(e.bx-e.ax)+(e.by_-e.ay)*(e.by_-e.ay)) AS u, ((v.y-e.ay)*(e.bx-e.ax)-(v.x-e.ax)*(e.by_-e.ay))/sqrt((e.bx-e.ax)*(e.bx-e.ax)+(e.by_-e.ay)*(e.by_-e.ay)) AS w FROM edge e JOIN vert v ON v.shape=e.shape AND v.id=e.id)",
-        "box AS (SELECT shape, id, i, max(u)-min(u) AS l, max(w)-min(w) AS h FROM proj GROUP BY shape, id, i)",
+        *ASPECT,
         then=f"SELECT id AS shape_id, {r('min_by(greatest(l,h)/least(l,h), l*h)')} AS nucleus_boundaries_aspect_ratio FROM box WHERE shape='nuc' GROUP BY id",
     ),
 }
@@ -109,6 +127,22 @@ def _sided(table: str, name: str, value: str, empty: bool) -> str:
     return f"SELECT {_KEYS}, {select} FROM pts p JOIN {table} c ON c.pid=p.pid AND c.shape='cell' LEFT JOIN {table} n ON n.pid=p.pid AND n.shape='nuc' JOIN rad ON rad.shape='cell' AND rad.id=p.cell GROUP BY p.cell, p.gene"
 
 
+RIPLEY = [
+    "sp AS (SELECT a.id AS c, CAST(floor(max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))) AS INTEGER) AS span FROM vert a JOIN vert b ON a.shape=b.shape AND a.id=b.id WHERE a.shape='cell' GROUP BY a.id)",
+    "grp AS (SELECT cell, gene, count(*) AS n FROM pts GROUP BY cell, gene HAVING count(*) >= 2)",
+    "pair AS (SELECT a.cell, a.gene, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM pts a JOIN pts b ON a.cell=b.cell AND a.gene=b.gene AND a.pid<>b.pid)",
+    "radii AS (SELECT c, span, k, 1 + (span/2.0::DOUBLE-1)*k/(span//2-1) AS rr, false AS half FROM sp, (SELECT unnest(generate_series(0, 127)) AS k) WHERE k < span//2 UNION ALL SELECT c, span, -1, span/4.0::DOUBLE, true FROM sp)",
+    "kk AS (SELECT g.cell, g.gene, s.k, s.rr, s.half, g.n, count(p.d) AS m FROM grp g JOIN radii s ON s.c=g.cell LEFT JOIN pair p ON p.cell=g.cell AND p.gene=g.gene AND p.d < s.rr GROUP BY g.cell, g.gene, s.k, s.rr, s.half, g.n)",
+    "hh AS MATERIALIZED (SELECT kk.cell, gene, k, half, sqrt(area*m/(n*(n-1))/pi())-rr AS h FROM kk JOIN geo ON geo.shape='cell' AND geo.id=kk.cell)",
+    # Running means of five, their differences, and mean ranks.
+    "hs AS (SELECT cell, gene, k, h, count(*) OVER (PARTITION BY cell, gene) AS steps, avg(h) OVER (PARTITION BY cell, gene ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s, rank() OVER (PARTITION BY cell, gene ORDER BY h) + (count(*) OVER (PARTITION BY cell, gene, h)-1)/2.0::DOUBLE AS rk FROM hh WHERE NOT half)",
+    "gr AS (SELECT cell, gene, CASE WHEN k=0 THEN lead(s) OVER v-s WHEN k=steps-5 THEN s-lag(s) OVER v ELSE (lead(s) OVER v-lag(s) OVER v)/2 END AS g FROM hs WHERE k <= steps-5 WINDOW v AS (PARTITION BY cell, gene ORDER BY k))",
+    "ga AS (SELECT cell, gene, max(g) AS gmax, min(g) AS gmin FROM gr GROUP BY cell, gene)",
+    "ha AS (SELECT cell, gene, max(CASE WHEN NOT half THEN h END) AS l_max, max(CASE WHEN half THEN h END) AS l_half FROM hh GROUP BY cell, gene)",
+    "hm AS (SELECT cell, gene, corr(rk, CAST(k AS DOUBLE)) AS mono FROM hs GROUP BY cell, gene)",
+]
+_RIPLEY = f"""SELECT a.cell AS cell_boundaries, a.gene AS feature_name, {r('l_max')} AS l_max, CASE WHEN l_max IS NOT NULL THEN {r('coalesce(gmax, 0)')} END AS l_max_gradient, CASE WHEN l_max IS NOT NULL THEN {r('coalesce(gmin, 0)')} END AS l_min_gradient,
+  {r('mono')} AS l_monotony, {r('l_half')} AS l_half_radius FROM (SELECT DISTINCT cell, gene FROM pts) a LEFT JOIN ha ON ha.cell=a.cell AND ha.gene=a.gene LEFT JOIN ga ON ga.cell=a.cell AND ga.gene=a.gene LEFT JOIN hm ON hm.cell=a.cell AND hm.gene=a.gene"""
 _LOCAL = "loc AS (SELECT p.*, p.x-b.x0 AS lx, p.y-b.y0 AS ly FROM pts p JOIN bb b ON b.shape='cell' AND b.id=p.cell)"
 _RASTER_ABOUT = "(SELECT id, avg(x-x0) AS mx, avg(y-y0) AS my, avg((x-x0)*(x-x0)+(y-y0)*(y-y0)) AS ms FROM (SELECT ras.id, ras.x, ras.y, bb.x0, bb.y0 FROM ras JOIN bb ON bb.shape='cell' AND bb.id=ras.id WHERE ras.shape='cell') GROUP BY id)"
 ORACLES |= {
@@ -121,18 +155,27 @@ ORACLES |= {
     "pf_point_dispersion_norm": _with(SHAPES, POINTS, _LOCAL, _grid(1), then=f"SELECT {_KEYS}, {r('(var_pop(lx)+var_pop(ly))/(any_value(ms)-2*(avg(lx)*any_value(mx)+avg(ly)*any_value(my))+avg(lx)*avg(lx)+avg(ly)*avg(ly))')} AS point_dispersion_norm FROM loc p JOIN {_RASTER_ABOUT} m ON m.id=p.cell GROUP BY p.cell, p.gene"),
     "pf_shape_dispersion_norm": _with(SHAPES, POINTS, _grid(1), "den AS (SELECT g.cell AS c, g.shape, avg((ras.x-g.cx)*(ras.x-g.cx)+(ras.y-g.cy)*(ras.y-g.cy)) AS v FROM geo g JOIN ras ON ras.shape='cell' AND ras.id=g.cell GROUP BY g.cell, g.shape)", then=f"SELECT {_KEYS}, {r('avg((p.x-c.cx)*(p.x-c.cx)+(p.y-c.cy)*(p.y-c.cy))/any_value(dc.v)')} AS cell_boundaries_dispersion_norm, {r('avg((p.x-n.cx)*(p.x-n.cx)+(p.y-n.cy)*(p.y-n.cy))/any_value(dn.v)')} AS nucleus_boundaries_dispersion_norm FROM pts p JOIN geo c ON c.shape='cell' AND c.id=p.cell JOIN den dc ON dc.c=p.cell AND dc.shape='cell' LEFT JOIN geo n ON n.shape='nuc' AND n.cell=p.cell LEFT JOIN den dn ON dn.c=p.cell AND dn.shape='nuc' GROUP BY p.cell, p.gene"),
     "pf_enrichment": _with(SHAPES, POINTS, then=f"SELECT {_KEYS}, 1.0::DOUBLE AS cell_boundaries_enrichment, {r('avg(CASE WHEN nuc IS NULL THEN 0.0 ELSE 1.0 END)')} AS nucleus_boundaries_enrichment FROM pts p GROUP BY p.cell, p.gene"),
-    "pf_ripley": _with(
-        SHAPES, POINTS,
-        "sp AS (SELECT a.id AS c, CAST(floor(max(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)))) AS INTEGER) AS span FROM vert a JOIN vert b ON a.shape=b.shape AND a.id=b.id WHERE a.shape='cell' GROUP BY a.id)",
-        "grp AS (SELECT cell, gene, count(*) AS n FROM pts GROUP BY cell, gene HAVING count(*) >= 2)",
-        "pair AS (SELECT a.cell, a.gene, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM pts a JOIN pts b ON a.cell=b.cell AND a.gene=b.gene AND a.pid<>b.pid)",
-        "radii AS (SELECT c, span, k, 1 + (span/2.0::DOUBLE-1)*k/(span//2-1) AS rr, false AS half FROM sp, (SELECT unnest(generate_series(0, 127)) AS k) WHERE k < span//2 UNION ALL SELECT c, span, -1, span/4.0::DOUBLE, true FROM sp)",
-        "kk AS (SELECT g.cell, g.gene, s.rr, s.half, g.n, count(p.d) AS m FROM grp g JOIN radii s ON s.c=g.cell LEFT JOIN pair p ON p.cell=g.cell AND p.gene=g.gene AND p.d < s.rr GROUP BY g.cell, g.gene, s.rr, s.half, g.n)",
-        "hh AS (SELECT kk.cell, gene, half, sqrt(area*m/(n*(n-1))/pi())-rr AS h FROM kk JOIN geo ON geo.shape='cell' AND geo.id=kk.cell)",
-        then=f"SELECT a.cell AS cell_boundaries, a.gene AS feature_name, {r('max(CASE WHEN NOT half THEN h END)')} AS l_max, {r('max(CASE WHEN half THEN h END)')} AS l_half_radius FROM (SELECT DISTINCT cell, gene FROM pts) a LEFT JOIN hh ON hh.cell=a.cell AND hh.gene=a.gene GROUP BY a.cell, a.gene",
-    ),
+    "pf_ripley": _with(SHAPES, POINTS, *RIPLEY, then=_RIPLEY),
 }
 
+_FEATURE_QUERIES = [f"pf_{n}" for n in ("proximity", "asymmetry", "point_dispersion_norm", "shape_dispersion_norm", "distance", "offset", "point_dispersion", "shape_dispersion", "ripley", "enrichment")]
+_ALL, _FROM = _joined(_FEATURE_QUERIES, "cell_boundaries, feature_name")
+ORACLES["pf_all"] = _with(*_ALL, then=f"SELECT * FROM {_FROM}")
+
+# The rule model on its features; a row without all 13 features has no pattern.
+_USED = ["pf_proximity", "pf_asymmetry", "pf_ripley", "pf_point_dispersion_norm", "pf_shape_dispersion_norm"]
+_ALL, _FROM = _joined(_USED, "cell_boundaries, feature_name")
+_CLIP = "least(1.0, greatest(0.0, coalesce({}, 0.0)))"
+_RULES = {
+    "cell_edge": _CLIP.format("cell_boundaries_inner_proximity"),
+    "cytoplasmic": f"{_CLIP.format('1-nucleus_boundaries_inner_proximity')}*{_CLIP.format('nucleus_boundaries_outer_proximity')}",
+    "none": _CLIP.format("point_dispersion_norm"),
+    "nuclear": _CLIP.format("nucleus_boundaries_inner_proximity"),
+    "nuclear_edge": f"{_CLIP.format('nucleus_boundaries_inner_proximity')}*{_CLIP.format('nucleus_boundaries_outer_proximity')}",
+}
+_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in feature_columns("cell_boundaries", "nucleus_boundaries"))
+ORACLES["lp_predict"] = _with(*_ALL, then=f"SELECT cell_boundaries, feature_name, {', '.join(f'CAST({_COMPLETE} AND {_RULES[p]} >= {t} AS INTEGER) AS {p}' for p, t in zip(PATTERNS, THRESHOLDS))} FROM {_FROM}")
+
 # Neighbourhoods.
 _PAIRS = "pr AS (SELECT a.cell, a.pid, a.gene AS src, b.gene AS nb, a.nuc AS anuc FROM pts a JOIN pts b ON a.cell=b.cell AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 25)"
 ORACLES |= {
@@ -213,3 +256,22 @@ ORACLES |= {
     "shape_stats_melt": _with(SHAPES, then=f"SELECT id AS shape_id, 'cell_boundaries_area' AS variable, {r('area')} AS value FROM geo WHERE shape='cell' UNION ALL SELECT id, 'cell_boundaries_perimeter', {r('perimeter')} FROM geo WHERE shape='cell'"),
     "nearest_image": _with(SHAPES, POINTS, "s AS (SELECT x, y, gene, CAST(floor(x/8) AS BIGINT)+a.d AS ix, CAST(floor(y/8) AS BIGINT)+b.d AS iy FROM pts, (SELECT unnest([-1,0,1]) AS d) a, (SELECT unnest([-1,0,1]) AS d) b)", then="SELECT ix, iy, min(gene) AS gene FROM (SELECT ix, iy, gene, rank() OVER (PARTITION BY ix, iy ORDER BY (x-(ix+0.5)*8)*(x-(ix+0.5)*8)+(y-(iy+0.5)*8)*(y-(iy+0.5)*8), x, y) AS k FROM s) WHERE k=1 GROUP BY ix, iy"),
 }
+
+# Writes, accessors and what a whole dataset is taken through.
+ORACLES |= {
+    "shape_stats": _with(
+        SHAPES, POINTS, *ASPECT,
+        "ar AS (SELECT shape, id, min_by(greatest(l,h)/least(l,h), l*h) AS ratio FROM box GROUP BY shape, id)",
+        "dn AS (SELECT 'cell' AS shape, cell AS id, CAST(count(*) AS DOUBLE) AS n FROM pts GROUP BY cell UNION ALL SELECT 'nuc', nuc, CAST(count(*) AS DOUBLE) FROM pts WHERE nuc IS NOT NULL GROUP BY nuc)",
+        then=f"SELECT CASE WHEN g.shape='cell' THEN 'cell_boundaries' ELSE 'nucleus_boundaries' END AS shape, g.id AS shape_id, {r('area')} AS area, {r('ratio')} AS aspect_ratio, {r('coalesce(n, 0)/area')} AS density FROM geo g JOIN ar ON ar.shape=g.shape AND ar.id=g.id LEFT JOIN dn ON dn.shape=g.shape AND dn.id=g.id",
+    ),
+    "points_metadata": _with(SHAPES, POINTS, then=f"SELECT {GENE}, count(*) AS n, count(CASE WHEN nuc IS NOT NULL THEN 1 END) AS marked, {r('coalesce(sum(CASE WHEN nuc IS NOT NULL THEN x END), 0)')} AS total FROM pts GROUP BY gene"),
+    "shape_metadata": _with(SHAPES, then=f"SELECT c.id AS shape_id, {r('n.area')} AS nucleus_area FROM geo c LEFT JOIN geo n ON n.shape='nuc' AND n.cell=c.id WHERE c.shape='cell'"),
+    "sync_shapes": _with(SHAPES, then="SELECT n.id AS shape_id, n.cell AS cell_boundaries FROM bb n JOIN sup ON sup.cell=n.cell WHERE n.shape='nuc' AND phenotype='A'"),
+    "outside_mask": _with(SHAPES, then="SELECT 0 AS part, 1 AS n, 1 AS rings, min(x0)-5 AS minx, max(x1)+5 AS maxx, min(y0)-5 AS miny, max(y1)+5 AS maxy FROM bb WHERE shape='cell' UNION ALL SELECT 1, count(*), count(*), min(x0), max(x1), min(y0), max(y1) FROM bb WHERE shape='cell'"),
+    "default_radius": _with(SHAPES, then=f"SELECT {r('avg(radius)/3')} AS third, {r('avg(radius)*0.5')} AS half, 7.0::DOUBLE AS given FROM rad WHERE shape='cell'"),
+    "annotate_points": _with(SHAPES, POINTS, PROB, LP, f"tp AS ({_MADE[ORACLES['lp_top_pattern']][1]})", then="SELECT pattern, nuc IS NOT NULL AS nuclear, count(*) AS n FROM pts JOIN tp ON tp.cell_boundaries=pts.cell AND tp.feature_name=pts.gene GROUP BY 1, 2"),
+    "dataset_round_trip": ORACLES["cell_gene_counts"],
+    "flux_knn": _with(SHAPES, POINTS, _grid(8), "rk AS (SELECT s.cell, s.x, s.y, p.gene, row_number() OVER (PARTITION BY s.cell, s.x, s.y ORDER BY (p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y), p.x, p.y, p.gene) AS k FROM ras s JOIN pts p ON p.cell=s.cell WHERE s.shape='cell')", then=f"SELECT {CELL}, x, y, {GENE}, count(*) AS n FROM rk WHERE k <= 5 GROUP BY cell, x, y, gene"),
+    "flux_gram": _with(SHAPES, POINTS, FLUX, then=f"SELECT a.gene AS feature_name, b.gene AS other, {r('sum(a.flux*b.flux)')} AS v FROM fx a JOIN fx b ON a.cell=b.cell AND a.x=b.x AND a.y=b.y GROUP BY a.gene, b.gene"),
+}

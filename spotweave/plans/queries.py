@@ -11,6 +11,8 @@ from ..operators import coloc, composition, flux, neighbors, overlay, patterns,
 from ..dataset import SpatialDataset
 from ..functions import geom
 from ..sources import fixture as fx
+from ..sources import io
+from ..sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,13 +148,15 @@ def _feature_query(name: str, feature: str, columns: list[str] | None = None) ->
 for _name in ("proximity", "asymmetry", "distance", "offset", "point_dispersion", "point_dispersion_norm", "shape_dispersion", "shape_dispersion_norm"):
     _feature_query(f"pf_{_name}", _name)
 _feature_query("pf_enrichment", "shape_enrichment")
-_feature_query("pf_ripley", "ripley", ["l_max", "l_half_radius"])
+_feature_query("pf_ripley", "ripley")
 
 
 @query
 def pf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ds = point_features.analyze_points(fx.load(spark, sf_dir), [fx.CELL, fx.NUCLEUS], list(point_features.all_features()), fx.GENE)
-    return ds.tables[f"{fx.CELL}_{fx.GENE}_features"]
+    table = ds.tables[f"{fx.CELL}_{fx.GENE}_features"]
+    keys = [fx.CELL, fx.GENE]
+    return table.select(*keys, *(r(c).alias(c) for c in table.columns if c not in keys))
 
 
 RADIUS = 5.0
@@ -264,7 +268,8 @@ def lp_diff_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lp_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.lp(fx.load(spark, sf_dir), patterns.rule_model(fx.CELL, fx.NUCLEUS), fx.NUCLEUS).tables["lp"]
+    found = patterns.lp(fx.load(spark, sf_dir), patterns.rule_model(fx.CELL, fx.NUCLEUS), fx.NUCLEUS).tables["lp"]
+    return found.select(fx.CELL, fx.GENE, *(F.col(p).cast("int").alias(p) for p in patterns.PATTERNS))
 
 
 @query
@@ -398,6 +403,94 @@ def nearest_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plotdata.nearest_image(points, "gene", 8)
 
 
+@query
+def shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = shape_features.shape_stats(fx.load(spark, sf_dir))
+    parts = [ds.shapes[k].select(F.lit(k).alias("shape"), "shape_id", *(r(f"{k}_{c}").alias(c) for c in ("area", "aspect_ratio")), r(F.coalesce(f"{k}_density", F.lit(0.0))).alias("density")) for k in (fx.CELL, fx.NUCLEUS)]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def points_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns attached to points by their id, and read again."""
+    ds = fx.load(spark, sf_dir)
+    values = ds.points[fx.POINTS].filter(F.col(fx.NUCLEUS).isNotNull()).select("point_id", F.lit(1).alias("mark"), F.col("x").alias("value"))
+    ds = prep.set_points_metadata(ds, fx.POINTS, values)
+    found = prep.get_points_metadata(ds, fx.POINTS, [fx.GENE, "mark", "value"])
+    return found.groupBy(fx.GENE).agg(F.count("*").alias("n"), F.count("mark").alias("marked"), r(F.coalesce(F.sum("value"), F.lit(0.0))).alias("total"))
+
+
+@query
+def shape_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of nuclei attached to their cells, and read again."""
+    ds = shape_features.analyze_shapes(fx.load(spark, sf_dir), fx.NUCLEUS, "area")
+    values = ds.shapes[fx.NUCLEUS].select(F.col(fx.CELL).alias("shape_id"), r(f"{fx.NUCLEUS}_area").alias("nucleus_area")).filter("shape_id is not null")
+    return prep.get_shape_metadata(prep.set_shape_metadata(ds, fx.CELL, values), fx.CELL, "nucleus_area")
+
+
+@query
+def sync_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nuclei of the cells of one phenotype."""
+    ds = fx.load(spark, sf_dir)
+    ds = prep.sync_shapes(ds.with_shapes(fx.CELL, ds.shapes[fx.CELL].filter("phenotype = 'A'")), fx.NUCLEUS)
+    return ds.shapes[fx.NUCLEUS].select("shape_id", fx.CELL)
+
+
+@query
+def outside_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = geom.bounds(F.col("rings"))
+    mask = overlay.outside_mask(fx.load(spark, sf_dir).shapes[fx.CELL], 5.0)
+    ends = [f(b[k]).alias(k) for k, f in (("minx", F.min), ("maxx", F.max), ("miny", F.min), ("maxy", F.max))]
+    return mask.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.size("rings")).cast("long").alias("rings"), *ends)
+
+
+@query
+def default_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = fx.load(spark, sf_dir)
+    found = [round(flux.resolve_radius(ds, x), 6) for x in (None, 0.5, 7.0)]
+    return spark.createDataFrame([found], "third double, half double, given double")
+
+
+@query
+def annotate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = patterns.lp_stats(*stand_in(spark, sf_dir), [fx.CELL, fx.GENE], fx.GENE)[1]
+    points = patterns.annotate_points(_points(spark, sf_dir), top, [fx.CELL, fx.GENE])
+    return points.groupBy("pattern", F.col(fx.NUCLEUS).isNotNull().alias("nuclear")).agg(F.count("*").alias("n"))
+
+
+@query
+def dataset_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset written to the shared folder and read again."""
+    path = new_path(spark, "dataset")
+    io.write_dataset(fx.load(spark, sf_dir), path, buckets=8)
+    ds = io.read_dataset(spark, path)
+    return prep.count_table(ds.points[fx.POINTS], ds.attrs["instance_key"], ds.attrs["feature_key"])
+
+
+def _thin_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = shape_features.raster(fx.load(spark, sf_dir).shapes[fx.CELL], 8.0)
+    return pixels.withColumnRenamed("shape_id", fx.CELL).withColumn("pixel_id", F.xxhash64(fx.CELL, "x", "y"))
+
+
+@query
+def flux_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest points around each pixel of a raster of step 8, by feature."""
+    near = flux.pixel_counts(_points(spark, sf_dir), _thin_pixels(spark, sf_dir), fx.CELL, fx.GENE, None, 5)
+    return near.select(fx.CELL, "x", "y", F.explode("counts").alias(fx.GENE, "n"))
+
+
+@query
+def flux_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the truncated SVD is taken of: the features' products summed over pixels."""
+    long = _thin(spark, sf_dir)
+    names = [x[0] for x in long.select(fx.GENE).distinct().orderBy(fx.GENE).collect()]
+    wide = long.groupBy("pixel_id").agg(F.map_from_entries(F.collect_list(F.struct(fx.GENE, "flux"))).alias("m"))
+    vectors = wide.select(F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.element_at("m", n), F.lit(0.0))).alias("v"))
+    found, _, _ = flux.gram(vectors, "v")
+    rows = [(a, b, round(float(found[i, j]), 6) + 0.0) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return spark.createDataFrame(rows, f"{fx.GENE} string, other string, v double")
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to cells, then counts, centroid and dispersion by cell and gene."""
     points = _points(spark, sf_dir)

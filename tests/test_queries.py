@@ -15,6 +15,7 @@ FAST = [
     "point_in_cell", "point_in_nucleus", "sync_points", "cell_gene_counts", "dense_counts", "filter_by_gene", "shape_map_1to1", "shape_map_1tomany", "cell_area", "cell_bounds", "cell_span", "cell_radius", "cell_density",
     "cell_aspect_ratio", "cell_second_moment", "overlay_union", "pf_proximity", "pf_offset", "pf_point_dispersion_norm", "pf_ripley", "neighbors_radius_counts", "neighbors_gene", "clq_log_ci", "comp", "comp_diff",
     "lp_stats", "lp_top_pattern", "lp_logfc", "lp_diff_continuous", "flux_scaled", "fe_stats", "radviz_xy", "factor_topn", "kde2d",
+    "shape_stats", "points_metadata", "shape_metadata", "sync_shapes", "outside_mask", "default_radius", "annotate_points", "dataset_round_trip", "flux_knn", "flux_gram",
 ]
 
 
