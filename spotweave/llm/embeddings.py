@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .families import components, family_links, groups, in_blocks, join_hot, list_column, roots, settle
-from .scratch import materialize
+from .scratch import materialize, release
 
 THRESHOLD = 0.93
 #: A cap holds about so many vectors of the largest label, but at least MIN_SHARED of a cap's vectors have a given neighbour at the threshold in it.
@@ -23,7 +23,7 @@ MISS = 16.0
 #: Pairs on which a code's misses are measured.
 TRIALS = 1000
 SEED = 8
-BLOCK = 1024
+BLOCK = 512
 #: Rounding to 8 bits and single precision find candidates only; this much is added to the rounding's own bound.
 SLACK = 1e-4
 
@@ -230,11 +230,13 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD, block: int = BLOC
     families = components(edges)
     members = families.join(classes.select("node", "weight", "embedding"), "node")
     links = settle(family_links(members, "component", "weight", block, _kernel(threshold)))
+    release(dealt)
     found = classes.select("group", "key_a", "key_b", "weight", "least", "node").join(links, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     smallest = found.groupBy("component").agg(F.min("least").alias("component_id"))
     n_links = (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     found = materialize(found.join(smallest, "component").select("group", "key_a", "key_b", "weight", n_links, "component_id"), "found")
+    release(classes)
     linked = join_hot(own.select("vec_id", "group", "key_a", "key_b"), found, ["group", "key_a", "key_b"], "weight", rows.count()).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .families import components, family_links, groups, in_blocks, join_hot, list_column, roots, settle
 from .idfilter import mark
-from .scratch import materialize
+from .scratch import materialize, release
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -22,7 +22,7 @@ VALUES, BAND = 160, 5
 STEP = 32
 #: A candidate goes when its posterior probability of reaching the threshold is below this.
 TOLERANCE = 1e-6
-BUCKET_BLOCK, FAMILY_BLOCK = 1024, 512
+BUCKET_BLOCK, FAMILY_BLOCK = 512, 512
 
 _RNG = np.random.Generator(np.random.PCG64(20000101))
 MULTIPLY = _RNG.integers(0, 1 << 31, VALUES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -232,18 +232,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     edges = in_blocks(meeting, "bucket", "size", bucket_block).mapInArrow(_pruner(threshold, tolerance), "a bigint, b bigint")
     families = components(edges)
     members = materialize(families.join(classes.select("node", "row", "weight", "set_a", "set_b", "signature"), "node"), "members")
+    release(banded)
     # Only texts of members, and few others, go into the shuffle; of repeated rows one.
     near = mark(rows.select("row", "text"), "row", members, "row", members.count(), "__near").filter("__near").drop("__near")
     texts = members.join(near.groupBy("row").agg(F.first("text").alias("text")), "row")
     own = F.struct("node", "component", "weight", "set_a", "set_b", "signature").alias("own")
     with_sets = tk.small_batches(texts).select(own, "text").mapInArrow(_own_sets, "node bigint, component bigint, weight bigint, signature binary, shingles array<bigint>")
     with_sets = materialize(with_sets, "sets")
+    release(members)
     links = settle(family_links(with_sets, "component", "weight", family_block, _kernel(threshold, tolerance)))
     found = classes.select("node", "set_a", "set_b", "weight", "least").join(links, "node", "left")
     group = F.coalesce("component", "node")
     found = found.select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), group.alias("__group"), "least")
     smallest = found.groupBy("__group").agg(F.min("least").alias("class_id"))
     found = materialize(found.join(smallest, "__group").drop("__group", "least"), "found")
+    release(with_sets, classes)
     own = join_hot(features.select("doc_id", "set_a", "set_b", "n_shingles"), found, ["set_a", "set_b"], "weight", total, "left")
     blank = F.col("n_shingles") == 0
     class_id = F.when(blank, F.col("doc_id")).otherwise(F.col("class_id"))

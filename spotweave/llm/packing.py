@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,25 @@ BETWEEN_BYTES = BETWEEN.encode()
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+@dataclass
+class BpeFile:
+    """What a byte-level BPE file of the tokenizers library holds: ids of byte strings, and of special tokens."""
+
+    ranks: dict[bytes, int]
+    special: dict[str, int]
+
+
+def load(path: str) -> BpeFile:
+    """Read on the driver; tasks get what it holds."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    visible = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in visible}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return BpeFile({bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}, special)
+
+
 class ByteBpe(ChunkCache):
     """Ids of a byte-level BPE file of the tokenizers library, each distinct chunk of text encoded once.
 
@@ -36,18 +56,12 @@ class ByteBpe(ChunkCache):
     over the file's own vocabulary, with the file's special tokens; they equal the library's.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, file: BpeFile) -> None:
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        visible = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte_of = {chr(b): b for b in visible}
-        byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(visible))}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in self.special}
-        self.between = max(max(ranks.values()), *self.special.values(), 0) + 1
-        self.codec = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special | {BETWEEN: self.between})
+        self.special = file.special
+        self.between = max(max(file.ranks.values()), *file.special.values(), 0) + 1
+        self.codec = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=file.ranks, special_tokens=file.special | {BETWEEN: self.between})
         super().__init__()
 
     def encode_chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +105,9 @@ def _piece_schema(with_ids: bool) -> str:
     return "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
 
-def _cutter(path: str, capacity: int, with_ids: bool):
+def _cutter(file: BpeFile, capacity: int, with_ids: bool):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ByteBpe(path)
+        codec = ByteBpe(file)
         for batch in batches:
             for first, last, data, offsets in tk.slices(batch.column(1)):
                 ids, at = codec.encode(data, offsets)
@@ -209,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = tk.small_batches(narrow).mapInArrow(_cutter(tokenizer_path, capacity, with_ids), _piece_schema(with_ids))
+    pieces = tk.small_batches(narrow).mapInArrow(_cutter(load(tokenizer_path), capacity, with_ids), _piece_schema(with_ids))
     pieces = materialize(pieces.withColumn("__rid", F.monotonically_increasing_id()), "pieces")
     own = F.col("length") == capacity
     counts = {r["length"]: r["count"] for r in pieces.filter(~own).groupBy("length").count().collect()}
@@ -241,6 +255,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack over all documents."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_file(TOKENIZER))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernel as tk
-from .scratch import materialize
+from .scratch import materialize, release
 
 ORDER = 5
 #: A symbol is a code point: 0 stands before a text, a run of white space is one space, the character U+0000 is NUL.
@@ -289,6 +289,7 @@ def measure(docs: DataFrame, shard_rows: int = SHARD_ROWS, sound_only: bool = Fa
     others = [c for c in docs.columns if c != "text"]
     grams = materialize(count_grams(docs, sound_only), "grams")
     model = materialize(kneser_ney(grams), "model")
+    release(grams)
     n_ranges = max(1, -(-model.count() // shard_rows))
     rows = docs.select(F.struct(*others).alias("__row"), F.col("lang").alias("__lang"), "text")
     if n_ranges == 1:

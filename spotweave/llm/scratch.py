@@ -23,8 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a lost executor recomputes nothing before this point.
 
-    Values that depend on how tasks were cut (monotonically_increasing_id) are fixed by it. The tables go when
-    the driver ends.
+    Values that depend on how tasks were cut (monotonically_increasing_id) are fixed by it. The table goes with release(), or
+    when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -32,15 +32,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no plan reads any more."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        for entry in [e for e in _written if e[1] == path]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _clean() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has ended before
             return

@@ -92,6 +92,7 @@ def uniform_shuffle(df: DataFrame, n_shards: int, seed: int = 2024) -> DataFrame
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uniform_shuffle of all documents into 40 shards, by the law of rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     narrow = docs.select("doc_id", (F.length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))

@@ -187,7 +187,7 @@ def test_byte_bpe_equals_the_library():
 
     path = packing.tokenizer_file(packing.TOKENIZER)
     texts = [*TEXTS, "<|endoftext|> a <|endoftext|>b", "don't I'll\n\n  x ", " a", "a ", "a \n b", "x  y", "q\x1c r", "a　 b", packing.BETWEEN + " x"]
-    codec = packing.ByteBpe(path)
+    codec = packing.ByteBpe(packing.load(path))
     tokenizer = Tokenizer.from_file(path)
     for _ in range(2):  # unknown chunks, then known ones
         ids, at = codec.encode(*whole(texts))
