@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import SpatialDataset
+from ..sources.scratch import materialize
 from .spatial_join import radius_pairs
 
 
@@ -83,10 +84,10 @@ def _mttkrp(coords: np.ndarray, values: np.ndarray, factors: list[np.ndarray], m
     return out
 
 
-def parafac(coords: np.ndarray, values: np.ndarray, shape: tuple[int, int, int], rank: int, seed: int, iterations: int = 200, tolerance: float = 1e-7) -> tuple[list[np.ndarray], float]:
+def parafac(coords: np.ndarray, values: np.ndarray, shape: tuple[int, int, int], rank: int, seed: int, iterations: int = 200, tolerance: float = 1e-7, start: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], float]:
     """Non-negative factors of a sparse 3-way tensor by multiplicative updates, and the mean absolute error over entries that are not 0."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    factors = [rng.random((n, rank)) + 0.1 for n in shape]
+    factors = start or [rng.random((n, rank)) + 0.1 for n in shape]
     scale = (np.abs(values).sum() / max(1e-12, np.prod([f.sum(axis=0) for f in factors], axis=0).sum())) ** (1 / 3) if len(values) else 0.0
     factors = [f * scale for f in factors]
     positive = np.maximum(values, 0)
@@ -110,17 +111,87 @@ def _fit_error(coords: np.ndarray, values: np.ndarray, factors: list[np.ndarray]
     return float(np.abs(values - model).mean())
 
 
+MODES = ("compartment", "instance", "pair")
+
+
+def _products(factor: DataFrame, rank: int) -> np.ndarray:
+    """F'F of a factor table: rank x rank numbers."""
+    both = [(a, b) for a in range(rank) for b in range(a, rank)]
+    row = factor.agg(*(F.sum(F.col("f")[a] * F.col("f")[b]).alias(f"p{a}_{b}") for a, b in both)).first()
+    out = np.zeros((rank, rank))
+    for (a, b), v in zip(both, row):
+        out[a, b] = out[b, a] = v or 0.0
+    return out
+
+
+def parafac_joins(entries: DataFrame, rank: int, seed: int, iterations: int = 200, tolerance: float = 1e-7, start: list[DataFrame] | None = None) -> tuple[list[DataFrame], float]:
+    """parafac for entries (compartment, instance, pair, value) of any number; factors are tables (label, f array<double>).
+
+    Each update joins the entries with the other two factors and sums by label; the driver sees rank x rank numbers. A
+    factor is written after each update, so no plan grows with the iterations.
+    """
+
+    def begun(mode: str) -> DataFrame:
+        chance = [F.pmod(F.xxhash64("label", F.lit(mode), F.lit(k), F.lit(seed)), F.lit(1 << 20)) / (1 << 20) + 0.1 for k in range(rank)]
+        return entries.select(F.col(mode).alias("label")).distinct().select("label", F.array(*chance).alias("f"))
+
+    def joined(modes: Sequence[str], factors: dict[str, DataFrame]) -> DataFrame:
+        out = entries
+        for m in modes:
+            out = out.join(factors[m].select(F.col("label").alias(m), F.col("f").alias(f"f_{m}")), m)
+        return out
+
+    def error(factors: dict[str, DataFrame]) -> float:
+        model = sum((F.col("f_compartment")[k] * F.col("f_instance")[k] * F.col("f_pair")[k] for k in range(rank)), F.lit(0.0))
+        return joined(MODES, factors).agg(F.avg(F.abs(F.col("value") - model))).first()[0] or 0.0
+
+    factors = dict(zip(MODES, [materialize(f, "factor") for f in (start or map(begun, MODES))]))
+    sums = [factors[m].agg(*(F.sum(F.col("f")[k]) for k in range(rank))).first() for m in MODES]
+    total = entries.agg(F.sum(F.abs("value"))).first()[0] or 0.0
+    scale = (total / max(1e-12, float(np.prod([[v or 0.0 for v in row] for row in sums], axis=0).sum()))) ** (1 / 3)
+    factors = {m: f.select("label", F.transform("f", lambda x: x * scale).alias("f")) for m, f in factors.items()}
+    before, now = np.inf, 0.0
+    for _ in range(iterations):
+        for mode in MODES:
+            a, b = (m for m in MODES if m != mode)
+            weights = _products(factors[a], rank) * _products(factors[b], rank)
+            positive = F.greatest("value", F.lit(0.0))
+            terms = [F.sum(positive * F.col(f"f_{a}")[k] * F.col(f"f_{b}")[k]) for k in range(rank)]
+            above = joined((a, b), factors).groupBy(F.col(mode).alias("label")).agg(F.array(*terms).alias("above"))
+            below = [sum((F.col("f")[j] * float(weights[j, k]) for j in range(rank)), F.lit(0.0)) for k in range(rank)]
+            new = [F.col("f")[k] * F.col("above")[k] / F.greatest(below[k], F.lit(1e-12)) for k in range(rank)]
+            factors[mode] = materialize(factors[mode].join(above, "label").select("label", F.array(*new).alias("f")), "factor")
+        now = error(factors)
+        if abs(before - now) < tolerance:
+            break
+        before = now
+    return [factors[m] for m in MODES], now
+
+
+def _decompose_joins(tensor: DataFrame, instance: str, feature: str, ranks: Iterable[int], iterations: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    entries = tensor.select("compartment", F.col(instance).alias("instance"), F.concat_ws("|", feature, "neighbor").alias("pair"), "value")
+    entries = materialize(entries, "tensor")
+    out, errors = None, []
+    for rank in ranks:
+        best, error = min((parafac_joins(entries, rank, seed + i) for i in range(iterations)), key=lambda f: f[1])
+        errors.append((int(rank), error))
+        for mode, factor in zip(MODES, best):
+            part = factor.select(F.lit(int(rank)).alias("rank"), F.lit(mode).alias("mode"), F.col("label").cast("string").alias("label"), F.posexplode("f").alias("component", "loading"))
+            out = part if out is None else out.unionByName(part)
+    return out, tensor.sparkSession.createDataFrame(errors, "rank int, rmse double")
+
+
 def decompose(tensor: DataFrame, instance: str, feature: str, ranks: Iterable[int], iterations: int = 3, seed: int = 11, max_entries: int = 20_000_000) -> tuple[DataFrame, DataFrame]:
     """Factors (rank, mode, label, component, loading) and errors (rank, rmse) of the colocation tensor.
 
-    For each rank the best of `iterations` starts, each with its own seed. The driver holds the tensor's entries that are not 0
-    (20 bytes each); beyond max_entries that is an error, and instances are to be sampled. rmse is, as users of this measure know it, the
-    mean absolute error over these entries.
+    For each rank the best of `iterations` starts, each with its own seed. Up to max_entries entries that are not 0 (20 bytes
+    each) are factored on the driver, larger tensors by joins and aggregates (parafac_joins): the same updates. rmse is, as
+    users of this measure know it, the mean absolute error over these entries.
     """
     spark = tensor.sparkSession
     n = tensor.count()
     if n > max_entries:
-        raise ValueError(f"{n} entries; at most {max_entries} are factored on the driver")
+        return _decompose_joins(tensor, instance, feature, ranks, iterations, seed)
     labels = tensor_labels(tensor, instance, feature)
     at = [{v: i for i, v in enumerate(labels[m])} for m in ("compartment", "instance", "pair")]
     rows = tensor.select("compartment", instance, feature, "neighbor", "value").collect()

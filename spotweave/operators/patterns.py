@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dataset import SpatialDataset
+from ..sources.scratch import materialize
 from .point_features import analyze_points
 
 #: Names and calibrated thresholds of the patterns, fixed values.
@@ -177,10 +178,14 @@ def lp_diff_discrete(found: DataFrame, phenotypes: DataFrame, instance: str, fea
     effects = tested.groupBy(feature).applyInPandas(run, schema)
     n = found.select(feature).distinct().count()
     out = effects.withColumn("padj", F.col("pvalue") * n)
-    everywhere = Window.partitionBy("phenotype")
-    for name in ("pvalue", "padj"):
-        minus = F.when(F.col(name) > 0, -F.log10(name))
-        out = out.withColumn(f"-log10{'p' if name == 'pvalue' else name}", F.coalesce(minus, F.when(F.col(name).isNotNull(), F.max(minus).over(everywhere))))
+    # One row a phenotype, of which the driver has listed all.
+    minus = {name: F.when(F.col(name) > 0, -F.log10(name)) for name in ("pvalue", "padj")}
+    out = materialize(out, "effects")
+    most = out.groupBy("phenotype").agg(*(F.max(m).alias(f"__{name}") for name, m in minus.items()))
+    out = out.join(F.broadcast(most), "phenotype")
+    for name, m in minus.items():
+        out = out.withColumn(f"-log10{'p' if name == 'pvalue' else name}", F.coalesce(m, F.when(F.col(name).isNotNull(), F.col(f"__{name}"))))
+    out = out.drop("__pvalue", "__padj")
     return out.join(lp_logfc(found, phenotypes, instance, feature), [feature, "pattern", "phenotype"], "left").orderBy("pvalue")
 
 

@@ -103,12 +103,21 @@ def dimension_order(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return out
 
 
-def upset_counts(found: DataFrame, min_share: float = 0.0) -> DataFrame:
-    """(five indicators, degree, n): how often each combination of patterns occurs, at least min_share of all."""
+def upset_counts(found: DataFrame, min_share: float = 0.001) -> DataFrame:
+    """(five indicators, degree, n): how often each combination of patterns occurs, at least min_share of all; by degree, then by pattern."""
     n = found.agg(F.count("*").alias("__all"))
     out = found.groupBy(*(F.col(p).cast("int").alias(p) for p in PATTERNS)).agg(F.count("*").alias("n")).join(n)
     degree = sum((F.col(p) for p in PATTERNS), F.lit(0))
-    return out.filter(F.col("n") >= F.lit(min_share) * F.col("__all")).select(*PATTERNS, degree.alias("degree"), "n")
+    out = out.filter(F.col("n") >= F.lit(min_share) * F.col("__all")).select(*PATTERNS, degree.alias("degree"), "n")
+    return out.orderBy("degree", *(F.desc(p) for p in PATTERNS))
+
+
+def factor_loadings(factors: DataFrame, rank: int, mode: str, n: int = 5, self_pairs: bool = False) -> DataFrame:
+    """(component, label, loading, rank_in): the n greatest loadings of each component of a mode; pairs of a feature with itself only on demand."""
+    own = factors.filter((F.col("rank") == rank) & (F.col("mode") == mode))
+    if mode == "pair" and not self_pairs:
+        own = own.filter(F.split_part("label", F.lit("|"), F.lit(1)) != F.split_part("label", F.lit("|"), F.lit(2)))
+    return top_n(own.select("component", "label", "loading"), ["component"], "loading", "label", n).withColumnRenamed("rank", "rank_in")
 
 
 def lp_genes(found: DataFrame, table: DataFrame, instance: str, feature: str) -> DataFrame:

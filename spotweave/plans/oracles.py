@@ -223,7 +223,7 @@ ORACLES |= {
     "lp_top_pattern": _with(SHAPES, POINTS, PROB, LP, then="SELECT l.cell AS cell_boundaries, l.gene AS feature_name, CASE " + " ".join(f"WHEN l.{p}=1 AND b.{p} >= greatest({_TOP}) THEN '{p}'" for p in PATTERNS) + " END AS pattern FROM lp l JOIN pb b ON b.cell=l.cell AND b.gene=l.gene"),
     "lp_logfc": _with(SHAPES, POINTS, PROB, LP, f"lg AS ({_LONG.format(names=_NAMES, values=', '.join(PATTERNS), src='lp')})", "s AS (SELECT gene, pattern, phenotype, CAST(sum(v) AS DOUBLE) AS n FROM lg JOIN sup ON sup.cell=lg.cell GROUP BY gene, pattern, phenotype)", "full_ AS (SELECT g.gene, p.pattern, k.phenotype, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT gene FROM lp) g CROSS JOIN (SELECT DISTINCT pattern FROM lg) p CROSS JOIN (SELECT DISTINCT phenotype FROM sup) k LEFT JOIN s ON s.gene=g.gene AND s.pattern=p.pattern AND s.phenotype=k.phenotype)", then=f"SELECT a.gene AS feature_name, a.pattern, a.phenotype, {r('log2((a.n+1)/(b.n+1))')} AS log2fc FROM full_ a JOIN full_ b ON a.gene=b.gene AND a.pattern=b.pattern AND a.phenotype<>b.phenotype"),
     "lp_diff_continuous": _with(SHAPES, POINTS, PROB, f"lg AS ({_LONG.format(names=_NAMES, values=', '.join(PATTERNS), src='pb')})", "j AS (SELECT gene, pattern, v, acctbal AS w FROM lg JOIN sup ON sup.cell=lg.cell)", then=f"SELECT gene AS feature_name, pattern, {r('(avg(v*w)-avg(v)*avg(w))/(sqrt(var_pop(v))*sqrt(var_pop(w)))')} AS pearson_correlation FROM j GROUP BY gene, pattern HAVING var_pop(v) > 1e-18 AND var_pop(w) > 1e-18"),
-    "upset_counts": _with(SHAPES, POINTS, PROB, LP, then=f"SELECT {', '.join(PATTERNS)}, {'+'.join(PATTERNS)} AS degree, count(*) AS n FROM lp GROUP BY {', '.join(PATTERNS)}"),
+    "upset_counts": _with(SHAPES, POINTS, PROB, LP, then=f"SELECT {', '.join(PATTERNS)}, {'+'.join(PATTERNS)} AS degree, count(*) AS n FROM lp GROUP BY {', '.join(PATTERNS)} HAVING count(*) >= 0.001*(SELECT count(*) FROM lp)"),
     "lp_genes": _with(SHAPES, POINTS, PROB, LP, "t AS (SELECT cell, gene, count(*) AS n FROM pts GROUP BY cell, gene)", then=f"SELECT l.gene AS feature_name, {', '.join(r(f'avg(CAST(l.{p} AS DOUBLE))') + f' AS {p}' for p in PATTERNS)}, {r('log2(avg(t.n)+1)')} AS logcounts, {r('100.0::DOUBLE*count(DISTINCT t.cell)/(SELECT count(DISTINCT cell) FROM t)')} AS cell_fraction FROM lp l JOIN t ON t.cell=l.cell AND t.gene=l.gene GROUP BY l.gene"),
 }
 

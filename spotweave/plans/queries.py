@@ -349,9 +349,10 @@ def fluxmap_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = flux.fe(_flux(spark, sf_dir), fx.gene_sets(spark, sf_dir), min_n=5, times=20)
-    pixels = ds.points[f"{fx.CELL}_raster"]
-    return pixels.select(fx.CELL, "x", "y", *[c for c in pixels.columns if c.startswith("flux_") and c not in ("flux_embed", "flux_counts", "flux_color")][:10])
+    base = _flux(spark, sf_dir)
+    ds = flux.fe(base, fx.gene_sets(spark, sf_dir), min_n=5)
+    key = f"{fx.CELL}_raster"
+    return ds.points[key].select(fx.CELL, "x", "y", *[c for c in ds.points[key].columns if c not in base.points[key].columns])
 
 
 @query

@@ -310,3 +310,30 @@ def test_nearest_with_ties(spark):
     for i, _, x, y, _ in grid:
         want = sorted(grid, key=lambda p: ((p[2] - x) ** 2 + (p[3] - y) ** 2, p[2], p[3], p[4], p[0]))[:6]
         assert [got[i][k] for k in range(1, 7)] == [p[0] for p in want]
+
+
+def test_parafac_by_joins_is_the_same(spark):
+    """The distributed updates give the driver's factors, from the same start; and larger tensors take that way."""
+    rng = np.random.default_rng(2)
+    full = np.round(rng.uniform(0, 2, (2, 5, 4)) * (rng.random((2, 5, 4)) < 0.7), 3)
+    coords = np.argwhere(full > 0)
+    values = full[full > 0]
+    begun = [rng.random((n, 2)) + 0.1 for n in full.shape]
+    want, error = coloc.parafac(coords, values, full.shape, 2, 0, iterations=4, start=[b.copy() for b in begun])
+    entries = spark.createDataFrame([(f"c{a}", f"i{b}", f"p{c}|q{c}", float(v)) for (a, b, c), v in zip(coords, values)], "compartment string, instance string, pair string, value double")
+    names = [lambda i: f"c{i}", lambda i: f"i{i}", lambda i: f"p{i}|q{i}"]
+    start = [spark.createDataFrame([(name(i), [float(x) for x in row]) for i, row in enumerate(f)], "label string, f array<double>") for name, f in zip(names, begun)]
+    got, mine = coloc.parafac_joins(entries, 2, 0, iterations=4, start=start)
+    assert mine == pytest.approx(error, rel=1e-9)
+    for name, f, w in zip(names, got, want):
+        assert {r["label"]: pytest.approx(r["f"], rel=1e-9) for r in f.collect()} == {name(i): list(row) for i, row in enumerate(w)}
+
+
+def test_decompose_of_any_size(spark):
+    tensor = spark.createDataFrame([("k", f"i{b}", f"f{c}", f"f{d}", float((b + 1) * (c + 1) * (d + 1))) for b in range(3) for c in range(2) for d in range(2)], "compartment string, cell string, gene string, neighbor string, value double")
+    for most in (100, 5):
+        factors, errors = coloc.decompose(tensor, "cell", "gene", [1], 1, max_entries=most)
+        assert errors.first()["rmse"] < 1e-3 and {r["mode"]: r["count"] for r in factors.groupBy("mode").count().collect()} == {"compartment": 1, "instance": 3, "pair": 4}
+        top = plotdata.factor_loadings(factors, 1, "pair", 5).collect()
+        assert sorted(r["label"] for r in top) == ["f0|f1", "f1|f0"]
+        assert plotdata.factor_loadings(factors, 1, "pair", 1, self_pairs=True).first()["label"] == "f1|f1"
