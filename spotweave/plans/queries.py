@@ -322,7 +322,7 @@ _fluxes: dict[tuple[str, str], SpatialDataset] = {}
 def _flux(spark: SparkSession, sf_dir: str) -> SpatialDataset:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _fluxes:
-        _fluxes[key] = flux.flux(fx.load(spark, sf_dir), radius=RADIUS, res=0.25)
+        _fluxes[key] = flux.flux(fx.load(spark, sf_dir), radius=RADIUS)
     return _fluxes[key]
 
 
@@ -331,15 +331,24 @@ def flux_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flux(spark, sf_dir).points[f"{fx.CELL}_raster"].select(fx.CELL, "x", "y", "flux_embed", "flux_counts", "flux_color")
 
 
+_maps: dict[tuple[str, str], SpatialDataset] = {}
+
+
+def _fluxmap(spark: SparkSession, sf_dir: str) -> SpatialDataset:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _maps:
+        _maps[key] = flux.fluxmap(_flux(spark, sf_dir), n_clusters=3, min_count=1)
+    return _maps[key]
+
+
 @query
 def fluxmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = flux.fluxmap(_flux(spark, sf_dir), n_clusters=3, min_count=1)
-    return ds.points[f"{fx.CELL}_raster"].select(fx.CELL, "x", "y", "fluxmap")
+    return _fluxmap(spark, sf_dir).points[f"{fx.CELL}_raster"].select(fx.CELL, "x", "y", "fluxmap")
 
 
 @query
 def fluxmap_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = flux.fluxmap(_flux(spark, sf_dir), n_clusters=3, min_count=1)
+    ds = _fluxmap(spark, sf_dir)
     out = None
     for i in range(1, ds.attrs["n_domains"] + 1):
         part = ds.shapes[f"fluxmap{i}"].select("shape_id", F.lit(i).alias("label"), F.size("rings").alias("n_rings"), r(geom.area(geom.edges(F.col("rings")))).alias("area"))
