@@ -275,3 +275,9 @@ ORACLES |= {
     "flux_knn": _with(SHAPES, POINTS, _grid(8), "rk AS (SELECT s.cell, s.x, s.y, p.gene, row_number() OVER (PARTITION BY s.cell, s.x, s.y ORDER BY (p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y), p.x, p.y, p.gene) AS k FROM ras s JOIN pts p ON p.cell=s.cell WHERE s.shape='cell')", then=f"SELECT {CELL}, x, y, {GENE}, count(*) AS n FROM rk WHERE k <= 5 GROUP BY cell, x, y, gene"),
     "flux_gram": _with(SHAPES, POINTS, FLUX, then=f"SELECT a.gene AS feature_name, b.gene AS other, {r('sum(a.flux*b.flux)')} AS v FROM fx a JOIN fx b ON a.cell=b.cell AND a.x=b.x AND a.y=b.y GROUP BY a.gene, b.gene"),
 }
+
+ORACLES |= {
+    "count_matrix": _with(SHAPES, POINTS, "t AS (SELECT cell AS cell_boundaries, gene, count(*) AS n FROM pts GROUP BY cell, gene)", then="SELECT * FROM (PIVOT t ON gene USING coalesce(CAST(sum(n) AS BIGINT), 0) GROUP BY cell_boundaries)"),
+    "label_image": _with(SHAPES, _grid(1), then="SELECT id||'_1' AS shape_id, CAST(count(*) AS DOUBLE) AS area FROM ras WHERE shape='cell' GROUP BY id"),
+    "gene_set_csv": "SELECT DISTINCT p_type AS source, p_brand AS target, 1.0::DOUBLE AS weight FROM part",
+}

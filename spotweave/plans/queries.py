@@ -501,6 +501,27 @@ def flux_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, f"{fx.GENE} string, other string, v double")
 
 
+@query
+def count_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = fx.load(spark, sf_dir).tables["table"]
+    return prep.count_matrix(table, fx.CELL, fx.GENE, [r[0] for r in table.select(fx.GENE).distinct().orderBy(fx.GENE).collect()])
+
+
+@query
+def label_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells' pixels as a label image, and its shapes again."""
+    image = shape_features.raster(fx.load(spark, sf_dir).shapes[fx.CELL]).select(F.col("shape_id").alias("image"), "x", "y", F.lit(1).alias("label"))
+    return flux.labels_to_shapes(image).select("shape_id", r(geom.area(geom.edges(F.col("rings")))).alias("area"))
+
+
+@query
+def gene_set_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gene sets written as CSV to the shared folder and read by name."""
+    path = new_path(spark, "sets")
+    fx.gene_sets(spark, sf_dir).write.option("header", True).csv(path)
+    return io.read_gene_sets(spark, {"types": path}, "types")
+
+
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points to cells, then counts, centroid and dispersion by cell and gene."""
     points = _points(spark, sf_dir)
