@@ -86,12 +86,16 @@ def test_base_counts(texts):
     check_base(texts)
 
 
-def test_gram_codes_are_by_row():
-    data, offsets = whole(["ab", "", "b  \n a"])
-    codes, at = rules.gram_codes(data, offsets)
-    assert at.tolist() == [0, 2, 2, 5]
-    a, b = int(rules.SYMBOL[ord("a")]), int(rules.SYMBOL[ord("b")])
-    assert codes.tolist() == [a, a << 7 | b, b, b << 7 | 1, b << 14 | 1 << 7 | a]
+def test_grams_are_by_row():
+    """Language and five symbols of each character, white space runs as one space, 0 before a text."""
+    data, offsets = whole(["ab", "", "b  \n 你\x00"])
+    high, low, which, at = rules.distinct_grams(data, offsets, np.array([7, 7, 8]))
+    assert at.tolist() == [0, 2, 2, 6] and len(set(zip(high.tolist(), low.tolist()))) == len(high)
+    mask = rules.SYMBOL
+    found = [(h >> 42, (h >> 21) & mask, h & mask, v >> 42, (v >> 21) & mask, v & mask) for h, v in zip(high[which].tolist(), low[which].tolist())]
+    a, b, c, nul = ord("a"), ord("b"), ord("你"), rules.NUL
+    assert found == [(7, 0, 0, 0, 0, a), (7, 0, 0, 0, a, b), (8, 0, 0, 0, 0, b), (8, 0, 0, 0, b, 32), (8, 0, 0, b, 32, c), (8, 0, b, 32, c, nul)]
+    assert rules.language_code(pa.array(["en", None, "en", "fr"]))[[0, 1]].tolist() == [rules.language_code(pa.array(["en"]))[0], mask]
 
 
 def brute_shingles(text):
