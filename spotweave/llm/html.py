@@ -199,8 +199,8 @@ class Page:
     def _drop(self) -> list[bool]:
         """The elements that are not of the article by their tag or by what they say.
 
-        A doubtful element (marked by class, id or role, or a form) stays if it holds most of the page's text and
-        the page's article or heading is inside it or nowhere; what readers say stays only in the second case.
+        A doubtful element (marked by class, id or role, or a form) stays if it holds most of the page's text and an article
+        or first heading is inside it or nowhere; what is marked as said by readers only if all of them are inside.
         """
         n, parent, tag, said = len(self.tag), self.parent, self.tag, self.said
         gone = [False] * n
@@ -218,8 +218,8 @@ class Page:
         for i in range(1, n):
             up = parent[i]
             mark = said[i]
-            if mark in (DOUBTFUL, READERS) and 2 * size[i] > size[0]:
-                if heads[i] == heads[0] or (heads[i] and mark == DOUBTFUL):
+            if 2 * size[i] > size[0]:
+                if mark == DOUBTFUL and (heads[i] or not heads[0]) or mark == READERS and 0 < heads[i] == heads[0]:
                     mark = NOTHING
             dropped[i] = dropped[up] or mark != NOTHING
             of_article[i] = of_article[up] or tag[i] in ARTICLE

@@ -561,6 +561,15 @@ def test_pages_keep_their_article(page):
     assert html.main_text(page) == " ".join(("T " + SENTENCE * 9).split())
 
 
+@pytest.mark.parametrize("mark", ['id="comments"', 'class="comment-list"', 'class="post replies"'])
+def test_long_comments_go(mark):
+    """Reader comments go even where they are most of a page without article and heading."""
+    from spotweave.llm import html
+
+    page = f"<body><div><p>{SENTENCE * 5}</p></div><div {mark}><p>{SENTENCE * 30}</p></div></body>"
+    assert html.main_text(page) == " ".join((SENTENCE * 5).split())
+
+
 @pytest.mark.parametrize("hostile", ["<div>" * 100_000, "<article><header>" * 50_000, "<li>" + "<span>" * 50_000 + "<ul>" + "<li></li>" * 50_000, "<p>" + "<b>" * 100_000 + "<div>", "<textarea>" * 100_000, "<a <" * 100_000])
 def test_deep_pages_take_linear_time(hostile):
     import time
