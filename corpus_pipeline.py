@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spotweave.llm import jaccard, langid, packing, quality
-from spotweave.llm.scratch import materialize
+from spotweave.llm.scratch import materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,7 +27,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each on what the one before kept, written to the shared folder in between."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        left = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
+            left = materialize(left, f"stage-{name}")
+            release(docs)
+        docs = left
     return docs
