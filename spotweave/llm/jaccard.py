@@ -243,10 +243,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     links = settle(family_links(with_sets, "component", "weight", family_block, _kernel(threshold, tolerance)))
     found = classes.select("node", "set_a", "set_b", "weight", "least").join(links, "node", "left")
     group = F.coalesce("component", "node")
-    found = found.select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), group.alias("__group"), "least")
-    smallest = found.groupBy("__group").agg(F.min("least").alias("class_id"))
-    found = materialize(found.join(smallest, "__group").drop("__group", "least"), "found")
-    release(with_sets, classes)
+    linked = materialize(found.select("set_a", "set_b", "weight", F.coalesce("links", F.lit(0)).alias("links"), group.alias("__group"), "least"), "linked")
+    smallest = linked.groupBy("__group").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))
+    found = join_hot(linked.drop("least"), smallest, ["__group"], "size", linked.count()).drop("__group", "size")
+    found = materialize(found, "found")
+    release(with_sets, classes, linked)
     own = join_hot(features.select("doc_id", "set_a", "set_b", "n_shingles"), found, ["set_a", "set_b"], "weight", total, "left")
     blank = F.col("n_shingles") == 0
     class_id = F.when(blank, F.col("doc_id")).otherwise(F.col("class_id"))

@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textkernel as tk
+from .scratch import materialize, release
 
 ORDERS = (3, 4)
 BITS = 20
@@ -137,6 +137,18 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), j, np.int32)), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["id", "gram", "n"])
 
 
+def _thresholds(grams: DataFrame, n_languages: int) -> list[tuple[int, int]]:
+    """(id, least): how often an n-gram has to occur to be among the MAX_GRAMS / n_languages most frequent of its language; by a histogram of n."""
+    most = max(1, MAX_GRAMS // n_languages)
+    held: dict[int, int] = {}
+    least: dict[int, int] = {}
+    for r in sorted(grams.groupBy("id", "n").count().collect(), key=lambda r: -r["n"]):
+        held[r["id"]] = held.get(r["id"], 0) + r["count"]
+        if held[r["id"]] <= most or r["id"] not in least:
+            least[r["id"]] = r["n"] if held[r["id"]] <= most else r["n"] + 1
+    return sorted(least.items())
+
+
 def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE) -> LanguageFilters:
     """Learn the filters from text and lang of the rows where train holds and neither is null.
 
@@ -156,9 +168,10 @@ def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE)
     chosen = rows.select("lang", "text").join(F.broadcast(known), "lang").filter(F.pmod(F.xxhash64("text", F.lit(10)), F.lit(1_000_000)) < F.col("share"))
     some = chosen.select("id", "text").distinct()
     counted = tk.small_batches(some).mapInArrow(_count, "id int, gram bigint, n bigint").groupBy("id", "gram").agg(F.sum("n").alias("n"))
-    often = counted.join(F.broadcast(known.select("id", "least")), "id").filter("n >= least")
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "gram"))
-    found = often.withColumn("__rank", first).filter(F.col("__rank") <= max(1, MAX_GRAMS // len(languages))).select("id", "gram", "n").toArrow()
+    often = materialize(counted.join(F.broadcast(known.select("id", "least")), "id").filter("n >= least").drop("least"), "letter-grams")
+    enough = _thresholds(often, len(languages))
+    found = often.join(F.broadcast(docs.sparkSession.createDataFrame(enough, "id int, least bigint")), "id").filter("n >= least").select("id", "gram", "n").toArrow()
+    release(often)
     least = np.array([min(MIN_COUNT, sizes[k]) for k in languages])
     return build(found["id"].to_numpy().astype(np.int64), found["gram"].to_numpy(), found["n"].to_numpy(), languages, least)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 #: One random odd number for each byte, and the base of the rolling hash with its inverse modulo 2**64.
@@ -136,6 +137,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are used again, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def kernel(fields: str, make: Callable[[], Callable], *columns: Column, limit: int = SLICE_BYTES) -> Column:
     """A struct column of the DDL fields, computed by make()'s function over slices of a string column.
 
@@ -151,6 +161,8 @@ def kernel(fields: str, make: Callable[[], Callable], *columns: Column, limit: i
         for text, *more in batches:
             parts = [work(data, offsets, *(c.slice(a, b - a) for c in more)) for a, b, data, offsets in slices(text, limit)]
             yield pa.StructArray.from_arrays([pa.chunked_array([pa.array(x) for x in column]).combine_chunks() for column in zip(*parts)], names=names)
+            del text, more, parts
+        give_back()
 
     def single(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return run((b,) for b in batches)
