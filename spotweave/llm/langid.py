@@ -137,16 +137,20 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), j, np.int32)), pa.array(grams.view(np.int64)), pa.array(n, pa.int64())], names=["id", "gram", "n"])
 
 
-def _thresholds(grams: DataFrame, n_languages: int) -> list[tuple[int, int]]:
-    """(id, least): how often an n-gram has to occur to be among the MAX_GRAMS / n_languages most frequent of its language; by a histogram of n."""
+def _thresholds(grams: DataFrame, n_languages: int) -> list[tuple[int, int, int]]:
+    """(id, last, share) for the MAX_GRAMS / n_languages most frequent n-grams of each language, by a histogram of n.
+
+    All that occur more than `last` times are among them, and of those that occur so often a share in millionths, chosen by a hash.
+    """
     most = max(1, MAX_GRAMS // n_languages)
     held: dict[int, int] = {}
-    least: dict[int, int] = {}
+    out: dict[int, tuple[int, int]] = {}
     for r in sorted(grams.groupBy("id", "n").count().collect(), key=lambda r: -r["n"]):
-        held[r["id"]] = held.get(r["id"], 0) + r["count"]
-        if held[r["id"]] <= most or r["id"] not in least:
-            least[r["id"]] = r["n"] if held[r["id"]] <= most else r["n"] + 1
-    return sorted(least.items())
+        before = held.get(r["id"], 0)
+        if before < most:
+            out[r["id"]] = (r["n"], min(1_000_000, 1_000_000 * (most - before) // r["count"]))
+        held[r["id"]] = before + r["count"]
+    return [(i, *v) for i, v in sorted(out.items())]
 
 
 def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE) -> LanguageFilters:
@@ -170,7 +174,9 @@ def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE)
     counted = tk.small_batches(some).mapInArrow(_count, "id int, gram bigint, n bigint").groupBy("id", "gram").agg(F.sum("n").alias("n"))
     often = materialize(counted.join(F.broadcast(known.select("id", "least")), "id").filter("n >= least").drop("least"), "letter-grams")
     enough = _thresholds(often, len(languages))
-    found = often.join(F.broadcast(docs.sparkSession.createDataFrame(enough, "id int, least bigint")), "id").filter("n >= least").select("id", "gram", "n").toArrow()
+    some = often.join(F.broadcast(docs.sparkSession.createDataFrame(enough, "id int, last bigint, share int")), "id")
+    own = (F.col("n") > F.col("last")) | ((F.col("n") == F.col("last")) & (F.pmod(F.xxhash64("gram"), F.lit(1_000_000)) < F.col("share")))
+    found = some.filter(own).select("id", "gram", "n").toArrow()
     release(often)
     least = np.array([min(MIN_COUNT, sizes[k]) for k in languages])
     return build(found["id"].to_numpy().astype(np.int64), found["gram"].to_numpy(), found["n"].to_numpy(), languages, least)

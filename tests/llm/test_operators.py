@@ -455,3 +455,11 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in out} == ids and len(ids) > 0.6 * docs.count()
     assert corpus_pipeline.ORACLE_SQL is None
     assert docs.limit(0).transform(lambda d: corpus_pipeline.STAGES[0][1](spark, d, sf_dir)).count() == 0
+
+
+def test_most_frequent_grams(spark, monkeypatch):
+    """The driver gets no more n-grams than it may, the most frequent ones of each language."""
+    monkeypatch.setattr(langid, "MAX_GRAMS", 400)
+    rows = [(0, g, 1 + g % 5) for g in range(1000)] + [(1, g, 7) for g in range(30)] + [(2, g, 1) for g in range(5000)]
+    got = {i: (last, share) for i, last, share in langid._thresholds(spark.createDataFrame(rows, "id int, gram bigint, n bigint"), 4)}
+    assert got[0] == (5, 500_000) and got[1] == (7, 1_000_000) and got[2] == (1, 20_000)
