@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dataset import RINGS, SpatialDataset
+from ..sources.scratch import materialize
 from .polygons import contours, from_rings
 from .prep import prep
-from .shape_features import analyze_shapes, raster
+from .shape_features import CX, CY, EDGES, analyze_shapes, grids, raster
 from .spatial_join import nearest, points_in_shapes, radius_pairs
 
 COMPONENTS = 10
@@ -75,39 +76,233 @@ def flux(ds: SpatialDataset, radius: float | None = None, n_neighbors: int | Non
     """Points '{instance}_raster' with flux (array<double> in the order of attrs['flux_features']), flux_embed, flux_counts and flux_color.
 
     Pixels lie 1 / res apart. A pixel without points around has zeros. The embedding is a truncated SVD, not centred, by
-    the features' gram matrix, which tasks add up; the driver solves features x features.
+    the features' gram matrix, which tasks add up; the driver solves features x features. What is around the pixels is counted
+    once and written, a row for each block of pixels; all that follows reads these rows.
     """
     if method not in ("radius", "knn"):
         raise ValueError(f"method {method!r}; there are 'radius' and 'knn'")
     a = ds.attrs
     instance, feature = a["instance_key"], a["feature_key"]
     points = ds.points[a["points_key"]].filter(F.col(instance).isNotNull())
-    r = None if method == "knn" else resolve_radius(ds, radius)
-    k = (n_neighbors or 10) if method == "knn" else None
     names = [x[0] for x in ds.tables["table"].select(feature).distinct().orderBy(feature).collect()]
-    pixels = raster(ds.shapes[instance], 1 / res).withColumnRenamed("shape_id", instance).withColumn("pixel_id", F.xxhash64(instance, "x", "y"))
-    near = pixel_counts(points, pixels, instance, feature, r, k)
-    comp = composition(points, instance, feature)
-    # An instance's shares and scales as maps, one row an instance; a pixel's flux is then an expression.
-    profile = _profile(near, comp, instance, feature).groupBy(instance).agg(F.map_from_entries(F.collect_list(F.struct(feature, F.struct("share", "scale")))).alias("__profile"))
-    listed = F.array(*map(F.lit, names))
-
-    def value(name: Column) -> Column:
-        own = F.element_at("__profile", name)
-        around = F.coalesce(F.element_at("counts", name), F.lit(0)) / F.col("total")
-        return F.when(own.isNotNull(), (around - own["share"]) / own["scale"]).otherwise(0.0)
-
-    entries = near.join(profile, instance).select("pixel_id", F.transform(listed, value).alias("flux"), "total")
-    out = pixels.join(entries, "pixel_id", "left")
-    zeros = F.array_repeat(F.lit(0.0), len(names))
-    out = out.select(instance, "pixel_id", "x", "y", F.coalesce("flux", zeros).alias("flux"), F.coalesce("total", F.lit(0)).alias("flux_counts")).persist()
-    trained = out if train_size >= 1 else out.sample(False, train_size, seed)
-    vectors, ratio = truncated_svd(trained, "flux", min(len(names), COMPONENTS))
-    out = project(out, "flux", "flux_embed", vectors)
-    out = vec2color(out, "flux_embed", "flux_counts")
+    if method == "knn":
+        pixels = raster(ds.shapes[instance], 1 / res).withColumnRenamed("shape_id", instance).withColumn("pixel_id", F.xxhash64(instance, "x", "y"))
+        near = pixel_counts(points, pixels, instance, feature, None, n_neighbors or 10)
+        blocks = _blocks_of(pixels, near, instance, names)
+    else:
+        blocks = _blocks(points, ds.shapes[instance], instance, feature, names, resolve_radius(ds, radius), 1 / res)
+    blocks = materialize(blocks, "flux")
+    blocks = materialize(blocks.join(_profiles(blocks, composition(points, instance, feature), instance, feature, names), instance, "left"), "flux")
+    size, k = len(names), min(len(names), COMPONENTS)
+    sums = gram(_pixels(blocks, instance, size).sample(False, train_size, seed), "flux") if train_size < 1 else _added(blocks, lambda part: _flux_of(part, size)[0])
+    vectors, ratio = _singular(*sums, k) if size else (np.zeros((0, 0)), np.zeros(0))
+    out = _pixels(blocks, instance, size, vectors)
+    out = vec2color(out, "flux_embed", "flux_counts", fitted=_pixels(blocks, instance, size, vectors, False))
+    out = out.select(instance, F.xxhash64(instance, "x", "y").alias("pixel_id"), "x", "y", "flux", "flux_counts", "flux_embed", "flux_color")
     return ds.with_points(f"{instance}_raster", out).with_attrs(flux_features=names, flux_variance_ratio=ratio.tolist(), flux_res=res)
 
 
+#: Pixels of a block at most, and blocks of a slice that a task holds at once.
+PIXELS, SLICE = 4096, 64
+_COUNTED = "x array<double>, y array<double>, counts binary, totals array<bigint>"
+
+
+def _lists(rows: Sequence[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    flat = np.concatenate(rows) if len(rows) else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind, from_pandas=kind == pa.float64()))
+
+
+def _table(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width, pa.int32()), pa.array(np.ascontiguousarray(matrix, float).reshape(-1)))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    top = int(counts.max(initial=0))
+    return counts.astype("u1" if top < 1 << 8 else "u2" if top < 1 << 16 else "u4" if top < 1 << 32 else "u8").tobytes()
+
+
+def _counted(rows: list[tuple], instances: list, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
+    """rows: (x, y, counts, totals) of each block."""
+    columns = [pa.array(instances, kind), *(_lists([r[i] for r in rows], pa.float64()) for i in (0, 1)), pa.array([_packed(r[2]) for r in rows], pa.binary()), _lists([r[3] for r in rows], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _axis(first: float, n: int, step: float, at: int, side: float) -> np.ndarray:
+    """The numbers first + k * step, k < n, whose square is `at`."""
+    low, high = (at * side - first) / step, ((at + 1) * side - first) / step
+    v = first + np.arange(max(0, int(np.floor(low)) - 1), min(n, int(np.ceil(high)) + 2)) * step
+    return v[np.floor(v / side) == at]
+
+
+def _held(xs: np.ndarray, ys: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points of a grid inside edges (ax, ay, bx, by), by geom.inside's rule and arithmetic."""
+    ax, ay, bx, by = e
+    with np.errstate(all="ignore"):
+        cut = (bx - ax) * (ys[:, None] - ay) / (by - ay) + ax
+    cut = np.where((ay > ys[:, None]) != (by > ys[:, None]), cut, -np.inf)
+    found = np.zeros((len(xs), len(ys)), bool)
+    for i, x in enumerate(xs):
+        found[i] = (x < cut).sum(axis=1) % 2 == 1
+    i, j = np.nonzero(found)
+    return xs[i], ys[j]
+
+
+def _blocks(points: DataFrame, shapes: DataFrame, instance: str, feature: str, names: Sequence, r: float, step: float) -> DataFrame:
+    """(instance, x, y, counts, totals): the pixels of a shape in a square of the plane, and the points within r of each by feature.
+
+    The raster is that of shape_features.raster. A square of width 2 r or more meets the points that it or a border of r
+    around it holds, in an equi-join by instance and square; grid, distances and counts are made a square at a time.
+    """
+    side, size = max(2.0 * r, 16.0 * step), len(names)
+    width, reach = F.lit(side), F.lit(float(r) * (1 + 1e-9))
+
+    def squares(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint"))
+
+    base = grids(shapes, step)
+    for axis, centre in (("__xs", CX), ("__ys", CY)):
+        own = F.array(F.floor(F.col(centre) / width).cast("bigint"))
+        base = base.withColumn(f"__q{axis}", F.explode(F.when(F.col("__empty"), own).otherwise(squares(F.get(axis, 0), F.element_at(axis, -1)))))
+    base = base.select(F.col("shape_id").alias(instance), F.col("__q__xs").alias("__qi"), F.col("__q__ys").alias("__qj"), EDGES, CX, CY, "__empty", F.get("__xs", 0).alias("__x0"), F.size("__xs").alias("__nx"), F.get("__ys", 0).alias("__y0"), F.size("__ys").alias("__ny"))
+    kind = points.schema[feature].dataType.simpleString()
+    listed = points.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], f"__name {kind}, __f int")
+    near = points.join(F.broadcast(listed), F.col(feature) == F.col("__name"), "left").select(instance, "x", "y", F.coalesce("__f", F.lit(size)).alias("f"))
+    for c, q in (("x", "__qi"), ("y", "__qj")):
+        near = near.withColumn(q, F.explode(squares(F.col(c) - reach, F.col(c) + reach)))
+    near = near.groupBy(instance, "__qi", "__qj").agg(F.collect_list(F.struct("x", "y", "f")).alias("__near"))
+    joined = base.join(near, [instance, "__qi", "__qj"], "left")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), SLICE):
+                batch = whole.slice(first, SLICE)
+                get = dict(zip(batch.schema.names, batch.columns))
+                edges, close = get[EDGES], get["__near"]
+                ends, stops = edges.offsets.to_numpy(), close.offsets.to_numpy()
+                e = np.array([edges.values.field(c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by")])
+                px, py, pf = (close.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "f"))
+                rows, own = [], []
+                plain = zip(*(get[c].to_pylist() for c in (instance, "__qi", "__qj", "__empty", CX, CY, "__x0", "__nx", "__y0", "__ny")))
+                for i, (name, qi, qj, empty, cx, cy, x0, nx, y0, ny) in enumerate(plain):
+                    if empty:
+                        x, y = (np.array([np.nan if v is None else v]) for v in (cx, cy))
+                    else:
+                        x, y = _held(_axis(x0, nx, step, qi, side), _axis(y0, ny, step, qj, side), e[:, ends[i] : ends[i + 1]])
+                    ox, oy, of = (v[stops[i] : stops[i + 1]] for v in (px, py, pf))
+                    room = max(1, min(PIXELS, (1 << 22) // max(1, len(ox), size)))
+                    for k in range(0, len(x), room):
+                        ux, uy = x[k : k + room], y[k : k + room]
+                        dx, dy = ox - ux[:, None], oy - uy[:, None]
+                        at, hit = np.nonzero(dx * dx + dy * dy <= float(r) * float(r))
+                        n = np.bincount(at * (size + 1) + of[hit], minlength=len(ux) * (size + 1)).reshape(len(ux), size + 1)
+                        rows.append((ux, uy, n[:, :size], n.sum(axis=1)))
+                        own.append(name)
+                if rows:
+                    yield _counted(rows, own, [instance, "x", "y", "counts", "totals"], get[instance].type)
+
+    return joined.mapInArrow(count, f"{instance} {shapes.schema['shape_id'].dataType.simpleString()}, {_COUNTED}")
+
+
+def _blocks_of(pixels: DataFrame, near: DataFrame, instance: str, names: Sequence) -> DataFrame:
+    """_blocks from counts that are there: pixel_counts."""
+    own = F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.element_at("counts", n), F.lit(0)).cast("bigint"))
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), len(names))
+    full = pixels.join(near.select("pixel_id", own.alias("n"), "total"), "pixel_id", "left").select(instance, "x", "y", F.coalesce("n", zeros).alias("n"), F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+    grouped = full.groupBy(instance, F.floor(F.col("x") / 32).alias("qi"), F.floor(F.col("y") / 32).alias("qj")).agg(F.collect_list(F.struct("x", "y", "n", "total")).alias("p"))
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), SLICE):
+                batch = whole.slice(first, SLICE)
+                p, rows, own = batch.column(1), [], []
+                for i, name in enumerate(batch.column(0).to_pylist()):
+                    block = p[i].values
+                    for k in range(0, len(block), PIXELS):
+                        part = block.slice(k, PIXELS)
+                        x, y, n, total = (c.to_numpy(zero_copy_only=False) if c.type != p.type.value_type.field("n").type else _matrix(c) for c in part.flatten())
+                        rows.append((x, y, n, total))
+                        own.append(name)
+                yield _counted(rows, own, [instance, "x", "y", "counts", "totals"], batch.column(0).type)
+
+    return grouped.select(instance, "p").mapInArrow(pack, f"{instance} {pixels.schema[instance].dataType.simpleString()}, {_COUNTED}")
+
+
+def _shares(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pixels of a batch of blocks: each feature's share of the points around (0 without any), their number, and each block's pixels."""
+    get = dict(zip(batch.schema.names, batch.columns))
+    total = get["totals"].flatten().to_numpy(zero_copy_only=False)
+    each = np.diff(get["totals"].offsets.to_numpy())
+    packed = [np.frombuffer(b, f"u{len(b) // (n * size)}").reshape(n, size) if size else np.zeros((n, 0)) for b, n in zip(get["counts"].to_pylist(), each)]
+    counts = np.concatenate(packed).astype(float) if packed else np.zeros((0, size))
+    return counts / np.maximum(total, 1)[:, None], total, each
+
+
+def _profiles(blocks: DataFrame, comp: DataFrame, instance: str, feature: str, names: Sequence) -> DataFrame:
+    """(instance, share, scale): arrays in the order of names of the features' shares in each instance and feature_scales; 0 and 1 of features that it has not."""
+    size = len(names)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), SLICE):
+                batch = whole.slice(first, SLICE)
+                share, total, each = _shares(batch, size)
+                starts = np.cumsum(each) - each
+                sums = np.concatenate([np.add.reduceat(v, starts, axis=0) for v in (share, share * share, (total > 0)[:, None].astype(float))], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(instance)), _table(sums)], names=[instance, "v"])
+
+    kind = blocks.schema[instance].dataType.simpleString()
+    sums = blocks.mapInArrow(add, f"{instance} {kind}, v array<double>").select(instance, F.posexplode("v").alias("i", "v")).groupBy(instance, "i").agg(F.sum("v").alias("v"))
+    sums = sums.groupBy(instance).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("__sums"))
+    own = comp.groupBy(instance).agg(F.map_from_entries(F.collect_list(F.struct(feature, "share"))).alias("__own"))
+    pixels = F.element_at("__sums", 2 * size)
+
+    def scale(name: Column, i: Column) -> Column:
+        mean = F.element_at("__sums", i) / pixels
+        var = F.greatest(F.lit(0.0), F.element_at("__sums", i + size) / pixels - mean * mean)
+        return F.when(F.element_at("__own", name).isNotNull() & (pixels > 0) & (var > 1e-18), F.sqrt(var)).otherwise(1.0)
+
+    listed = F.array(*map(F.lit, names))
+    share = F.transform(listed, lambda n: F.coalesce(F.element_at("__own", n), F.lit(0.0)))
+    return own.join(sums, instance).select(instance, share.alias("share"), F.transform(listed, scale).alias("scale"))
+
+
+def _flux_of(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(share around - share in the instance) / scale of all pixels of a batch of blocks, 0 of those without points; with _shares' numbers."""
+    around, total, each = _shares(batch, size)
+    get = dict(zip(batch.schema.names, batch.columns))
+    there = get["share"].is_valid().to_numpy(zero_copy_only=False)
+    share, scale = np.zeros((len(batch), size)), np.ones((len(batch), size))
+    share[there], scale[there] = (get[c].flatten().to_numpy(zero_copy_only=False).reshape(-1, size) for c in ("share", "scale"))
+    at = np.repeat(np.arange(len(batch)), each)
+    return np.where((total > 0)[:, None], (around - share[at]) / scale[at], 0.0), total, each
+
+
+def _pixels(blocks: DataFrame, instance: str, size: int, vectors: np.ndarray | None = None, whole: bool = True) -> DataFrame:
+    """A row for each pixel of blocks with profiles: (instance, x, y, flux) if whole, flux_counts, and flux_embed if there are vectors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in batches:
+            for first in range(0, len(full), SLICE):
+                batch = full.slice(first, SLICE)
+                get = dict(zip(batch.schema.names, batch.columns))
+                x, total, each = _flux_of(batch, size)
+                columns = {"flux_counts": pa.array(total, pa.int64())}
+                if whole:
+                    columns |= {instance: get[instance].take(pa.array(np.repeat(np.arange(len(batch)), each))), "x": get["x"].flatten(), "y": get["y"].flatten(), "flux": _table(x)}
+                if vectors is not None:
+                    columns["flux_embed"] = _table(x @ vectors)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in schema], names=list(schema))
+
+    kind = blocks.schema[instance].dataType.simpleString()
+    schema = {instance: kind, "x": "double", "y": "double", "flux": "array<double>"} if whole else {}
+    schema |= {"flux_counts": "bigint"} | ({"flux_embed": "array<double>"} if vectors is not None else {})
+    return blocks.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in schema.items()))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -115,20 +310,26 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def gram(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
     """X'X, column sums and rows of an array column: features x features numbers, added in tasks."""
+    return _added(df.select(column), lambda batch: _matrix(batch.column(0)))
+
+
+def _added(df: DataFrame, matrix: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """gram of the rows that matrix makes of slices of df."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, sums, n = None, None, 0
-        for batch in batches:
-            x = _matrix(batch.column(0))
-            if len(x):
-                total = x.T @ x if total is None else total + x.T @ x
-                sums = x.sum(axis=0) if sums is None else sums + x.sum(axis=0)
-                n += len(x)
+        for whole in batches:
+            for first in range(0, len(whole), SLICE * 16):
+                x = matrix(whole.slice(first, SLICE * 16))
+                if len(x):
+                    total = x.T @ x if total is None else total + x.T @ x
+                    sums = x.sum(axis=0) if sums is None else sums + x.sum(axis=0)
+                    n += len(x)
         if total is not None:
             rows = [*total.tolist(), sums.tolist(), [float(n)]]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["i", "v"])
 
-    parts = df.select(column).mapInArrow(add, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
+    parts = df.mapInArrow(add, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v"))
     found = parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     if not found:
         return np.zeros((0, 0)), np.zeros(0), 0
@@ -141,7 +342,11 @@ def gram(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 def truncated_svd(df: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (features x k) of the matrix that is not centred, largest entry positive, and each component's share of the variance."""
-    total, sums, n = gram(df, column)
+    return _singular(*gram(df, column), k)
+
+
+def _singular(total: np.ndarray, sums: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """truncated_svd from gram's numbers."""
     if not n:
         return np.zeros((len(sums), k)), np.zeros(k)
     values, vectors = np.linalg.eigh(total)
@@ -154,31 +359,36 @@ def truncated_svd(df: DataFrame, column: str, k: int) -> tuple[np.ndarray, np.nd
 
 
 def project(df: DataFrame, column: str, out: str, vectors: np.ndarray) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(values.to_numpy()) @ vectors)) if len(values) else pd.Series([], dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array) -> pa.Array:
+        return _table(_matrix(values) @ vectors if len(values) else np.zeros((0, vectors.shape[1])))
 
     return df.withColumn(out, run(F.col(column)))
 
 
-def vec2color(df: DataFrame, embed: str, alpha: str, out: str = "flux_color", knots: int = 256) -> DataFrame:
-    """'#rrggbbaa' of the first three dimensions, each made uniform by its quantiles, with opacity alpha / max(alpha)."""
+def vec2color(df: DataFrame, embed: str, alpha: str, out: str = "flux_color", knots: int = 256, fitted: DataFrame | None = None) -> DataFrame:
+    """'#rrggbbaa' of the first three dimensions, each made uniform by its quantiles, with opacity alpha / max(alpha); both are of `fitted`, the same rows if given."""
     dims = 3
-    first = df.select(*(F.get(F.col(embed), i).alias(f"d{i}") for i in range(dims)), alpha)
+    first = (df if fitted is None else fitted).select(*(F.get(F.col(embed), i).alias(f"d{i}") for i in range(dims)), alpha)
     levels = [i / (knots - 1) for i in range(knots)]
     row = first.agg(*(F.percentile_approx(f"d{i}", levels, 10_000).alias(f"d{i}") for i in range(dims)), F.max(alpha).alias("top")).first()
     tables = [np.array(row[f"d{i}"] if row[f"d{i}"] else [0.0, 1.0]) for i in range(dims)]
     top = float(row["top"] or 1) or 1.0
 
-    @F.pandas_udf("string")
-    def run(vectors: pd.Series, weight: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=str)
-        x = np.stack([np.pad(np.asarray(v, float)[:dims], (0, max(0, dims - len(v)))) for v in vectors])
+    hexes = np.frombuffer("".join(f"{v:02x}" for v in range(256)).encode(), np.uint8).reshape(256, 2)
+
+    @F.arrow_udf("string")
+    def run(vectors: pa.Array, weight: pa.Array) -> pa.Array:
+        n = len(vectors)
+        v = _matrix(vectors) if n else np.zeros((0, dims))
+        x = np.zeros((n, dims))
+        x[:, : v.shape[1]] = v[:, :dims]
         rgb = [np.interp(x[:, i], t, np.linspace(0, 1, len(t))) for i, t in enumerate(tables)]
-        parts = [*rgb, np.clip(weight.to_numpy(float) / top, 0, 1)]
+        parts = [*rgb, np.clip(weight.to_numpy(zero_copy_only=False).astype(float) / top, 0, 1)]
         codes = np.rint(np.stack(parts, axis=1) * 255).astype(int)
-        return pd.Series(["#%02x%02x%02x%02x" % tuple(c) for c in codes])
+        text = np.concatenate([np.full((n, 1), ord("#"), np.uint8), hexes[codes].reshape(n, -1)], axis=1)
+        ends = np.arange(n + 1, dtype=np.int32) * text.shape[1]
+        return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(text.tobytes()))
 
     return df.withColumn(out, run(F.col(embed), F.col(alpha)))
 

@@ -30,17 +30,23 @@ def with_geometry(shapes: DataFrame) -> DataFrame:
     return shapes.withColumns({EDGES: g["edges"], CX: g["cx"], CY: g["cy"]}).drop("__geometry")
 
 
+def grids(shapes: DataFrame, step: float) -> DataFrame:
+    """(shape_id, __edges, __cx, __cy, __xs, __ys, __empty): the grid over the bounds of each shape, and whether the shape holds none of its points."""
+    b = geom.bounds(F.col("rings"))
+    base = with_geometry(shapes.select("shape_id", "rings")).select("shape_id", EDGES, CX, CY, geom.grid(b["minx"], b["maxx"], step).alias("__xs"), geom.grid(b["miny"], b["maxy"], step).alias("__ys"))
+    held = F.exists("__xs", lambda x: F.exists("__ys", lambda y: geom.inside(_edge(), x, y)))
+    return base.withColumn("__empty", ~F.coalesce(held, F.lit(False)))
+
+
 def raster(shapes: DataFrame, step: float = 1.0) -> DataFrame:
     """(shape_id, x, y): grid points inside each shape, from int(minimum) on; the centroid if there is none.
 
     Exploded in two steps, x and then y, so a task holds one column of the grid at a time.
     """
-    b = geom.bounds(F.col("rings"))
-    base = with_geometry(shapes.select("shape_id", "rings")).select("shape_id", EDGES, CX, CY, geom.grid(b["minx"], b["maxx"], step).alias("__xs"), geom.grid(b["miny"], b["maxy"], step).alias("__ys"))
-    cells = base.withColumn("x", F.explode("__xs")).withColumn("y", F.explode("__ys"))
+    base = grids(shapes, step)
+    cells = base.filter(~F.col("__empty")).withColumn("x", F.explode("__xs")).withColumn("y", F.explode("__ys"))
     found = cells.filter(geom.inside(_edge(), F.col("x"), F.col("y"))).select("shape_id", "x", "y")
-    empty = base.join(found.select("shape_id").distinct(), "shape_id", "left_anti")
-    return found.unionByName(empty.select("shape_id", F.col(CX).alias("x"), F.col(CY).alias("y")))
+    return found.unionByName(base.filter("__empty").select("shape_id", F.col(CX).alias("x"), F.col(CY).alias("y")))
 
 
 def raster_points(ds: SpatialDataset, key: str, step: float = 1.0) -> SpatialDataset:

@@ -337,3 +337,25 @@ def test_decompose_of_any_size(spark):
         top = plotdata.factor_loadings(factors, 1, "pair", 5).collect()
         assert sorted(r["label"] for r in top) == ["f0|f1", "f1|f0"]
         assert plotdata.factor_loadings(factors, 1, "pair", 1, self_pairs=True).first()["label"] == "f1|f1"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flux_counts_once(ds):
+    """The raster reads what was counted, its numbers are those of the joins, and a shape without grid points has its centroid."""
+    small = ds.with_shapes(CELL, ds.shapes[CELL].unionByName(ds.shapes[CELL].filter("shape_id = 'c2'").select(F.lit("c3").alias("shape_id"), F.expr("transform(rings, g -> transform(g, p -> named_struct('x', 200.3 + (p.x - 200) / 50, 'y', 0.3 + p.y / 50)))").alias("rings")), allowMissingColumns=True))
+    out = flux.flux(small, radius=3.0, res=0.5).points[f"{CELL}_raster"]
+    assert not any(x in plan(out) for x in ("Join", "Aggregate", "InMemoryRelation"))
+    raster = shape_features.raster(small.shapes[CELL], 2.0).withColumnRenamed("shape_id", CELL).withColumn("pixel_id", F.xxhash64(CELL, "x", "y"))
+    assert rows(out, CELL, F.round("x", 9), F.round("y", 9), "pixel_id")[:75] == rows(raster, CELL, F.round("x", 9), F.round("y", 9), "pixel_id")[:75] and out.count() == raster.count() == 76
+    points = small.points["transcripts"].filter(F.col(CELL).isNotNull())
+    near = flux.pixel_counts(points, raster, CELL, GENE, 3.0)
+    long = flux.flux_long(near, flux.composition(points, CELL, GENE), CELL, GENE)
+    want = {(r["pixel_id"], r[GENE]): r["flux"] for r in long.collect()}
+    assert {r["pixel_id"]: r["total"] for r in near.collect()} == {r["pixel_id"]: r["flux_counts"] for r in out.collect() if r["flux_counts"]}
+    for r in out.collect():
+        assert r["flux"] == pytest.approx([want.get((r["pixel_id"], g), 0.0) for g in ("g1", "g2")], abs=1e-9)
+    knn = flux.flux(small, method="knn", n_neighbors=2, res=0.5).points[f"{CELL}_raster"]
+    assert sorted(r["flux_counts"] for r in knn.collect()) == [0] * 26 + [2] * 50
