@@ -16,7 +16,7 @@ from ..sources.scratch import materialize
 from .polygons import contours, from_rings
 from .prep import prep
 from .shape_features import CX, CY, EDGES, analyze_shapes, grids, raster
-from .spatial_join import nearest, points_in_shapes, radius_pairs
+from .spatial_join import nearest, overlapping, points_in_shapes, radius_pairs
 
 COMPONENTS = 10
 
@@ -427,7 +427,7 @@ def fluxmap(ds: SpatialDataset, n_clusters: int | Iterable[int] = range(2, 9), n
 
     The map is fitted on the driver on a sample of about train_rows pixels; of several n_clusters the elbow of the quantization
     error is taken, and without one the dataset comes back as it is, with a warning. Shapes and point columns fluxmap1, fluxmap2 ...
-    replace earlier ones.
+    replace earlier ones; table 'fluxmap' has the shapes of all domains (shape_id, label, rings), made in one pass.
     """
     instance = ds.attrs["instance_key"]
     key = f"{instance}_raster"
@@ -447,26 +447,29 @@ def fluxmap(ds: SpatialDataset, n_clusters: int | Iterable[int] = range(2, 9), n
         return ds
     units = maps[best]
 
-    @F.pandas_udf("int")
-    def winner(vectors: pd.Series) -> pd.Series:
-        v = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, units.shape[1]))
-        return pd.Series(((v[:, None, :] - units[None]) ** 2).sum(axis=2).argmin(axis=1) + 1)
+    @F.arrow_udf("int")
+    def winner(vectors: pa.Array) -> pa.Array:
+        v = _matrix(vectors) if len(vectors) else np.zeros((0, units.shape[1]))
+        return pa.array(((v[:, None, :] - units[None]) ** 2).sum(axis=2).argmin(axis=1) + 1, pa.int32())
 
     label = F.when(F.col("flux_counts") >= min_count, winner(F.col("flux_embed"))).otherwise(0)
     pixels = pixels.drop("fluxmap").withColumn("fluxmap", label.cast("int"))
-    shapes = vectorize(pixels, instance, "fluxmap", 1 / ds.attrs["flux_res"])
+    step = 1 / ds.attrs["flux_res"]
+    shapes = vectorize(pixels, instance, "fluxmap", step).withColumnRenamed(instance, "__c").withColumnRenamed("label", "__l")
+    every = ds.shapes[instance].select("shape_id", F.explode(F.sequence(F.lit(1), F.lit(best))).alias("label"))
+    domains = every.join(shapes, (F.col("shape_id") == F.col("__c")) & (F.col("label") == F.col("__l")), "left")
+    domains = domains.select("shape_id", "label", F.coalesce("rings", F.array().cast(RINGS)).alias("rings")).persist()
+    # Domains lie within a pixel of their cells' bounds, so the cells tell whether any can meet, and no domain is made for that.
+    meet = overlapping(ds.shapes[instance], grown=step)
     points = ds.points[ds.attrs["points_key"]]
     points = points.drop(*(c for c in points.columns if c.startswith("fluxmap")))
     kept = {k: s for k, s in ds.shapes.items() if not k.startswith("fluxmap")}
-    cells = ds.shapes[instance].select(F.col("shape_id").alias("__cell"))
     for i in range(1, best + 1):
         name = f"fluxmap{i}"
-        own = shapes.filter(F.col("label") == i).select(F.col(instance).alias("__c"), "rings")
-        empty = F.array().cast(RINGS)
-        full = cells.join(own, F.col("__cell") == F.col("__c"), "left").select(F.col("__cell").alias("shape_id"), F.coalesce("rings", empty).alias("rings"), F.col("__cell").alias(instance))
+        full = domains.filter(F.col("label") == i).select("shape_id", "rings", F.col("shape_id").alias(instance))
         kept[name] = full
-        points = points_in_shapes(points, full.filter(F.size("rings") > 0), name)
-    out = SpatialDataset({**ds.points, key: pixels, ds.attrs["points_key"]: points}, kept, ds.tables, ds.attrs)
+        points = points_in_shapes(points, full.filter(F.size("rings") > 0), name, overlap=meet)
+    out = SpatialDataset({**ds.points, key: pixels, ds.attrs["points_key"]: points}, kept, {**ds.tables, "fluxmap": domains}, ds.attrs)
     others = [k for k in ds.attrs["shape_keys"] if not k.startswith("fluxmap")]
     return out.with_attrs(shape_keys=[*others, *(f"fluxmap{i}" for i in range(1, best + 1))], n_domains=best)
 

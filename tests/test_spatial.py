@@ -359,3 +359,17 @@ def test_flux_counts_once(ds):
         assert r["flux"] == pytest.approx([want.get((r["pixel_id"], g), 0.0) for g in ("g1", "g2")], abs=1e-9)
     knn = flux.flux(small, method="knn", n_neighbors=2, res=0.5).points[f"{CELL}_raster"]
     assert sorted(r["flux_counts"] for r in knn.collect()) == [0] * 26 + [2] * 50
+
+
+def test_fluxmap_makes_domains_once(ds, monkeypatch):
+    """Whether domains can meet is asked once, of the cells; the table of all domains reads the pixels once."""
+    asked = []
+    whole = spatial_join.overlapping
+    for module in (spatial_join, flux):
+        monkeypatch.setattr(module, "overlapping", lambda *a, **k: asked.append(a) or whole(*a, **k), raising=False)
+    out = flux.fluxmap(flux.flux(ds, radius=3.0, res=0.5), n_clusters=3, min_count=1, num_iterations=50)
+    assert len(asked) == 1
+    domains = out.tables["fluxmap"]
+    assert domains.count() == 9
+    for i in (1, 2, 3):
+        assert rows(domains.filter(F.col("label") == i), "shape_id", "rings") == rows(out.shapes[f"fluxmap{i}"], "shape_id", "rings")
