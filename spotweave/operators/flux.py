@@ -525,20 +525,21 @@ def fe(ds: SpatialDataset, net: DataFrame, min_n: int = 0, times: int = 100, see
     rng = np.random.Generator(np.random.PCG64(seed))
     orders = [rng.permutation(len(names)) for _ in range(times)]
 
-    @F.pandas_udf("array<double>")
-    def run(values: pd.Series) -> pd.Series:
-        if not len(values):
-            return pd.Series([], dtype=object)
-        x = np.stack(values.to_numpy())
-        estimate = x @ weights
+    # Sets with the same weights have the same score.
+    unique, own = np.unique(weights, axis=1, return_inverse=True) if sources else (weights, np.zeros(0, int))
+
+    @F.arrow_udf("array<double>")
+    def run(values: pa.Array) -> pa.Array:
+        x = _matrix(values) if len(values) else np.zeros((0, len(names)))
+        estimate = x @ unique
         beyond = np.zeros_like(estimate)
         for order in orders:
-            beyond += np.abs(x @ weights[order]) >= np.abs(estimate) - 1e-12
+            beyond += np.abs(x @ unique[order]) >= np.abs(estimate) - 1e-12
         p = np.maximum(beyond, 1) / times
-        return pd.Series(list(estimate * -np.log10(p)))
+        return _table(estimate * -np.log10(p))
 
     pixels = ds.points[key].withColumn("__fe", run(F.col("flux")))
-    pixels = pixels.withColumns({f"flux_{s}": F.get("__fe", i) for i, s in enumerate(sources)}).drop("__fe")
+    pixels = pixels.withColumns({f"flux_{s}": F.get("__fe", int(i)) for s, i in zip(sources, own.reshape(-1))}).drop("__fe")
     return ds.with_points(key, pixels).with_table("fe_ngenes", fe_ngenes(net, ds.tables["table"], ds.attrs["feature_key"])).with_table("fe_stats", fe_stats(net, ds.tables["table"], instance, ds.attrs["feature_key"]))
 
 

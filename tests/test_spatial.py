@@ -373,3 +373,19 @@ def test_fluxmap_makes_domains_once(ds, monkeypatch):
     assert domains.count() == 9
     for i in (1, 2, 3):
         assert rows(domains.filter(F.col("label") == i), "shape_id", "rings") == rows(out.shapes[f"fluxmap{i}"], "shape_id", "rings")
+
+
+def test_enrichment_of_equal_sets(ds):
+    """Sets with the same weights are scored once and share the score; others have their own."""
+    out = flux.flux(ds, radius=3.0, res=0.5)
+    net = ds.points["transcripts"].sparkSession.createDataFrame([("s", "g1", 1.0), ("t", "g1", 1.0), ("u", "g2", -1.0)], "source string, target string, weight double")
+    scored = flux.fe(out, net, times=20).points[f"{CELL}_raster"]
+    assert "Join" not in plan(scored)
+    orders = [np.random.Generator(np.random.PCG64(42))]
+    orders = [orders[0].permutation(2) for _ in range(20)]
+    for r in scored.collect():
+        x = np.array(r["flux"])
+        for name, w in (("s", [1.0, 0.0]), ("t", [1.0, 0.0]), ("u", [0.0, -1.0])):
+            w = np.array(w)
+            p = max(1, sum(abs(x @ w[o]) >= abs(x @ w) - 1e-12 for o in orders)) / 20
+            assert r[f"flux_{name}"] == pytest.approx(x @ w * -np.log10(p), abs=1e-9)
