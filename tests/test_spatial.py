@@ -389,3 +389,38 @@ def test_enrichment_of_equal_sets(ds):
             w = np.array(w)
             p = max(1, sum(abs(x @ w[o]) >= abs(x @ w) - 1e-12 for o in orders)) / 20
             assert r[f"flux_{name}"] == pytest.approx(x @ w * -np.log10(p), abs=1e-9)
+
+
+def test_parafac_updates_by_entry_and_by_cell():
+    """Dense blocks, entries and the plain sums over entries give the same factors."""
+    rng = np.random.default_rng(3)
+    for fill in (0.9, 0.2):
+        full = rng.normal(0.5, 1, (2, 7, 5)) * (rng.random((2, 7, 5)) < fill)
+        coords, values = np.argwhere(full != 0), full[full != 0]
+        begun = [rng.random((n, 2)) + 0.1 for n in full.shape]
+        tensor = coloc._Unfolded(coords, values, full.shape, block=8)
+        assert tensor.dense == (fill > 0.5)
+        got, error = coloc.parafac(coords, values, full.shape, 2, 0, iterations=3, start=[b.copy() for b in begun])
+        scale = (np.abs(values).sum() / np.prod([f.sum(axis=0) for f in begun], axis=0).sum()) ** (1 / 3)
+        want = [f * scale for f in begun]
+        for _ in range(3):
+            for mode, spec in enumerate(("abc,br,cr->ar", "abc,ar,cr->br", "abc,ar,br->cr")):
+                u, v = (want[m] for m in range(3) if m != mode)
+                want[mode] = want[mode] * np.einsum(spec, np.maximum(full, 0), u, v) / np.maximum(want[mode] @ ((u.T @ u) * (v.T @ v)), 1e-12)
+        model = np.einsum("ar,br,cr->abc", *want)
+        assert error == pytest.approx(np.abs(full - model)[full != 0].mean(), rel=1e-9)
+        for g, w in zip(got, want):
+            assert g == pytest.approx(w, rel=1e-9)
+
+
+def test_decompose_does_not_collect_the_tensor(spark, monkeypatch):
+    """Starts are factored in tasks; an empty tensor has no factors."""
+    tensor = spark.createDataFrame([("k", f"i{b}", f"f{c}", f"f{d}", float(b + c + d + 1)) for b in range(3) for c in range(2) for d in range(2)], "compartment string, cell string, gene string, neighbor string, value double")
+    collected = []
+    whole = type(tensor).collect
+    monkeypatch.setattr(type(tensor), "collect", lambda self: collected.append(whole(self)) or collected[-1])
+    factors, _ = coloc.decompose(tensor, "cell", "gene", [1, 2], 2)
+    assert max(map(len, collected)) < 12
+    monkeypatch.undo()
+    assert factors.groupBy("rank").count().count() == 2 and factors.count() == 8 * 3
+    assert coloc.decompose(tensor.limit(0), "cell", "gene", [1], 2)[0].count() == 0
