@@ -25,6 +25,8 @@ BLANK = "▁"
 NONE, RAW, START = -1, -2, -3
 FAR = np.int64(1) << 60
 PAIR_SLOTS = 1 << 21
+#: The first bits of a key that say whether some piece may have it.
+FIRST_BITS = 20
 UNKNOWN_PENALTY = 10.0
 
 
@@ -182,6 +184,10 @@ class SentencePiece(ChunkCache):
         self.seen = np.full(PAIR_SLOTS, -1, np.int64)
         self.verdict = np.zeros(PAIR_SLOTS, bool)
         self.cut = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+        self.scores = np.array(pieces.score)
+        self.lowest = min((s for s, k in zip(pieces.score, pieces.kinds) if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
+        self.maybe = np.zeros(1 << FIRST_BITS, bool)
+        self.maybe[pieces.keys >> np.uint64(64 - FIRST_BITS)] = True
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
@@ -220,7 +226,6 @@ class SentencePiece(ChunkCache):
                 some = self.cut.findall(s)
                 count[i] = len(some)
                 parts.extend(some)
-        ids: list[np.ndarray | None] = [None] * len(parts)
         by_length: dict[int, list[int]] = {}
         extra: dict[int, int] = {}
         for i, s in enumerate(parts):
@@ -230,22 +235,33 @@ class SentencePiece(ChunkCache):
                 s = BLANK + word if word else ""
                 parts[i] = s
                 if not word:
-                    ids[i] = np.zeros(0, np.int64)
                     continue
             by_length.setdefault(len(s), []).append(i)
+        first, sizes = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        found: list[np.ndarray] = []
+        special, used = set(extra), 0
         for length, some in by_length.items():
-            points = np.frombuffer("".join(parts[i] for i in some).encode("utf-32-le"), np.uint32).reshape(len(some), length)
-            flat, sizes = self._viterbi(points)
-            for i, part in zip(some, np.split(flat, np.cumsum(sizes)[:-1])):
-                ids[i] = part
-        for i, s in enumerate(parts):
-            if (ids[i] == RAW).any():
-                ids[i] = self._raw(s, ids[i])
-        for i, blanks in extra.items():
-            ids[i] = self._run(blanks, ids[i])
-        sizes = np.array([len(x) for x in ids], np.int64)
+            points = np.frombuffer("".join([parts[i] for i in some]).encode("utf-32-le"), np.uint32).reshape(len(some), length)
+            flat, many = self._viterbi(points)
+            upto, which = np.cumsum(many), np.array(some)
+            first[which], sizes[which] = used + upto - many, many
+            special.update(which[np.searchsorted(upto, np.flatnonzero(flat == RAW), side="right")].tolist())
+            found.append(flat)
+            used += len(flat)
+        ids = np.concatenate(found) if found else np.zeros(0, np.int64)
+        changed = []
+        for i in sorted(special):
+            part = ids[first[i] : first[i] + sizes[i]]
+            if (part == RAW).any():
+                part = self._raw(parts[i], part)
+            if i in extra:
+                part = self._run(extra[i], part)
+            changed.append(part)
+            first[i], sizes[i] = used, len(part)
+            used += len(part)
+        ids = np.concatenate([ids, *changed])
         upto = np.concatenate([[0], np.cumsum(count)])
-        return np.concatenate(ids) if ids else np.zeros(0, np.int64), np.add.reduceat(sizes, upto[:-1]) if len(sizes) else sizes
+        return ids[tk.ragged(first, sizes)], np.add.reduceat(sizes, upto[:-1]) if len(sizes) else sizes
 
     def _run(self, blanks: int, rest: np.ndarray) -> np.ndarray:
         """Blanks before a word: one that its word does not take joins them; the longest pieces come first."""
@@ -301,14 +317,15 @@ class SentencePiece(ChunkCache):
         step = np.zeros((rows, n + 1), np.int64)
         score = np.zeros((rows, n + 1))
         token[:, 0] = START
-        scores = np.array(p.score)
-        lowest = min((s for s, k in zip(p.score, p.kinds) if k == NORMAL), default=0.0) - UNKNOWN_PENALTY
         for i in range(1, n + 1):
             # Longest first, so that the first of equal maxima is the one that starts first.
             sizes = np.arange(min(i, p.longest), 0, -1)
             h = tk.mix(prefix[:, i : i + 1] - prefix[:, i - sizes] * powers[sizes][None, :])
-            place = np.minimum(np.searchsorted(p.keys, h), len(p.keys) - 1)
-            ids = np.where(p.keys[place] == h, p.ids[place], NONE)
+            ids = np.full(h.shape, NONE, np.int64)
+            row, column = np.nonzero(self.maybe[h >> np.uint64(64 - FIRST_BITS)])
+            key = h[row, column]
+            place = np.minimum(np.searchsorted(p.keys, key), len(p.keys) - 1)
+            ids[row, column] = np.where(p.keys[place] == key, p.ids[place], NONE)
             ids[:, -1][ids[:, -1] == NONE] = RAW
             value = np.full(ids.shape, -np.inf)
             row, column = np.nonzero(ids != NONE)
@@ -316,7 +333,7 @@ class SentencePiece(ChunkCache):
             if p.kind == BPE:
                 value[row, column] = np.where(self._fits(token[row, before], here), 0.0, -np.inf)
             else:
-                value[row, column] = score[row, before] + np.where(here == RAW, lowest, scores[here])
+                value[row, column] = score[row, before] + np.where(here == RAW, self.lowest, self.scores[here])
             best = value.argmax(axis=1)
             every = np.arange(rows)
             token[:, i], step[:, i], score[:, i] = ids[every, best], sizes[best], value[every, best]
@@ -368,19 +385,28 @@ def load(path: str, kind: int | None = None) -> Pieces:
         return Pieces(f.read(), kind)
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """docs with ids (array<int>), as the library's encode gives them. A null or empty text has no ids; all rows and other columns stay, ids is replaced."""
+def _texts(data: np.ndarray, upto: np.ndarray) -> pa.Array:
+    raw = data.tobytes()
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string())
+
+
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", back: str | None = None) -> DataFrame:
+    """docs with ids (array<int>), as the library's encode gives them. A null or empty text has no ids; all rows and other columns stay, ids is replaced.
+
+    With back, the column of that name holds what decode makes of the ids, by the same worker: a task has one.
+    """
 
     def make():
-        codec = SentencePiece(pieces)
+        codec, decoder = SentencePiece(pieces), Decoder(pieces) if back else None
 
         def work(data: np.ndarray, offsets: np.ndarray) -> list:
             ids, upto = codec.encode_rows(data, offsets)
-            return [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))]
+            out = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32)))]
+            return out + [_texts(*decoder.decode(ids, upto))] if decoder else out
 
         return work
 
-    return tk.append_columns(docs, text, "ids array<int>", make, limit=SLICE_BYTES)
+    return tk.append_columns(docs, text, "ids array<int>" + (f", `{back}` string" if back else ""), make, limit=SLICE_BYTES)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -390,9 +416,7 @@ def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "text")
         decoder = Decoder(pieces)
         for column in batches:
             values, lengths = list_column(pa.chunked_array([column.fill_null([])]))
-            data, upto = decoder.decode(values.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
-            raw = data.tobytes()
-            yield pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())], pa.string())
+            yield _texts(*decoder.decode(values.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])))
 
     text = F.arrow_udf(run, T.StringType()).asNondeterministic()
     names = [F.col(f"`{c}`") for c in rows.columns if c != out]
@@ -404,6 +428,5 @@ def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import tokenizer_file
 
     pieces = load(tokenizer_file(TOKENIZER))
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), pieces)
-    back = decode(encoded, pieces, out="back")
+    back = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), pieces, back="back")
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("back") == F.coalesce("text", F.lit(""))).alias("round_trip"))

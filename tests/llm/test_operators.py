@@ -435,6 +435,18 @@ def test_sentencepiece_round_trip(spark, odd, empty):
     assert [r["text"] for r in sentencepiece.decode(null, pieces).collect()] == ["", ""]
 
 
+def test_sentencepiece_query_has_one_worker_a_task(spark, odd):
+    pieces = sentencepiece.load(packing.tokenizer_file(sentencepiece.TOKENIZER))
+    both = sentencepiece.encode(odd, pieces, back="back")
+    assert set(both.columns) == {*odd.columns, "back"}
+    apart = sentencepiece.decode(sentencepiece.encode(odd, pieces), pieces, out="back")
+    columns = ["doc_id", "text", "ids", "back"]
+    assert Counter(str(r) for r in both.select(columns).collect()) == Counter(str(r) for r in apart.select(columns).collect())
+    out = sentencepiece.op3_query(spark, "/root/testdata/sf0.001")
+    assert all(r["round_trip"] and r["n_ids"] == len(r["ids"]) for r in out.collect())
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1
+
+
 # Pipeline ---------------------------------------------------------------------------------------------------------------
 
 
