@@ -36,6 +36,31 @@ _SIGN = np.zeros(256, bool)
 _SIGN[list(b"#*$%&|<>")] = True
 
 
+def _repeat_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Per row the words in a 3-word window that the same text holds twice or more, of the words' starts and ends and the rows' first words."""
+    hashes = tk.span_hash(data, starts, ends)
+    row = tk.row_of(firsts)
+    covered = np.zeros(len(starts), bool)
+    if len(starts) >= 3:
+        head = np.flatnonzero(row[2:] == row[:-2])
+        window = hashes[head] * np.uint64(3) + tk.mix(hashes[head + 1]) * np.uint64(5) + tk.mix(hashes[head + 2] + np.uint64(7)) * np.uint64(9)
+        keys = tk.mix(window ^ tk.mix(row[head].astype(np.uint64) + np.uint64(1)))
+        order = np.argsort(keys)
+        equal = keys[order[1:]] == keys[order[:-1]]
+        twice = np.zeros(len(head), bool)
+        twice[order[1:][equal]] = True
+        twice[order[:-1][equal]] = True
+        for i in range(3):
+            covered[head[twice] + i] = True
+    return tk.row_sums(covered, firsts)
+
+
+def failing(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows are base_failed, without the counts that do not tell."""
+    starts, ends, firsts = tk.words(data, offsets)
+    return base_failed(np.diff(firsts), _repeat_words(data, starts, ends, firsts))
+
+
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Per row the columns of BASE_FIELDS."""
     starts, ends, firsts = tk.words(data, offsets)
@@ -57,22 +82,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     line_row, line_hash = line_row[worded], tk.span_hash(data, begin[worded], stop[worded])
     again = tk.repeats(tk.mix(line_hash ^ tk.mix(line_row.astype(np.uint64) + np.uint64(1))))
     dup_lines = np.bincount(line_row[again], minlength=len(n_words))
-    # Words in a 3-word window that the same text holds twice or more.
-    hashes = tk.span_hash(data, starts, ends)
-    row = tk.row_of(firsts)
-    covered = np.zeros(len(starts), bool)
-    if len(starts) >= 3:
-        head = np.flatnonzero(row[2:] == row[:-2])
-        window = hashes[head] * np.uint64(3) + tk.mix(hashes[head + 1]) * np.uint64(5) + tk.mix(hashes[head + 2] + np.uint64(7)) * np.uint64(9)
-        keys = tk.mix(window ^ tk.mix(row[head].astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(keys)
-        equal = keys[order[1:]] == keys[order[:-1]]
-        twice = np.zeros(len(head), bool)
-        twice[order[1:][equal]] = True
-        twice[order[:-1][equal]] = True
-        for i in range(3):
-            covered[head[twice] + i] = True
-    return [n_words, chars, symbols, dup_lines, tk.row_sums(covered, firsts)]
+    return [n_words, chars, symbols, dup_lines, _repeat_words(data, starts, ends, firsts)]
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,34 +106,54 @@ def language_code(langs: pa.Array) -> np.ndarray:
     return np.where(langs.is_valid().to_numpy(zero_copy_only=False), codes[names.indices.fill_null(0).to_numpy()], SYMBOL)
 
 
+def _numbered(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes (numbers below 2**bits) in order, and which of them each one is."""
+    width = len(codes).bit_length()
+    if bits + width > 63:
+        return np.unique(codes, return_inverse=True)
+    # Code and place in one number: sorting numbers takes a fraction of the time of sorting places by them.
+    both = np.sort((codes << width) | np.arange(len(codes)))
+    order, ordered = both & ((1 << width) - 1), both >> width
+    new = np.ones(len(codes), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(codes), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], which
+
+
 def distinct_grams(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(high, low, which, at): the distinct n-grams of a slice, which of them ends at each symbol, and the rows' offsets in that.
 
     high holds language and two symbols, low three, 21 bits each: exact code points of any alphabet.
     """
     found, at = symbols(data, offsets)
-    place = np.arange(len(found)) - np.repeat(at[:-1], np.diff(at))
     # The slice's own symbols and languages are numbered, so that an n-gram of them is one number.
-    number = np.zeros(N_SYMBOLS, np.int64)
-    number[found] = 1
-    number[0] = 1
-    alphabet = np.flatnonzero(number)
+    there = np.zeros(N_SYMBOLS, bool)
+    there[found] = True
+    there[0] = True
+    alphabet = np.flatnonzero(there)
+    number = np.empty(N_SYMBOLS, np.int64)
     number[alphabet] = np.arange(len(alphabet))
     names, language = np.unique(langs, return_inverse=True)
     bits = max(1, int(len(alphabet) - 1).bit_length())
-    if ORDER * bits + max(1, int(len(names)).bit_length()) > 63:  # thousands of different characters in half a megabyte
+    all_bits = ORDER * bits + max(1, int(len(names)).bit_length())
+    if all_bits > 63:  # thousands of different characters in half a megabyte
+        place = np.arange(len(found)) - np.repeat(at[:-1], np.diff(at))
         columns = [np.repeat(langs, np.diff(at))] + [np.where(place >= back, np.roll(found, back), 0) for back in range(ORDER - 1, -1, -1)]
         rows, which = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
         parts = rows.T
         which = which.ravel()
     else:
         small = number[found]
-        codes = np.repeat(language, np.diff(at)) << (ORDER * bits)
-        for back in range(ORDER):
-            before = np.roll(small, back)
-            before[place < back] = 0
-            codes |= before << (bits * back)
-        codes, which = np.unique(codes, return_inverse=True)
+        codes = small.copy()
+        for back in range(1, ORDER):
+            codes[back:] |= small[:-back] << (bits * back)
+        # A row's first symbols have 0 before them, not the end of the row before.
+        few = np.minimum(np.diff(at), ORDER - 1)
+        early = tk.ragged(at[:-1], few)
+        codes[early] &= (1 << (bits * (early - np.repeat(at[:-1], few) + 1))) - 1
+        codes |= np.repeat(language << (ORDER * bits), np.diff(at))
+        codes, which = _numbered(codes, all_bits)
         low = (1 << bits) - 1
         parts = [names[codes >> (ORDER * bits)]] + [alphabet[(codes >> (bits * back)) & low] for back in range(ORDER - 1, -1, -1)]
     high = (parts[0] << (2 * SYMBOL_BITS)) | (parts[1] << SYMBOL_BITS) | parts[2]
@@ -169,8 +199,7 @@ def count_grams(rows: DataFrame, sound_only: bool = False) -> DataFrame:
             for first, last, data, offsets in tk.slices(batch.column(1)):
                 high, low, which, at = distinct_grams(data, offsets, langs[first:last])
                 if sound_only:
-                    counts = base_counts(data, offsets)
-                    which = which[~np.repeat(base_failed(counts[0], counts[4]), np.diff(at))]
+                    which = which[~np.repeat(failing(data, offsets), np.diff(at))]
                 waiting.append([high, low, np.bincount(which, minlength=len(high)).astype(np.int64)])
                 size += len(high)
                 if size > 1_000_000:
@@ -245,6 +274,17 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     return below.select("high", "low", F.log("p").cast("float").alias("logp"))
 
 
+def _look_up(grams: np.ndarray, hashes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each gram the value of its hash, 0 where the sorted hashes don't have it; asked for in order, so that the search stays in the processor's cache."""
+    out = np.zeros(len(grams), np.float32)
+    if len(hashes):
+        order = np.argsort(grams)
+        asked = grams[order]
+        place = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+        out[order] = np.where(hashes[place] == asked, values[place], np.float32(0))
+    return out
+
+
 def _summer(shared: Broadcast, with_counts: bool):
     """make() for append_columns: [the counts,] the sum of logs over a text's n-grams that are among the sorted hashes, and its symbols."""
 
@@ -254,8 +294,7 @@ def _summer(shared: Broadcast, with_counts: bool):
         def work(data: np.ndarray, offsets: np.ndarray, langs: pa.Array) -> list:
             high, low, which, at = distinct_grams(data, offsets, language_code(langs))
             grams = gram_hash(high, low)
-            place = np.minimum(np.searchsorted(hashes, grams), max(0, len(hashes) - 1))
-            found = np.where(hashes[place] == grams, values[place], np.float32(0)) if len(hashes) else np.zeros(len(grams))
+            found = _look_up(grams, hashes, values)
             sums = [tk.row_sums(found.astype(np.float64)[which], at), np.diff(at)]
             return (base_counts(data, offsets) if with_counts else []) + sums
 

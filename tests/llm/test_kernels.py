@@ -98,6 +98,44 @@ def test_grams_are_by_row():
     assert rules.language_code(pa.array(["en", None, "en", "fr"]))[[0, 1]].tolist() == [rules.language_code(pa.array(["en"]))[0], mask]
 
 
+def test_grams_are_numbered_and_found_as_by_plain_search_in_less_time():
+    """np.unique and a search in any order took half of the time of the query op7."""
+    from time import process_time
+
+    def best(work, *args):
+        times = []
+        for _ in range(5):
+            begun = process_time()
+            work(*args)
+            times.append(process_time() - begun)
+        return min(times)
+
+    def plain(grams, hashes, values):
+        place = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+        return np.where(hashes[place] == grams, values[place], np.float32(0))
+
+    rng = np.random.default_rng(1)
+    codes = rng.zipf(1.3, 250_000).astype(np.int64) % (1 << 40)
+    for some, bits in ((codes, 40), (codes, 63), (codes[:1], 40), (codes[:0], 40), (codes[:0], 63)):
+        for got, want in zip(rules._numbered(some, bits), np.unique(some, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+    hashes = np.sort(rng.integers(0, 1 << 62, 4_000_000).astype(np.uint64))
+    values = rng.random(len(hashes)).astype(np.float32)
+    grams = np.concatenate([rng.choice(hashes, 60_000), rng.integers(0, 1 << 63, 20_000).astype(np.uint64)])
+    assert (rules._look_up(grams, hashes, values) == plain(grams, hashes, values)).all()
+    assert rules._look_up(grams, hashes[:0], values[:0]).tolist() == [0] * len(grams)
+    assert best(rules._numbered, codes, 40) < best(lambda: np.unique(codes, return_inverse=True))
+    assert best(rules._look_up, grams, hashes, values) < best(plain, grams, hashes, values)
+
+
+def test_rows_fail_as_by_all_counts():
+    texts = [*TEXTS, "a b c " * 40, " ".join(map(str, range(60))), " ".join(map(str, range(49)))]
+    data, offsets = whole(texts)
+    counts = rules.base_counts(data, offsets)
+    failed = rules.failing(data, offsets)
+    assert failed.tolist() == rules.base_failed(counts[0], counts[4]).tolist() and failed[-3:].tolist() == [True, False, True]
+
+
 def brute_shingles(text):
     words = text.split()
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
