@@ -15,6 +15,8 @@ from .scratch import materialize, release
 MAX_ROUNDS = 60
 #: A key with one row in so many or more is hot; there are at most so many of them.
 HOT = 1000
+#: So many edges (16 bytes each) or fewer are joined up in one task.
+ONE_TASK = 1 << 20
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
@@ -32,15 +34,44 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], size: str, total:
     return met.unionByName(rest.join(right.filter(F.col(size) * HOT < total), on, how).select(*on, *names, *more))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (u, v), sorted, and of each the smallest that it reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    # Of the trees that an edge joins the one with the larger root goes below the other; every second pass halves the trees left.
+    while len(a):
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def _join_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (u, v) to (node, component)."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        edges = pa.Table.from_batches(held)
+        found = least_reachable(edges["u"].to_numpy(), edges["v"].to_numpy())
+        yield from pa.table([pa.array(x) for x in found], names=["node", "component"]).to_batches(max_chunksize=1 << 16)
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node reachable by the edges (a, b), for nodes that have an edge to another node.
 
-    Alternating large and small stars: each round is aggregates and equi-joins, written to the shared folder; the
-    number of rounds grows with the logarithm of the longest path. Loops, repeated edges and nulls do no harm.
+    Up to one_task different edges are joined up in one task. More go through alternating large and small stars: each
+    round is aggregates and equi-joins, about ten stages, written to the shared folder; the number of rounds grows with the
+    logarithm of the longest path. The driver keeps what it was told of each task and plan, so rounds are not for few
+    edges. Loops, repeated edges and nulls do no harm.
     """
     clean = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     pairs = materialize(clean, "stars")
     before, n = None, pairs.count()
+    if n <= one_task:
+        return pairs.coalesce(1).mapInArrow(_join_up, "node bigint, component bigint")
     for _ in range(MAX_ROUNDS):
         # Large star: each neighbour beyond a node points to the node's smallest neighbour.
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

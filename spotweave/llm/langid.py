@@ -179,7 +179,10 @@ def fit(docs: DataFrame, train: Column, docs_a_language: int = DOCS_A_LANGUAGE)
     found = some.filter(own).select("id", "gram", "n").toArrow()
     release(often)
     least = np.array([min(MIN_COUNT, sizes[k]) for k in languages])
-    return build(found["id"].to_numpy().astype(np.int64), found["gram"].to_numpy(), found["n"].to_numpy(), languages, least)
+    model = build(found["id"].to_numpy().astype(np.int64), found["gram"].to_numpy(), found["n"].to_numpy(), languages, least)
+    del found
+    tk.give_back()
+    return model
 
 
 FIELDS = "lang_pred string, score double"

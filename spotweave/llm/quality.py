@@ -237,22 +237,38 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *(pa.array(c, pa.binary()) for c in columns)], names=["label", "shape", "tokens", "sizes"])
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The items of a column of bytes one after the other, without a copy of their own, and how many each row has."""
+    array = column.combine_chunks()
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
+
+
+def _bags(got: pa.Table) -> tuple[Passages, np.ndarray]:
+    """The passages and labels of rows of _encode, in an order that the rows alone decide."""
+    got = got.sort_by([(c, "ascending") for c in ("label", "shape", "tokens")])
+    shape, tokens = _joined(got["shape"], np.float32)[0].reshape(-1, N_FEATURES), _joined(got["tokens"], np.int16)[0]
+    sizes, n_passages = _joined(got["sizes"], np.int32)
+    first = np.concatenate([[0], np.cumsum(n_passages)])
+    return Passages(shape, tokens, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), first), got["label"].to_numpy().astype(float)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = TRAIN_ROWS) -> AttentionModel:
     """Learn from the labels (doc_id and a 0/1 column) where usable holds; about `rows` of them, chosen by a hash of doc_id.
 
-    The driver gets at most TRAIN_PASSAGES encoded passages of each of these texts (350 bytes a passage). Labels that
-    are null or of no document are left out; of a repeated doc_id one text and the greatest label count.
+    The driver gets at most TRAIN_PASSAGES encoded passages of each of these texts (350 bytes a passage), as Arrow, and gives
+    the memory back. Labels that are null or of no document are left out; of a repeated doc_id one text and the greatest label count.
     """
-    got = tk.small_batches(training_texts(docs, labels, label, usable, rows, 6)).mapInArrow(_encode, "label int, shape binary, tokens binary, sizes binary").collect()
-    got.sort(key=lambda r: (r["label"], r["shape"], r["tokens"]))
-    if not got:
+    got = tk.small_batches(training_texts(docs, labels, label, usable, rows, 6)).mapInArrow(_encode, "label int, shape binary, tokens binary, sizes binary").toArrow()
+    if not got.num_rows:
         return train(None, np.zeros(0))
-    sizes = [np.frombuffer(r["sizes"], np.int32) for r in got]
-    shape = np.frombuffer(b"".join(r["shape"] for r in got), np.float32).reshape(-1, N_FEATURES)
-    tokens = np.frombuffer(b"".join(r["tokens"] for r in got), np.int16)
-    first = np.concatenate([[0], np.cumsum([len(x) for x in sizes])])
-    bags = Passages(shape, tokens, np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)]), first)
-    return train(bags, np.array([r["label"] for r in got], float))
+    bags, y = _bags(got)
+    del got
+    model = train(bags, y)
+    del bags
+    tk.give_back()
+    return model
 
 
 FIELDS = "score double, predicted int"

@@ -138,7 +138,7 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Return freed memory to the system at the end of a task: workers are used again, and an executor has several."""
+    """Return freed memory to the system: at the end of a task, as workers are used again and an executor has several, and on the driver after a fit."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

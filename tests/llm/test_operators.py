@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spotweave.llm import embeddings, html, jaccard, langid, packing, quality, rules, sentencepiece, sharding, toxicity
-from spotweave.llm.families import components
+from spotweave.llm.families import components, least_reachable
 
 from .conftest import LONG, ODD
 from .test_kernels import brute_base, brute_shingles
@@ -22,6 +22,42 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 17: 17, 18: 17, 19: 17, 20: 17, 25: 17, 30: 17}
 
 
+def brute_components(edges):
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(3)
+    cases = [[(i, i + 1) for i in range(100)], [(50, i) for i in range(100)], [(-5, 9), (9, 2**62)], [(4, 4)]]
+    cases += [rng.integers(0, 150, (n, 2)).tolist() for n in (30, 75, 200)]
+    for edges in cases:
+        want = brute_components(edges)
+        apart = np.array([e for e in edges if e[0] != e[1]], np.int64).reshape(-1, 2)
+        nodes, least = least_reachable(apart[:, 0], apart[:, 1])
+        assert dict(zip(nodes.tolist(), least.tolist())) == want
+    for edges in cases[1], cases[3], cases[5]:
+        df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+        for limit in (1 << 20, 0):
+            assert {r["node"]: r["component"] for r in components(df, limit).collect()} == brute_components(edges)
+
+
+def test_few_edges_are_no_rounds(spark):
+    """Each round sends the driver about ten stages; a long path of few edges took several."""
+    sc = spark.sparkContext
+    df = spark.createDataFrame([(i, i + 1) for i in range(200)], "a bigint, b bigint")
+    sc.setJobGroup("few edges", "")
+    try:
+        assert {r["component"] for r in components(df).collect()} == {0}
+        assert len(sc.statusTracker().getJobIdsForGroup("few edges")) <= 6
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 # Sharding -------------------------------------------------------------------------------------------------------------
 
 
