@@ -36,8 +36,8 @@ def _cross(e: Column, x0: Column, y0: Column) -> Column:
 
 
 def signed_area(edge: Column) -> Column:
-    x0, y0 = edge[0]["ax"], edge[0]["ay"]
-    return _sum(edge, lambda e: _cross(e, x0, y0)) / 2
+    """Half the sum over all edges. They are made once: a term that names their expression would make all of them again for each edge."""
+    return let(edge, lambda own: _sum(own, lambda e: _cross(e, own[0]["ax"], own[0]["ay"])) / 2)
 
 
 def area(edge: Column) -> Column:

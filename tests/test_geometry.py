@@ -48,6 +48,14 @@ def test_degenerate_ring(spark):
     assert got[0] == 0 and got[1] is None and got[2] is None
 
 
+def test_area_makes_the_edges_once(spark):
+    """Not again for each edge: the work would grow with the square of a shape's edges. No ring has an area of 0, NULL has none."""
+    shapes = spark.createDataFrame([(1, [[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 3.0)], [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0)]]), (2, []), (3, None)], "i int, rings array<array<struct<x: double, y: double>>>")
+    out = shapes.select("i", geom.area(geom.edges(F.col("rings"))).alias("area"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("flatten(") == 1
+    assert {r["i"]: r["area"] for r in out.collect()} == {1: 11.0, 2: 0.0, 3: None}
+
+
 def box(x0, y0, x1, y1):
     return [np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], float)]
 
