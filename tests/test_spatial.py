@@ -424,3 +424,25 @@ def test_decompose_does_not_collect_the_tensor(spark, monkeypatch):
     monkeypatch.undo()
     assert factors.groupBy("rank").count().count() == 2 and factors.count() == 8 * 3
     assert coloc.decompose(tensor.limit(0), "cell", "gene", [1], 2)[0].count() == 0
+
+
+def test_neighbours_are_counted_square_by_square(spark, monkeypatch):
+    """A cell over several squares, in small steps, counts as all pairs of its points do; no join makes the pairs."""
+    monkeypatch.setattr(coloc, "TESTED", 50)
+    rng = np.random.default_rng(5)
+    xy = np.round(np.concatenate([rng.uniform(-20, 60, (120, 2)), np.repeat([[16.0, 16.0]], 30, axis=0)]) * 4) / 4
+    rows = [(i, str(i % 2), float(x), float(y), None if i % 17 == 0 else "abc"[i % 3], bool(i % 5)) for i, (x, y) in enumerate(xy)]
+    points = spark.createDataFrame(rows, "point_id long, cell string, x double, y double, gene string, inner boolean")
+    out = coloc.quotients(points, {"all": F.lit(True), "inner": F.col("inner")}, "cell", "gene", 1.0, 2, 0, False)
+    assert "__pi" not in plan(out)
+    want = {}
+    for where in ("all", "inner"):
+        for cell in "01":
+            mine = [p for p in rows if p[1] == cell and (where == "all" or p[5])]
+            n = {g: sum(p[4] == g for p in mine) for g in "abc"}
+            for f in "abc":
+                for g in "abc":
+                    a = sum(any(q[4] == g and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 1 for q in mine) for p in mine if p[4] == f)
+                    if a:
+                        want[where, cell, f, g] = pytest.approx((a / n[f]) / (n[g] / len(mine)))
+    assert {(r["compartment"], r["cell"], r["gene"], r["neighbor"]): r["clq"] for r in out.collect()} == want
