@@ -446,3 +446,34 @@ def test_neighbours_are_counted_square_by_square(spark, monkeypatch):
                     if a:
                         want[where, cell, f, g] = pytest.approx((a / n[f]) / (n[g] / len(mine)))
     assert {(r["compartment"], r["cell"], r["gene"], r["neighbor"]): r["clq"] for r in out.collect()} == want
+
+
+def test_parafac_by_blocks_is_the_same(spark, monkeypatch):
+    """Written blocks give the factors of joins, all runs at once; tensors with too many labels for the driver still go by joins."""
+    rng = np.random.default_rng(4)
+    full = rng.normal(0.5, 1, (2, 9, 4)) * (rng.random((2, 9, 4)) < 0.7)
+    tensor = spark.createDataFrame([(f"k{a}", f"i{b}", f"f{c // 2}", f"g{c % 2}", float(full[a, b, c])) for a, b, c in np.argwhere(full)], "compartment string, cell string, gene string, neighbor string, value double")
+    monkeypatch.setattr(coloc, "BLOCK", 15)
+    kinds = [tuple(r) for r in tensor.select("compartment", "gene", "neighbor").distinct().collect()]
+    modes = sorted({k[0] for k in kinds}), sorted({k[1:] for k in kinds})
+    blocks = coloc.materialize(coloc._blocks(tensor, tensor.count(), "cell", kinds, modes), "test")
+    assert blocks.count() > 1
+    pairs = [f"{a}|{b}" for a, b in modes[1]]
+    names, done = coloc.parafac_blocks(blocks, (modes[0], pairs), [(1, 3), (2, 5)], iterations=2)
+    entries = tensor.select("compartment", F.col("cell").alias("instance"), F.concat_ws("|", "gene", "neighbor").alias("pair"), "value").persist()
+    want, wrong = coloc.parafac_joins(entries, 2, 5, iterations=2)
+    got, error = done[1]
+    assert error == pytest.approx(wrong, rel=1e-9)
+    for labels, f, w in zip((modes[0], names, pairs), got, want):
+        assert {r["label"]: pytest.approx(r["f"], rel=1e-9) for r in w.collect()} == dict(zip(labels, map(list, f)))
+    _, [(alone, error)] = coloc.parafac_blocks(blocks, (modes[0], pairs), [(1, 3)], iterations=2)
+    assert error == pytest.approx(done[0][1], rel=1e-9) and all(f == pytest.approx(g, rel=1e-9) for f, g in zip(alone, done[0][0]))
+    few = coloc.parafac_blocks
+    monkeypatch.setattr(coloc, "parafac_blocks", lambda *args: few(*args, iterations=2))
+    by = []
+    monkeypatch.setattr(coloc, "_decompose_joins", lambda *args: by.append("joins"))
+    whole = coloc.decompose(tensor, "cell", "gene", [1, 2], 1, max_entries=5)
+    assert not by and whole[0].count() == (2 + 9 + 4) * 3
+    monkeypatch.setattr(coloc, "FACTORS", 20)
+    coloc.decompose(tensor, "cell", "gene", [1, 2], 1, max_entries=5)
+    assert by == ["joins"]
